@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import chat_format, source_mix, url_rules
+from windrow.llm import chat_format, html_extract, language_id, quality, source_mix, toxicity, url_rules
 from windrow.llm.shared import table
 
 URL_RULES = [
@@ -13,6 +13,37 @@ URL_RULES = [
 ]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+#: For pages whose article is one article element of h1 and p blocks, as those of the tables are.
+OP1_SQL = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>([\s\S]*?)</article>', 1) AS body FROM pages),
+blocks AS (
+  SELECT page_id, unnest(string_split_regex(body, '</?(?:p|h1)>')) AS block, generate_subscripts(string_split_regex(body, '</?(?:p|h1)>'), 1) AS i FROM article),
+plain AS (
+  SELECT page_id, i, trim(regexp_replace(
+    replace(replace(replace(replace(replace(regexp_replace(replace(block, '<br>', ' '), '<[^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM blocks),
+texts AS (SELECT page_id, string_agg(block, chr(10) ORDER BY i) FILTER (block <> '') AS text FROM plain GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM article LEFT JOIN texts USING (page_id)
+"""
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -94,12 +125,17 @@ FROM given g JOIN (SELECT conv_id, sum(chars) AS chars FROM chars GROUP BY conv_
 """
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
     "op6_url_rules": op6_url_rules,
     "op7_source_mix": op7_source_mix,
     "op9_chat_windows": op9_chat_windows,
 }
 
 ORACLE_SQL = {
+    "op1_html_extract": OP1_SQL,
     "op6_url_rules": OP6_SQL,
     "op7_source_mix": OP7_SQL,
     "op9_chat_windows": OP9_SQL,
