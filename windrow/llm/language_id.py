@@ -149,7 +149,7 @@ def train(docs: DataFrame, max_rows: int = 2_000, windows_each: int = 12) -> Net
                     out += [(data[k : k + LENGTH], lang) for k in starts[:: -(-len(starts) // windows_each)]]
             yield pd.DataFrame(out, columns=["piece", "lang"])
 
-    got = rows.mapInPandas(pieces, "piece binary, lang string").toPandas()
+    got = rows.mapInPandas(pieces, "piece binary, lang string").toArrow().to_pandas()
     if not len(got):
         return None
     both = sorted(zip(got["lang"], map(bytes, got["piece"])))  # the same in every run

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> Space |
             counts = [term_counts(t) for t in batch["text"]]
             yield pd.DataFrame({"at": [np.flatnonzero(c).astype(np.int32) for c in counts], "n": [c[c > 0].astype(np.int32) for c in counts], "quality": batch["quality"].to_numpy()})
 
-    got = rows.mapInPandas(apply, "at array<int>, n array<int>, quality int").toPandas()
+    got = rows.mapInPandas(apply, "at array<int>, n array<int>, quality int").toArrow().to_pandas()
     if not len(got):
         return None
     order = sorted(range(len(got)), key=lambda k: (int(got["quality"][k]), tuple(got["at"][k][:40]), int(np.sum(got["n"][k])), tuple(got["n"][k][:40])))

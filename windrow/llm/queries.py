@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import chat_format, html_extract, language_id, quality, source_mix, toxicity, url_rules
+from windrow.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, quality, source_mix, toxicity, url_rules, vector_search
 from windrow.llm.shared import table
 
 URL_RULES = [
@@ -32,6 +32,11 @@ SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n
 """
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -124,19 +129,51 @@ SELECT g.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
 FROM given g JOIN (SELECT conv_id, sum(chars) AS chars FROM chars GROUP BY conv_id) f ON g.conv_id = f.conv_id GROUP BY g.conv_id
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+#: All pairs with a shingle in common, then the smallest id reached: right, but for small tables only.
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+kinds AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS kind FROM sets),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM kinds WHERE doc_id = kind),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles,
+  CASE WHEN len(s) = 0 THEN doc_id ELSE least(kind, coalesce((SELECT min(y) FROM reach WHERE x = kind), kind)) END AS component_id
+FROM kinds
+"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_vector_search": op2_vector_search,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op6_url_rules": op6_url_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_ngram_join": op8_ngram_join,
     "op9_chat_windows": op9_chat_windows,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL = {
     "op1_html_extract": OP1_SQL,
     "op6_url_rules": OP6_SQL,
     "op7_source_mix": OP7_SQL,
+    "op8_ngram_join": OP8_SQL,
     "op9_chat_windows": OP9_SQL,
 }

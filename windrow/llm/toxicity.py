@@ -32,6 +32,7 @@ IDENTITY_TERMS = [
     "frauen männer mädchen jungen femmes hommes filles garçons mujeres hombres niñas niños".split(),
     "muslime christen juden musulmans chrétiens juifs musulmanes cristianos judíos".split(),
 ]
+SLOT_BITS = 24
 EDGES = ".,;:!?*&%$#|\"'()[]{}<>/\\-_=+~`^@«»„“”‘’¿¡…–—0123456789"
 #: The log odds of a text without any known feature. It is not learned: one clear slur must be able to outweigh it.
 BIAS = -3.0
@@ -50,7 +51,14 @@ def features_of(word: str) -> tuple[int, ...]:
 
 
 def _ids(words: set[str]) -> np.ndarray:
-    return np.unique(np.fromiter((i for w in words for i in features_of(w)), dtype=np.int64))
+    return np.unique(np.fromiter((i for w in words for i in features_of(w)), dtype=np.uint32))
+
+
+def _places(ids: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where those of the ids that are in a sorted array stand in it."""
+    at = np.searchsorted(among, ids)
+    at[at == len(among)] = 0
+    return at[among[at] == ids]
 
 
 class Rows:
@@ -75,26 +83,37 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[np.n
     """
     if not len(labels) or labels.min() == labels.max():
         return {}, -BIAS if len(labels) and labels.min() == 1 else BIAS
-    everything, inverse = np.unique(np.concatenate(examples), return_inverse=True)
-    row = np.repeat(np.arange(len(examples)), [len(e) for e in examples])
-    seen = np.bincount(inverse, minlength=len(everything))
-    hits = np.bincount(inverse, weights=labels[row], minlength=len(everything))
     base = labels.mean()
-    rate, z = hits / seen, 1.64
-    low = (rate + z * z / (2 * seen) - z * np.sqrt(rate * (1 - rate) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
-    kept = everything[(low > max(base, 0.3)) & (hits >= 2)]
+
+    def telling(slots: list[np.ndarray], size: int) -> np.ndarray:
+        """Which slots are toxic often enough for it not to be chance."""
+        seen, hits = np.zeros(size), np.zeros(size)
+        for at in range(0, len(slots), 1000):
+            part = slots[at : at + 1000]
+            every = np.concatenate(part).astype(np.int64)
+            seen += np.bincount(every, minlength=size)
+            hits += np.bincount(every, weights=np.repeat(labels[at : at + 1000], [len(x) for x in part]), minlength=size)
+        z, rate = 1.64, hits / np.maximum(seen, 1)
+        n = np.maximum(seen, 1)
+        low = (rate + z * z / (2 * n) - z * np.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return (low > max(base, 0.3)) & (hits >= 2)
+
+    # by hash slot first, which leaves few features to count one by one
+    slot_of = lambda e: (e * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+    toxic_once = np.zeros(2**SLOT_BITS, dtype=bool)
+    for e, y in zip(examples, labels):
+        if y:
+            toxic_once[slot_of(e)] = True
+    examples = [e[toxic_once[slot_of(e)]] for e in examples]
+    swapped = [(a[toxic_once[slot_of(a)]], b[toxic_once[slot_of(b)]]) for a, b in swapped]
+    everything = np.unique(np.concatenate([e for e, y in zip(examples, labels) if y]))
+    if not len(everything):
+        return {}, BIAS
+    kept = everything[telling([_places(e, everything) for e in examples], len(everything))]
     if not len(kept):
         return {}, BIAS
 
-    def place(rows: list[np.ndarray]) -> Rows:
-        out = []
-        for ids in rows:
-            at = np.searchsorted(kept, ids)
-            at[at == len(kept)] = 0
-            out.append(at[kept[at] == ids] if len(ids) else at)
-        return Rows(out, len(kept))
-
-    x, before, after = place(examples), place([a for a, _ in swapped]), place([b for _, b in swapped])
+    x, before, after = (Rows([_places(e, kept) for e in side], len(kept)) for side in (examples, [a for a, _ in swapped], [b for _, b in swapped]))
     weight = np.where(labels == 1, 0.5 / base, 0.5 / (1 - base)) / len(labels)
     w, ahead, momentum = np.zeros(len(kept)), np.zeros(len(kept)), 1.0
     rate_of = 0.25 * (weight * (np.bincount(x.row, minlength=x.n) + 1)).sum() + 4 * penalty * (1 if swapped else 0)
@@ -149,12 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, penalty: f
         for batch in batches:
             words = [words_of(t) for t in batch["text"]]
             other = [{_SWAP.get(w, w) for w in ws} if ws & _SWAP.keys() else None for ws in words]
-            yield pd.DataFrame({"ids": [_ids(w) for w in words], "swapped": [None if o is None else _ids(o) for o in other], "toxic": batch["toxic"].to_numpy()})
+            yield pd.DataFrame({"ids": [_ids(w).view(np.int32) for w in words], "swapped": [None if o is None else _ids(o).view(np.int32) for o in other], "toxic": batch["toxic"].to_numpy()})
 
-    got = rows.mapInPandas(apply, "ids array<long>, swapped array<long>, toxic int").toPandas()
-    examples = [np.asarray(a, dtype=np.int64) for a in got["ids"]]
-    order = sorted(range(len(examples)), key=lambda k: (int(examples[k].sum()), len(examples[k]), int(got["toxic"][k])))  # the same in every run
-    pairs = [(examples[k], np.asarray(got["swapped"][k], dtype=np.int64)) for k in order if got["swapped"][k] is not None]
+    got = rows.mapInPandas(apply, "ids array<int>, swapped array<int>, toxic int").toArrow().to_pandas()
+    examples = [np.asarray(a, dtype=np.int32).view(np.uint32) for a in got["ids"]]
+    order = sorted(range(len(examples)), key=lambda k: (int(examples[k].sum(dtype=np.int64)), len(examples[k]), int(got["toxic"][k])))  # the same in every run
+    pairs = [(examples[k], np.asarray(got["swapped"][k], dtype=np.int32).view(np.uint32)) for k in order if got["swapped"][k] is not None]
     weights, bias = fit([examples[k] for k in order], got["toxic"].to_numpy(dtype=float)[order], pairs, penalty)
     return Scorer(weights, bias)
 
