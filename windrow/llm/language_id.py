@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,6 +162,37 @@ def train(docs: DataFrame, max_rows: int = 2_000, windows_each: int = 12) -> Net
     return net
 
 
+def predict(net: Network | None, tables: tuple[np.ndarray, np.ndarray] | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; windows of many texts go through the network together."""
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    rows, sizes, owners = [], [], []
+
+    def settle() -> None:
+        if not rows:
+            return
+        out, size = net.outputs(np.concatenate(rows), tables), np.concatenate(sizes)
+        starts = np.cumsum([0] + [len(s) for s in sizes[:-1]])
+        mean = np.add.reduceat(out * size[:, None], starts) / np.add.reduceat(size, starts)[:, None]
+        prob = np.exp(mean - mean.max(1, keepdims=True))
+        prob /= prob.sum(1, keepdims=True)
+        best = prob.argmax(1)
+        for k, owner in enumerate(owners):
+            names[owner], scores[owner] = net.languages[best[k]], min(1.0, float(prob[k, best[k]]))
+        rows.clear(), sizes.clear(), owners.clear()
+
+    waiting = 0
+    for k, text in enumerate(texts):
+        if net and text and LETTER.search(text):
+            x, size = windows_of(text.encode(), net.table)
+            rows.append(x), sizes.append(size), owners.append(k)
+            waiting += len(x)
+            if waiting > 4096:
+                settle()
+                waiting = 0
+    settle()
+    return names, scores
+
+
 def identify(docs: DataFrame, max_rows: int = 2_000) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs (doc_id, text, lang).
 
@@ -173,32 +205,20 @@ def identify(docs: DataFrame, max_rows: int = 2_000) -> DataFrame:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = net.fold() if net else None
         for batch in batches:
-            names, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            rows, sizes, owners = [], [], []
-
-            def settle() -> None:
-                if not rows:
-                    return
-                out, size = net.outputs(np.concatenate(rows), tables), np.concatenate(sizes)
-                starts = np.cumsum([0] + [len(s) for s in sizes[:-1]])
-                mean = np.add.reduceat(out * size[:, None], starts) / np.add.reduceat(size, starts)[:, None]
-                prob = np.exp(mean - mean.max(1, keepdims=True))
-                prob /= prob.sum(1, keepdims=True)
-                best = prob.argmax(1)
-                for k, owner in enumerate(owners):
-                    names[owner], scores[owner] = net.languages[best[k]], float(prob[k, best[k]])
-                rows.clear(), sizes.clear(), owners.clear()
-
-            waiting = 0
-            for k, text in enumerate(batch["text"]):
-                if net and text and LETTER.search(text):
-                    x, size = windows_of(text.encode(), net.table)
-                    rows.append(x), sizes.append(size), owners.append(k)
-                    waiting += len(x)
-                    if waiting > 4096:
-                        settle()
-                        waiting = 0
-            settle()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": np.minimum(scores, 1.0)})
+            names, scores = predict(net, tables, batch["text"].tolist())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": scores})
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(apply, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5, max_rows: int = 2_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose language identify names with a score of `least` or more."""
+    net = train(docs, max_rows)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.fold() if net else None
+        for batch in batches:
+            names, scores = predict(net, tables, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.components import components
@@ -282,3 +282,26 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = classes.join(reached, "key", "left").select("key", F.coalesce("reached", "first_id").alias("reached"))
     out = seen.select("doc_id", "n", "key").join(known, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its component.
+
+    Rows that share a doc_id are one document, of which the row with the smallest text stays. Rows with a
+    null doc_id cannot be told apart by it; they stay, but for repeats of one text. A document without
+    words links with nothing and stays.
+    """
+    tagged = cut_lineage(join_components(docs, words, percent))
+    going = tagged.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    twice = tagged.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    going, twice = (cut_lineage(df) for df in (going.withColumnRenamed("doc_id", "_gone"), twice.withColumnRenamed("doc_id", "_twice")))
+    if going.count() <= broadcast_rows:
+        going = F.broadcast(going)
+    kept = docs.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    small = F.broadcast(twice) if twice.count() <= broadcast_rows else twice
+    again = kept.join(small, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = again.filter("doc_id IS NOT NULL").withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    return kept.join(small, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti").unionByName(named).unionByName(again.filter("doc_id IS NULL").dropDuplicates(["text"]))

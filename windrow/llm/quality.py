@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> Space |
     return fit([(got["at"][k], got["n"][k]) for k in order], got["quality"].to_numpy()[order])
 
 
+def score_texts(space: Space | None, texts: list[str | None], neighbours: int, at_once: int = 1024) -> np.ndarray:
+    scores = np.full(len(texts), 0.5)
+    if space is not None:
+        for at in range(0, len(texts), at_once):
+            part = texts[at : at + at_once]
+            counts = np.stack([term_counts(t)[space.terms] for t in part])
+            scores[at : at + len(part)] = np.where([bool(t and t.strip()) for t in part], space.votes(space.place(counts), neighbours), 0.0)
+    return scores
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, neighbours: int = 25, max_rows: int = 4_000) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from the threshold on) for each row of docs (doc_id, text).
 
@@ -128,16 +139,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ne
     its score is 0. Without labels every score is 0.5. Rows with a null doc_id are scored and count as
     held out; repeated rows come back as often as given. Other columns are not read.
     """
-    space = train(docs, labels, max_rows)
+    space = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scores = np.full(len(batch), 0.5)
-            if space is not None:
-                for at in range(0, len(batch), 1024):
-                    texts = batch["text"].iloc[at : at + 1024]
-                    counts = np.stack([term_counts(t)[space.terms] for t in texts])
-                    scores[at : at + len(texts)] = np.where([bool(t and t.strip()) for t in texts], space.votes(space.place(counts), neighbours), 0.0)
+            scores = score_texts(space.value, batch["text"].tolist(), neighbours)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(apply, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, neighbours: int = 25, max_rows: int = 4_000) -> DataFrame:
+    """The rows of docs, with all their columns, that score_quality predicts 1 for."""
+    space = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(space.value, batch.column("text").to_pylist(), neighbours) >= threshold))
+
+    return docs.mapInArrow(apply, docs.schema)

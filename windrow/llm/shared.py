@@ -13,16 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it back from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (as in tests on one
-    machine) is a temporary folder used.
+    It is the session's spark.checkpoint.dir. Only where that is unset (as in tests on one machine) is a
+    temporary folder used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="windrow-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
