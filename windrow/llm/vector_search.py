@@ -62,10 +62,15 @@ class CentroidGraph:
         self.near = np.concatenate([self.near, np.random.default_rng(1).permutation(n)[:, None]], axis=1)
         self.entries = np.linspace(0, n - 1, min(n, 16)).astype(np.int64)
 
-    def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to `want` centroids nearest to each row found by best-first search, and their squared distances (inf where there are fewer)."""
+    def search(self, x: np.ndarray, want: int, breadth: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Up to `want` centroids nearest to each row found by best-first search, and their squared distances (inf where there are fewer).
+
+        The search ends when the nearest centroid not yet expanded is farther than the `breadth` nearest
+        ones (`want`, if that is more).
+        """
         rows, n = len(x), len(self.centroids)
         want = min(want, n)
+        breadth = min(max(want, breadth), n)
         seen = np.zeros((rows, n), dtype=bool)
         gaps = np.full((rows, n), np.inf)
         done = np.zeros((rows, n), dtype=bool)
@@ -80,7 +85,7 @@ class CentroidGraph:
             gaps[who, node] = ((x[who] - self.centroids[node]) ** 2).sum(1)
             open_gap = np.where(done[active], np.inf, gaps[active])
             best = open_gap.argmin(1)
-            limit = np.partition(gaps[active], want - 1, axis=1)[:, want - 1]
+            limit = np.partition(gaps[active], breadth - 1, axis=1)[:, breadth - 1]
             reach = open_gap[np.arange(len(active)), best]
             going = np.isfinite(reach) & (reach <= limit)
             active, best = active[going], best[going]
@@ -94,7 +99,7 @@ class CentroidGraph:
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, list_rows: int = 128, most_lists: int = 512, closure: float = 1.15,
-    most_copies: int = 4, reach: float = 1.7, probe: int = 64, block_rows: int = 2_048,
+    most_copies: int = 4, reach: float = 1.25, probe: int = 96, block_rows: int = 2_048,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: for each query its k nearest vectors found, by largest inner product.
 
