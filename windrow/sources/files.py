@@ -15,7 +15,7 @@ from windrow.functions.text import escapes_root, normalize_newlines, normalize_p
 
 
 def load_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder. Content is read only where it is used."""
+    """All files below a folder, but for names that begin with `_` or `.`, which Spark takes for hidden, and for empty files, which it does not read. Content is read only where it is used."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1].lstrip("/")) + "/", "")
     return files.select(below.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")

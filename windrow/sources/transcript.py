@@ -93,11 +93,20 @@ def segments_json(segments: Column) -> Column:
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """Lines (session, line_no, line) outside code fences, with the number of the `## ` block they stand in. Fences may hold lines that look like headers."""
-    order = Window.partitionBy("session").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marks = F.sum(F.col("line").startswith("```").cast("int")).over(order)
-    outside = lines.withColumn("marks", marks).filter((F.col("marks") % 2 == 0) & ~F.col("line").startswith("```"))
-    return outside.withColumn("block", F.sum(F.col("line").startswith("## ").cast("int")).over(order)).drop("marks")
+    """Lines (session, line_no, line) that stand before the first code fence of their `## ` block, with the block's number.
+
+    Contents stand in fences but may hold fences and headers themselves. So a header counts only where a
+    time stamp follows two lines later, as the writer puts it, and nothing after a block's first fence
+    is looked at: all fields come before it.
+    """
+    order = Window.partitionBy("session").orderBy("line_no")
+    stamped = F.coalesce(F.lead("line", 2).over(order).startswith("- TimestampUtc: "), F.lit(False))
+    starts = F.col("line").startswith("## ") & (stamped | (F.col("line") == "## Session Started"))
+    rows = lines.withColumn("starts", starts.cast("int"))
+    rows = rows.withColumn("block", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+    in_block = Window.partitionBy("session", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    fences = F.sum(F.col("line").startswith("```").cast("int")).over(in_block)
+    return rows.withColumn("fences", fences).filter("fences = 0").drop("fences")
 
 
 def _number(text: Column) -> Column:

@@ -18,13 +18,13 @@ OUTPUT = "conv_id long, seq long, outcome string, error string, tokens_before lo
 STATE = "state string"
 
 
-def prepare_stream(log: DataFrame, profile: Profile, idle: str = "1 hour") -> DataFrame:
+def prepare_stream(log: DataFrame, profile: Profile, idle_ms: int = 3_600_000) -> DataFrame:
     """The result of each prepare in a stream of log rows, as OUTPUT.
 
     log: conv_id, seq, kind (`append`, `prepare` or `close`), role, tokens, masked_tokens, is_pinned,
     provider. Rows of one micro-batch are put in the order of seq; a row whose seq is not over the last
     one seen came twice or too late and is left out. Each conversation's state is its list of counts
-    (no contents), turn and correction; `close` or `idle` without rows clears it, and rows after a close
+    (no contents), turn and correction; `close` or `idle_ms` milliseconds without rows clear it, and rows after a close
     give an error row.
     """
 
@@ -52,7 +52,7 @@ def prepare_stream(log: DataFrame, profile: Profile, idle: str = "1 hour") -> Da
                 p = talk.prepare()
                 out.append((key[0], r.seq, p["outcome"], p["error"], p["before"], p["after"], p["masked"], p["dropped"]))
         state.update((json.dumps(held | {n: getattr(talk, n) for n in ("rows", "turn", "corr", "last", "changed")}),))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=["conv_id", "seq", "outcome", "error", "tokens_before", "tokens_after", "masked", "dropped"])
         yield frame.astype({c: "Int64" for c in ("tokens_before", "tokens_after", "masked", "dropped")})
 
