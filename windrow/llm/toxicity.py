@@ -116,8 +116,19 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[np.n
     x, before, after = (Rows([_places(e, kept) for e in side], len(kept)) for side in (examples, [a for a, _ in swapped], [b for _, b in swapped]))
     weight = np.where(labels == 1, 0.5 / base, 0.5 / (1 - base)) / len(labels)
     w, ahead, momentum = np.zeros(len(kept)), np.zeros(len(kept)), 1.0
-    rate_of = 0.25 * (weight * (np.bincount(x.row, minlength=x.n) + 1)).sum() + 4 * penalty * (1 if swapped else 0)
-    step = 8.0 / max(rate_of, 1e-9) if not swapped else 2.0 / max(rate_of, 1e-9)
+
+    def curve(v: np.ndarray) -> np.ndarray:
+        """An upper bound of the loss's second derivative along v."""
+        out = x.back(0.25 * weight * x.times(v))
+        if swapped:
+            d = (before.times(v) - after.times(v)) * (2 * penalty / len(swapped))
+            out += before.back(d) - after.back(d)
+        return out
+
+    v = np.ones(len(kept))
+    for _ in range(30):  # power iteration for the steepest direction
+        v = curve(v / np.linalg.norm(v))
+    step = 0.9 / max(float(np.linalg.norm(v)), 1e-12)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x.times(ahead) + BIAS, -30, 30)))
         r = weight * (p - labels)
