@@ -31,14 +31,15 @@ def outcome_distribution(rows: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("share", percent(F.col("n"), F.sum("n").over(Window.partitionBy(*by))))
 
 
-def invariant_violations(turns: DataFrame, window_tokens: DataFrame | None = None) -> DataFrame:
+def invariant_violations(turns: DataFrame, window_tokens: DataFrame | int | None = None) -> DataFrame:
     """session, turn, invariant, observed, expected and severity of each violation, severe ones first in each session.
 
-    window_tokens: session, window_tokens. The first invariant may fail for a good reason: a corrected
+    window_tokens: one number, or a table of session and window_tokens. The first invariant may fail for a good reason: a corrected
     estimate can fall without any change to the history.
     """
     order = Window.partitionBy("session").orderBy("turn")
-    rows = turns.join(window_tokens, "session", "left") if window_tokens is not None else turns.withColumn("window_tokens", F.lit(None).cast("bigint"))
+    by_session = isinstance(window_tokens, DataFrame)
+    rows = turns.join(window_tokens, "session", "left") if by_session else turns.withColumn("window_tokens", F.lit(window_tokens).cast("bigint"))
     rows = rows.withColumn("p_before", F.lag("before").over(order)).withColumn("p_compacted", F.lag("compacted").over(order))
     gap = F.abs(F.col("input") - F.col("after"))
     checks = [

@@ -23,10 +23,18 @@ def tool_names(messages: DataFrame) -> DataFrame:
 
 
 def resolved_results(messages: DataFrame) -> DataFrame:
-    """conv_id, msg_idx, tool_call_id and resolved name of the tool results of unpinned messages; an unknown call's name is its id."""
-    results = messages.filter(~F.col("is_pinned")).select("conv_id", "msg_idx", F.explode(F.filter("segments", lambda s: s["kind"] == "tool_result")).alias("r"))
-    results = results.select("conv_id", "msg_idx", F.col("r.tool_call_id").alias("tool_call_id"))
-    return results.join(tool_names(messages), ["conv_id", "tool_call_id"], "left").withColumn("tool_name", F.coalesce("tool_name", "tool_call_id"))
+    """conv_id, msg_idx, tool_call_id and resolved name of the tool results of unpinned messages; an unknown call's name is its id.
+
+    Calls and results are exploded together, without contents, and meet in one window over the call id:
+    one scan and one exchange instead of a join.
+    """
+    bare = F.transform(F.filter("segments", lambda s: s["kind"] != "text"), lambda s: F.struct(s["kind"].alias("kind"), s["tool_call_id"].alias("id"), s["tool_name"].alias("name")))
+    parts = messages.filter(~F.col("is_pinned")).select("conv_id", "msg_idx", F.posexplode(bare).alias("seg", "s"))
+    parts = parts.select("conv_id", "msg_idx", "seg", "s.kind", F.col("s.id").alias("tool_call_id"), "s.name")
+    is_call = F.col("kind") == "tool_use"
+    last = F.max_by(F.when(is_call, F.col("name")), F.when(is_call, F.struct("msg_idx", "seg"))).over(Window.partitionBy("conv_id", "tool_call_id"))
+    named = parts.withColumn("tool_name", F.coalesce(last, F.col("tool_call_id")))
+    return named.filter("kind = 'tool_result'").select("conv_id", "msg_idx", "tool_call_id", "tool_name")
 
 
 def measured(messages: DataFrame, template: str, counter: Counter = count_segments) -> DataFrame:

@@ -31,13 +31,13 @@ def from_conversations(conversations: DataFrame, pages: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role, text; pages: page_id, html. System rows are pinned.
     """
-    n_pages = pages.agg(F.count("*").alias("n_pages"))
+    n_pages = pages.count()
     source = conversations.select(
         "conv_id", F.col("turn").alias("at"), F.lit(0).alias("part"),
         F.when(F.col("role") == "system", "System").when(F.col("role") == "user", "User").otherwise("Model").alias("role"), "text",
     )
     call = F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("at"))
-    source = source.join(F.broadcast(n_pages)).withColumn("page", F.when(F.col("role") == "Model", (F.col("conv_id") * 31 + F.col("at")) % F.col("n_pages")))
+    source = source.withColumn("page", F.when(F.col("role") == "Model", (F.col("conv_id") * 31 + F.col("at")) % max(n_pages, 1)))
     arguments = F.concat(F.lit('{"page_id":'), F.col("page"), F.lit("}"))
     said = F.when(F.col("role") == "Model", F.array(text_segment(F.col("text")), tool_use(call, F.lit("web_fetch"), arguments))).otherwise(F.array(text_segment(F.col("text"))))
     rows = source.select("conv_id", "at", "part", "role", said.alias("segments"))

@@ -292,8 +292,7 @@ def audit_outcomes(spark, sf_dir):
 
 @query
 def audit_invariants(spark, sf_dir):
-    turns = turn_table(spark, sf_dir)
-    return audit.invariant_violations(turns, turns.select("session").distinct().withColumn("window_tokens", F.lit(2000))).drop("severity")
+    return audit.invariant_violations(turn_table(spark, sf_dir), 2000).drop("severity")
 
 
 @query

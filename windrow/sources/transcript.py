@@ -134,9 +134,11 @@ def turn_table(lines: DataFrame) -> DataFrame:
         kind.alias("kind"), turn.alias("turn"), number("TokensBeforeCompaction").alias("before"), number("TokensAfterCompaction").alias("after"), value("Outcome").alias("outcome"),
         number("MessagesCompacted").alias("compacted"), number("InputTokensReported").alias("input"), number("OutputTokensReported").alias("output"), number("TotalTokensReported").alias("total"),
     )
-    prepared = one.filter("kind = 'prepare'").select("session", "turn", "before", "after", "outcome", "compacted")
-    responded = one.filter("kind = 'response'").select("session", "turn", "input", "output", "total")
-    return prepared.join(responded, ["session", "turn"], "left")
+    of = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col(name))).alias(name)
+    both = one.filter("turn IS NOT NULL").groupBy("session", "turn").agg(
+        F.count_if(F.col("kind") == "prepare").alias("prepares"), *(of("prepare", n) for n in ("before", "after", "outcome", "compacted")), *(of("response", n) for n in ("input", "output", "total"))
+    )
+    return both.filter("prepares > 0").drop("prepares")
 
 
 def session_totals(turns: DataFrame) -> DataFrame:
