@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windrow.llm.shared import small_batches
+
 Q, STRIDE, SECOND_Q = 8, 4, 4
 BITS = 22
 
@@ -182,6 +184,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars
     """
     schema = "doc_id long, item_id long, start long, end long, edits int"
     out = None
+    small_batches(docs.sparkSession)
     for index in index_blocks(items, percent, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -198,6 +201,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs, with all their columns, that hold none of the items (as find_items says)."""
+    small_batches(docs.sparkSession)
     for index in index_blocks(items, percent, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windrow.llm.shared import small_batches
+
 #: Element names and class words by the part they play.
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -335,4 +337,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(page) for page in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": pd.Series(texts, batch.index, dtype=object), "n_chars": pd.Series([len(t) for t in texts], batch.index, dtype="int64")})
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id"), "url", "html").mapInPandas(apply, "page_id long, url string, text string, n_chars long")

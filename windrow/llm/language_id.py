@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import held_out, sample_rows
+from windrow.llm.shared import held_out, sample_rows, small_batches
 
 LENGTH, DIM, FILTERS, WIDTHS, CLASSES = 128, 8, 16, (2, 3, 4), 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -119,7 +119,7 @@ class Network:
         second = np.concatenate([pair(at(w3, 2), np.zeros_like(at(w3, 2))), pair(at(w4, 2), at(w4, 3))], 1)
         return np.ascontiguousarray(first), np.ascontiguousarray(second)
 
-    def outputs(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray], at_once: int = 256) -> np.ndarray:
+    def outputs(self, x: np.ndarray, tables: tuple[np.ndarray, np.ndarray], at_once: int = 64) -> np.ndarray:
         """The softmax layer's inputs for rows of classes."""
         out = np.empty((len(x), len(self.languages)), dtype=np.float32)
         for k in range(0, len(x), at_once):
@@ -186,7 +186,7 @@ def predict(net: Network | None, tables: tuple[np.ndarray, np.ndarray] | None, t
             x, size = windows_of(text.encode(), net.table)
             rows.append(x), sizes.append(size), owners.append(k)
             waiting += len(x)
-            if waiting > 4096:
+            if waiting > 1024:
                 settle()
                 waiting = 0
     settle()
@@ -200,6 +200,7 @@ def identify(docs: DataFrame, max_rows: int = 2_000) -> DataFrame:
     learned from. Ties go to the language that sorts first. Rows with a null doc_id are predicted and
     count as held out; repeated rows come back as often as given. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     net = train(docs, max_rows)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,6 +214,7 @@ def identify(docs: DataFrame, max_rows: int = 2_000) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5, max_rows: int = 2_000) -> DataFrame:
     """The rows of docs, with all their columns, whose language identify names with a score of `least` or more."""
+    small_batches(docs.sparkSession)
     net = train(docs, max_rows)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.components import components
-from windrow.llm.shared import cut_lineage
+from windrow.llm.shared import cut_lineage, small_batches
 
 SKETCH = 2**22
-SLICE = 2**21
+SLICE = 2**19
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 2**64)
 U = np.uint64
@@ -135,11 +135,11 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        total = np.zeros(SKETCH, dtype=np.uint32)
         for batch in batches:
             for _, _, data, bounds in _slices(batch.column("text")):
                 values, _ = shingle_sets(data, bounds, words)
-                total += np.bincount((values & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                np.add.at(total, (values & U(SKETCH - 1)).view(np.int64), np.uint32(1))
         yield packed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
         yield packed(total)
 
     def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"counts": pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())})
+        return pa.record_batch({"counts": pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32, copy=False).data, 1)], pa.binary())})
 
     def unpacked(part: bytes) -> np.ndarray:
         return np.frombuffer(zlib.decompress(part), dtype=np.uint32)
@@ -186,6 +186,10 @@ def short_lists(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, n long, key long, short array<long>")
 
 
+def _unpacked(rank: str, n: str, pos: str) -> tuple:
+    return F.col(rank).bitwiseAND(2**32 - 1).alias(n), F.shiftright(rank, 32).alias(pos)
+
+
 def _room(percent: int):
     """Whether classes (n, pos) and (m, at) that meet in a short list leave room for T, by sizes and ranks."""
     least = F.least("n", "m")
@@ -251,17 +255,19 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     never the smallest if the component has another. Other columns are not read. Sets and texts of any
     length are handled whole.
     """
+    small_batches(docs.sparkSession)
     seen = cut_lineage(short_lists(docs, words, percent))
     classes = cut_lineage(seen.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id")))
 
-    postings = seen.select("key", "n", F.posexplode("short").alias("pos", "token")).select("token", "key", "n", F.col("pos").cast("long").alias("pos"))
-    hubs = postings.groupBy("token").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min(F.struct("pos", "n", "key")).alias("hub"))
-    hubs = hubs.filter("k0 <> k1").select(F.col("token").alias("t"), "hub")
-    live = cut_lineage(postings.join(hubs, F.col("token") == F.col("t")).select("token", "key", "n", "pos", "hub").distinct())
+    rank = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n"))
+    postings = seen.select("key", "n", F.posexplode("short").alias("pos", "token")).select("token", "key", rank.alias("rank"))
+    hubs = postings.groupBy("token").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min_by("key", "rank").alias("other"), F.min("rank").alias("other_rank"))
+    hubs = hubs.filter("k0 <> k1").select(F.col("token").alias("t"), "other", "other_rank")
+    live = postings.join(hubs, F.col("token") == F.col("t")).select("token", "key", *_unpacked("rank", "n", "pos"), "other", *_unpacked("other_rank", "m", "at"))
+    live = cut_lineage(live.distinct())
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    with_hub = live.select("key", "n", "pos", F.col("hub.key").alias("other"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("at"))
-    stars = cut_lineage(with_hub.filter((F.col("key") != F.col("other")) & _room(percent)).select(*ordered("key", "other")).distinct())
+    stars = cut_lineage(live.filter((F.col("key") != F.col("other")) & _room(percent)).select(*ordered("key", "other")).distinct())
     links = cut_lineage(probe(docs, classes, stars, words, percent))
 
     labels = components(links)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import held_out, sample_rows
+from windrow.llm.shared import held_out, sample_rows, small_batches
 
 #: The marks that are classes of their own.
 MARKS = ".,!?*&%$#|-=@/:;()'\"_"
@@ -69,7 +69,7 @@ class Space:
         latent = (np.log1p(counts).astype(np.float32) * self.weight) @ self.basis
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
-    def votes(self, latent: np.ndarray, neighbours: int, block: int = 1024) -> np.ndarray:
+    def votes(self, latent: np.ndarray, neighbours: int, block: int = 256) -> np.ndarray:
         """For each row the share of label 1 among its nearest labelled vectors, weighted by cosine."""
         out = np.empty(len(latent))
         k = min(neighbours, len(self.labels))
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> Space |
     return fit([(got["at"][k], got["n"][k]) for k in order], got["quality"].to_numpy()[order])
 
 
-def score_texts(space: Space | None, texts: list[str | None], neighbours: int, at_once: int = 1024) -> np.ndarray:
+def score_texts(space: Space | None, texts: list[str | None], neighbours: int, at_once: int = 256) -> np.ndarray:
     scores = np.full(len(texts), 0.5)
     if space is not None:
         for at in range(0, len(texts), at_once):
@@ -139,6 +139,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ne
     its score is 0. Without labels every score is 0.5. Rows with a null doc_id are scored and count as
     held out; repeated rows come back as often as given. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     space = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,6 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ne
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, neighbours: int = 25, max_rows: int = 4_000) -> DataFrame:
     """The rows of docs, with all their columns, that score_quality predicts 1 for."""
+    small_batches(docs.sparkSession)
     space = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Have texts go to Python workers in batches of at most `rows`; a smaller setting of the session stays.
+
+    A batch of the default 10,000 texts takes hundreds of MB of a worker's memory where texts are long.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back from there."""
     shared_dir(df.sparkSession)

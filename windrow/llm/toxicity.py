@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import held_out, sample_rows
+from windrow.llm.shared import held_out, sample_rows, small_batches
 
 #: Mentions that may stand for one another, by kind.
 IDENTITY_TERMS = [
@@ -196,6 +196,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     scored and count as held out; repeated rows come back as often as given. Without labels of both
     kinds every text gets one constant score. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     scorer = train(docs, labels, max_rows)
     weights, bias = scorer.weights, scorer.bias
 
