@@ -443,7 +443,7 @@ def task_duplicate_ids(spark, sf_dir):
 def file_table(spark, sf_dir):
     suffix = F.when(F.col("doc_id") % 3 == 0, ".MD").otherwise(".txt")
     path = F.concat("source", F.lit("/"), "lang", F.lit("/Doc-"), "doc_id", suffix)
-    return table(spark, sf_dir, "documents").filter("doc_id < 400").select(path.alias("path"), F.octet_length("text").cast("long").alias("length"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.octet_length("text").cast("long").alias("length"))
 
 
 @query
