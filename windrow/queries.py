@@ -379,7 +379,7 @@ def collapse_whitespace(spark, sf_dir):
 
 @query
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query
