@@ -184,10 +184,15 @@ def read_blocks(page: str) -> list[_Block]:
     return blocks
 
 
+#: Cost of one aside ancestor: more than the most in a block's favour (710) and the most its edges can pull
+#: (two of 160 and two of 60) together, so that no block in an aside is ever content.
+ASIDE_COST = 1200
+
+
 def costs(block: _Block) -> tuple[int, int]:
     """Cost of calling the block content, cost of calling it boilerplate; in hundredths."""
     element, size = block.element, len(block.text)
-    against = 700 * element.aside + (2000 if element.hidden else 0)
+    against = ASIDE_COST * element.aside + (2000 if element.hidden else 0)
     share = block.linked / size
     if share > 0.5:
         against += int((150 if element.article else 350) * share)
