@@ -255,6 +255,12 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     never the smallest if the component has another. Other columns are not read. Sets and texts of any
     length are handled whole.
     """
+    seen, known = linked_classes(docs, words, percent)
+    return _named(seen, known)
+
+
+def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and key (of its set) for each row of docs; and for each key with shingles its component and the smallest doc_id reached."""
     small_batches(docs.sparkSession)
     seen = cut_lineage(short_lists(docs, words, percent))
     classes = cut_lineage(seen.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id")))
@@ -284,30 +290,58 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = components(links)
     named = labels.join(classes, labels["node"] == classes["key"]).select("label", "node", "first_id")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("reached"))
-    reached = named.join(smallest, "label").select(F.col("node").alias("key"), "reached")
-    known = classes.join(reached, "key", "left").select("key", F.coalesce("reached", "first_id").alias("reached"))
+    reached = named.join(smallest, "label").select(F.col("node").alias("key"), "label", "reached")
+    known = classes.join(reached, "key", "left").select("key", F.coalesce("label", "key").alias("component"), F.coalesce("reached", "first_id").alias("reached"))
+    return seen, known
+
+
+def _named(seen: DataFrame, known: DataFrame) -> DataFrame:
     out = seen.select("doc_id", "n", "key").join(known, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of its component.
+    """One row of each component of docs, with all its columns: the one with the smallest doc_id.
 
-    Rows that share a doc_id are one document, of which the row with the smallest text stays. Rows with a
-    null doc_id cannot be told apart by it; they stay, but for repeats of one text. A document without
-    words links with nothing and stays.
+    Rows whose doc_id is null or shared are told apart by their text: each belongs to the component of its
+    own set. Of the rows of a component with its smallest doc_id, or of one with null ids only, the row
+    with the smallest text stays. A text without words links with nothing and stays; of rows with equal
+    doc_id and text one stays.
     """
-    tagged = cut_lineage(join_components(docs, words, percent))
+    seen, known = linked_classes(docs, words, percent)
+    tagged = cut_lineage(_named(seen, known))
     going = tagged.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    twice = tagged.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = tagged.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
     going, twice = (cut_lineage(df) for df in (going.withColumnRenamed("doc_id", "_gone"), twice.withColumnRenamed("doc_id", "_twice")))
     if going.count() <= broadcast_rows:
         going = F.broadcast(going)
-    kept = docs.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
     if twice.isEmpty():
-        return kept
-    small = F.broadcast(twice) if twice.count() <= broadcast_rows else twice
-    again = kept.join(small, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = again.filter("doc_id IS NOT NULL").withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    return kept.join(small, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti").unionByName(named).unionByName(again.filter("doc_id IS NULL").dropDuplicates(["text"]))
+        return docs.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
+    shared = twice.filter("_twice IS NOT NULL")
+    small = F.broadcast(shared) if shared.count() <= broadcast_rows else shared
+    named = docs.filter("doc_id IS NOT NULL")
+    once = named.join(small, F.col("doc_id") == F.col("_twice"), "left_anti").join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = named.join(small, F.col("doc_id") == F.col("_twice"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    again = again.dropDuplicates(["doc_id", "text"])
+    keyed = cut_lineage(set_keys(again, words))
+    # the first row of each set, then the first of each component; neither gathers a group in one task
+    place = F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_text")
+    first = keyed.filter("_n > 0").groupBy("_key").agg(F.min(place).alias("place"))
+    first = first.join(known, F.col("_key") == F.col("key")).filter(F.col("place._id").eqNullSafe(F.col("reached")))
+    first = first.groupBy("component").agg(F.min("place").alias("place")).select("place._id", "place._text")
+    staying = cut_lineage(first.unionByName(keyed.filter("_n = 0").select("_id", "_text")))
+    chosen = again.join(staying, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")
+    return once.unionByName(chosen)
+
+
+def set_keys(docs: DataFrame, words: int) -> DataFrame:
+    """_id, _text, and the size _n and name _key of its set for each row of docs."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, bounds in _slices(batch.column("_text")):
+                values, sizes = shingle_sets(data, bounds, words)
+                rows = batch.slice(at, end - at)
+                yield pa.record_batch({"_id": rows.column("_id"), "_text": rows.column("_text"), "_n": pa.array(sizes.astype(np.int64)), "_key": pa.array(_set_keys(values, sizes))})
+
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(apply, "_id long, _text string, _n long, _key long")
