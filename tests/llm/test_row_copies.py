@@ -32,6 +32,14 @@ def test_clean_text_under_a_repeated_id_stays(spark):
     assert [(d, t) for _, d, _, t in kept(spark, rows)] == [(3, a), (7, b), (11, ""), (11, c)]
 
 
+def test_null_ids_go_with_their_component(spark):
+    r = random.Random(6)
+    a, b = (words(r, "abcdefgh", 40) for _ in range(2))
+    rows = [(3, a, None), (None, a, None), (None, a + " end", None), (None, b + " x", None), (None, b + " y", None), (None, b + " x", None)]
+    assert kept(spark, rows) == [(False, 3, True, a), (True, 0, True, b + " x")]
+    assert len(kept(spark, [(None, a + " end", None), (3, a, None)])) == 1  # a single null id
+
+
 def test_rows_against_brute_force(spark):
     r = random.Random(11)
     rows = [(r.choice([None, d, d % 40]) if d is not None else d, t, s) for d, t, s in near_rows(r)] + [(None, None, None), (None, "", None), (5, None, None), (5, None, None)]
