@@ -9,6 +9,9 @@ counts as found where the alignment within the band needs at most k edits.
 Case is folded and white space counts as one space. The q-gram index of the items goes to the
 executors in blocks of at most `block_chars` characters; more items than that are searched for in as
 many passes. Texts are read whole and are not shuffled.
+
+Items of fewer than Q characters have no q-gram; they are found as whole words, without edits, in passes
+of their own.
 """
 
 from __future__ import annotations
@@ -58,10 +61,14 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).view(np.int64)
 
 
+def _by_id(found: tuple) -> tuple:
+    return found[0] is not None, *(x or 0 for x in found)
+
+
 class Index:
     """The q-grams of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int):
+    def __init__(self, items: list[tuple[int | None, str]], percent: int):
         self.ids = [item for item, _ in items]
         self.texts = [text for _, text in items]
         codes = [_codes(text) for text in self.texts]
@@ -110,7 +117,7 @@ class Index:
         here = np.bincount(at[value[at] == grams], minlength=len(value))
         return np.minimum(here, count).sum() >= count.sum() - self.edits[item] * SECOND_Q
 
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
+    def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, end, edits) of the best place of each item found in a normalized text."""
         if len(text) < Q:
             return []
@@ -128,7 +135,29 @@ class Index:
                 continue
             if place[0] <= k and (item not in best or place < best[item]):
                 best[item] = place
-        return sorted((self.ids[i], s, e, d) for i, (d, s, e) in best.items())
+        return sorted(((self.ids[i], s, e, d) for i, (d, s, e) in best.items()), key=_by_id)
+
+
+class ShortIndex:
+    """A block of items of fewer than Q characters."""
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids: dict[str, list[int | None]] = {}
+        for item, text in items:
+            self.ids.setdefault(text, []).append(item)
+        self.sizes = sorted({len(text) for text in self.ids})
+
+    def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
+        """(item id, start, end, 0) of the first place of each item that has no letter, digit or underscore of the text beside it."""
+        free = np.array([True, *(not (c == "_" or c.isalnum()) for c in text), True])  # free[p]: before p; free[p + 1]: at p
+        begins, best = np.flatnonzero(free[:-1]), {}
+        for size in self.sizes:
+            fit = begins[begins + size <= len(text)]
+            for start in fit[free[fit + size + 1]].tolist():
+                part = text[start : start + size]
+                if part in self.ids:
+                    best.setdefault(part, start)
+        return sorted(((item, at, at + len(part), 0) for part, at in best.items() for item in self.ids[part]), key=_by_id)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
@@ -157,20 +186,23 @@ def align(pattern: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> t
     return edits, start, diagonal + best + len(pattern)
 
 
-def index_blocks(items: DataFrame, percent: int, block_chars: int) -> Iterator[Index]:
-    """Indexes of the items in blocks. Items without id, with a null text or with fewer than Q characters are left out."""
-    block: list[tuple[int, str]] = []
-    size = 0
-    for row in items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
+def index_blocks(items: DataFrame, percent: int, block_chars: int) -> Iterator[Index | ShortIndex]:
+    """Indexes of the items in blocks, those with fewer than Q characters apart. Items with a null or blank text hold nothing to search for."""
+    blocks: dict[bool, list[tuple[int | None, str]]] = {False: [], True: []}
+    sizes = {False: 0, True: 0}
+    made = lambda short: ShortIndex(blocks[short]) if short else Index(blocks[short], percent)
+    for row in items.select("item_id", "text").filter("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
         text = normalized(row["text"])
-        if len(text) >= Q:
-            if block and size + len(text) > block_chars:
-                yield Index(block, percent)
-                block, size = [], 0
-            block.append((row["item_id"], text))
-            size += len(text)
-    if block:
-        yield Index(block, percent)
+        if text:
+            short = len(text) < Q
+            if blocks[short] and sizes[short] + len(text) > block_chars:
+                yield made(short)
+                blocks[short], sizes[short] = [], 0
+            blocks[short].append((row["item_id"], text))
+            sizes[short] += len(text)
+    for short in (False, True):
+        if blocks[short]:
+            yield made(short)
 
 
 def find_items(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars: int = 4_000_000) -> DataFrame:
@@ -180,7 +212,8 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars
     characters in edits (fewer for items under some 100 characters, where the lemma needs it). start and
     end count characters of the normalized text. A repeated document row gives repeated rows; items that
     share an id are searched for one by one. Null and empty texts hold nothing; a null doc_id is kept.
-    Items with fewer than 8 characters are not searched for. Other columns are not read.
+    Items with fewer than 8 characters are held where they occur as whole words, without edits. A null
+    item_id is kept. Other columns are not read.
     """
     schema = "doc_id long, item_id long, start long, end long, edits int"
     out = None
@@ -192,7 +225,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars
             for batch in batches:
                 rows = [(doc, *place) for doc, text in zip(batch["doc_id"], batch["text"]) for place in shared.value.search(normalized(text))]
                 frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
-                yield frame.assign(doc_id=pd.array([None if pd.isna(d) else int(d) for d in frame["doc_id"]], dtype="Int64"))
+                yield frame.assign(**{name: pd.array([None if pd.isna(x) else int(x) for x in (row[k] for row in rows)], dtype="Int64") for k, name in enumerate(("doc_id", "item_id"))})
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(apply, schema)
         out = found if out is None else out.union(found)
