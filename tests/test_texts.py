@@ -1,6 +1,9 @@
 """Text functions, files, automation logs, providers, transcripts and streams."""
 
+import datetime
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 from windrow import schema
 from windrow.functions import text as T
 from windrow.operators import audit, providers
+from windrow.plans.anchor import Conversation
+from windrow.plans.budget import Budget, Profile, WindowOptions
 from windrow.sources import automation, files, transcript
 
 
@@ -144,36 +149,67 @@ def test_transcript_and_audit(spark):
     assert tuple(shown) == ("1,234 / 2,000 (61.7%)", None)
 
 
-def test_streamed_prepares_equal_the_batch(spark, tmp_path):
-    from windrow.plans.anchor import Conversation
-    from windrow.plans.budget import Budget, Profile, WindowOptions
+def run_stream(spark, tmp_path, batches, profile, **options):
+    """Each batch of log rows is a file of its own; the results as {(conv_id, seq): row} and the number of batches without rows."""
     from windrow.streaming import sessions
 
+    schema_ = "conv_id long, seq long, ts timestamp, kind string, role string, tokens long, masked_tokens long, is_pinned boolean, provider long"
+    source = tmp_path / "in"
+    source.mkdir()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema_).coalesce(1).write.parquet(str(tmp_path / f"batch{k}"))
+        (part,) = (tmp_path / f"batch{k}").glob("*.parquet")
+        part.rename(source / f"{k}.parquet")
+        os.utime(source / f"{k}.parquet", (1_000_000 + 10 * k,) * 2)  # the source reads the oldest file first
+    stream = spark.readStream.schema(schema_).option("maxFilesPerTrigger", 1).parquet(str(source))
+    spark.conf.set(sessions.STORE, sessions.ROCKS)
+    query = sessions.prepare_stream(stream, profile, **options).writeStream.format("memory").queryName(f"prepared{tmp_path.name}").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        query.processAllAvailable()
+        time.sleep(3)
+        idle = sum(p["numInputRows"] == 0 for p in query.recentProgress)
+    finally:
+        query.stop()
+        spark.conf.unset(sessions.STORE)
+    return {(r["conv_id"], r["seq"]): r for r in spark.table(f"prepared{tmp_path.name}").collect()}, idle
+
+
+def at(seconds):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+
+
+def test_streamed_prepares_equal_the_batch(spark, tmp_path):
     profile = Profile("p", Budget(100, 0.5, 0.8), WindowOptions(1, 0.2))
-    schema_ = "conv_id long, seq long, kind string, role string, tokens long, masked_tokens long, is_pinned boolean, provider long"
-    rows, want = [], []
+    first, second, want = [], [], {}
     for conv in range(3):
         talk = Conversation(profile)
         for seq in range(0, 12, 2):
             tokens = 10 + conv * 7 + seq
-            rows.append((conv, seq, "append", "Tool" if seq % 4 else "User", tokens, 5 if seq % 4 else None, False, None))
-            talk.append(*rows[-1][3:6])
-            rows.append((conv, seq + 1, "prepare", None, None, None, None, None))
+            row = (conv, seq, at(seq), "append", "Tool" if seq % 4 else "User", tokens, 5 if seq % 4 else None, False, None)
+            (first if seq < 6 else second).extend([row, (conv, seq + 1, at(seq + 1), "prepare", None, None, None, None, None)])
+            talk.append(*row[4:7])
             p = talk.prepare()
-            want.append((conv, seq + 1, p["outcome"], p["after"]))
-    rows += [(0, 20, "close", None, None, None, None, None), (0, 21, "prepare", None, None, None, None, None), (1, 3, "append", "User", 500, None, False, None)]
-    frame = spark.createDataFrame(rows, schema_)
-    source = str(tmp_path / "in")
-    frame.filter("seq < 6").coalesce(1).write.parquet(source)
-    frame.filter("seq >= 6").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema_).option("maxFilesPerTrigger", 1).parquet(source)
-    query = sessions.prepare_stream(stream, profile).writeStream.format("memory").queryName("prepared").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = {(r["conv_id"], r["seq"]): (r["outcome"], r["tokens_after"], r["error"]) for r in spark.table("prepared").collect()}
-    assert got.pop((0, 21))[2] == "Closed"
-    if (1, 3) in {(r[0], r[1]) for r in rows if r[2] == "append"}:  # came late: left out unless its batch was the first
-        assert {k: v[:2] for k, v in got.items() if k[0] != 1} == {(c, s): (o, a) for c, s, o, a in want if c != 1}
+            want[conv, seq + 1] = (p["outcome"], p["error"], p["before"], p["after"], p["masked"], p["dropped"])
+    second += [(0, 20, at(20), "close", None, None, None, None, None), (0, 21, at(21), "prepare", None, None, None, None, None), (1, 3, at(3), "append", "User", 500, None, False, None)]
+    want[0, 21] = (None, "Closed", None, None, None, None)
+    got, idle = run_stream(spark, tmp_path, [first, second], profile)
+    assert {k: tuple(r)[2:] for k, r in got.items()} == want  # the late row of conversation 1 changes nothing
+    assert idle <= 2
+
+
+def test_idle_conversations_are_cleared(spark, tmp_path):
+    profile = Profile("p", Budget(100, 0.5, 0.8), WindowOptions(1, 0.2))
+    line = lambda seq, seconds, kind, conv=1: (conv, seq, at(seconds), kind, "User", 10, None, False, None)
+    batches = [[line(0, 0, "append"), line(1, 1, "prepare")], [line(0, 500, "append", 2)], [line(0, 1000, "append", 2)], [line(2, 1001, "append"), line(3, 1002, "prepare")]]
+    got, _ = run_stream(spark, tmp_path, batches, profile, idle_ms=60_000, lateness="1 second")
+    assert (got[1, 1]["tokens_before"], got[1, 3]["tokens_before"]) == (10, 10)  # what was said before is forgotten
+
+
+def test_state_store_is_checked(spark):
+    from windrow.streaming import sessions
+
+    with pytest.raises(ValueError, match="RocksDB"):
+        sessions.prepare_stream(spark.readStream.format("rate").load(), Profile("p", Budget(100)))
 
 
 def test_windowed_counts_and_written_transcripts(spark, tmp_path):

@@ -2,62 +2,98 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from windrow.plans.anchor import Conversation
 from windrow.plans.budget import Profile
 from windrow.sources.transcript import render
 
 OUTPUT = "conv_id long, seq long, outcome string, error string, tokens_before long, tokens_after long, masked long, dropped long"
-STATE = "state string"
+ROWS = "role string, tokens long, masked_tokens long, pinned boolean, turn int"
+MARKS = "last_seq long, closed boolean, turn int, corr long, last long, changed boolean"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def prepare_stream(log: DataFrame, profile: Profile, idle_ms: int = 3_600_000) -> DataFrame:
-    """The result of each prepare in a stream of log rows, as OUTPUT.
+def _number(value) -> int | None:
+    return None if pd.isna(value) else int(value)
 
-    log: conv_id, seq, kind (`append`, `prepare` or `close`), role, tokens, masked_tokens, is_pinned,
-    provider. Rows of one micro-batch are put in the order of seq; a row whose seq is not over the last
-    one seen came twice or too late and is left out. Each conversation's state is its list of counts
-    (no contents), turn and correction; `close` or `idle_ms` milliseconds without rows clear it, and rows after a close
-    give an error row.
-    """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        talk, held = Conversation(profile), json.loads(state.get[0]) if state.exists else {"last_seq": None, "closed": False}
-        for name in ("rows", "turn", "corr", "last", "changed"):
-            if name in held:
-                setattr(talk, name, held[name])
+class _Prepares(StatefulProcessor):
+    """The counts of a conversation's messages are a list state, which a batch only appends to; all else is one small value."""
+
+    def __init__(self, profile: Profile, idle_ms: int):
+        self.profile, self.idle_ms = profile, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows, self.marks = handle, handle.getListState("rows", ROWS), handle.getValueState("marks", MARKS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        talk = Conversation(self.profile)
+        last_seq, closed, known = None, False, 0
+        if self.marks.exists():
+            last_seq, closed, talk.turn, talk.corr, talk.last, talk.changed = self.marks.get()
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        stamps = batch["ts"].dropna()
+        if not closed and (batch["kind"] == "prepare").any():
+            talk.rows = [{"role": r[0], "tokens": r[1], "masked_tokens": r[2], "pinned": r[3], "turn": r[4]} for r in self.rows.get()]
+            known = len(talk.rows)
         out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if held["last_seq"] is not None and r.seq <= held["last_seq"]:
+        for r in batch.itertuples():
+            if last_seq is not None and r.seq <= last_seq:
                 continue
-            held["last_seq"] = int(r.seq)
-            number = lambda v: None if pd.isna(v) else int(v)
-            if held["closed"]:
-                out.append((key[0], r.seq, None, "Closed", None, None, None, None))
+            last_seq = int(r.seq)
+            if closed:
+                out.append((key[0], last_seq, None, "Closed", None, None, None, None))
             elif r.kind == "close":
-                held["closed"], talk.rows = True, []
+                closed = True
             elif r.kind == "append":
-                talk.append(r.role, int(r.tokens), number(r.masked_tokens), bool(r.is_pinned), number(r.provider))
+                talk.append(r.role, int(r.tokens), _number(r.masked_tokens), bool(r.is_pinned), _number(r.provider))
             else:
                 p = talk.prepare()
-                out.append((key[0], r.seq, p["outcome"], p["error"], p["before"], p["after"], p["masked"], p["dropped"]))
-        state.update((json.dumps(held | {n: getattr(talk, n) for n in ("rows", "turn", "corr", "last", "changed")}),))
-        state.setTimeoutDuration(idle_ms)
+                out.append((key[0], last_seq, p["outcome"], p["error"], p["before"], p["after"], p["masked"], p["dropped"]))
+        if closed:
+            self.rows.clear()
+        elif len(talk.rows) > known:
+            self.rows.appendList([(r["role"], r["tokens"], r["masked_tokens"], r["pinned"], r["turn"]) for r in talk.rows[known:]])
+        self.marks.update((last_seq, closed, talk.turn, talk.corr, talk.last, talk.changed))
+        if len(stamps):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(stamps.max().value // 1_000_000) + self.idle_ms)
         frame = pd.DataFrame(out, columns=["conv_id", "seq", "outcome", "error", "tokens_before", "tokens_after", "masked", "dropped"])
         yield frame.astype({c: "Int64" for c in ("tokens_before", "tokens_after", "masked", "dropped")})
 
-    rows = log.select("conv_id", "seq", "kind", "role", "tokens", "masked_tokens", "is_pinned", "provider")
-    return rows.groupBy("conv_id").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.rows.clear()
+        self.marks.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def prepare_stream(log: DataFrame, profile: Profile, idle_ms: int = 3_600_000, lateness: str = "10 minutes") -> DataFrame:
+    """The result of each prepare in a stream of log rows, as OUTPUT.
+
+    log: conv_id, seq, ts, kind (`append`, `prepare` or `close`), role, tokens, masked_tokens, is_pinned,
+    provider. Rows of one micro-batch are put in the order of seq; a row whose seq is not over the last
+    one seen came twice or too late and is left out. A conversation's state is the list of its counts
+    (no contents), turn and correction; `close` clears the list, and rows after a close give an error
+    row. idle_ms of event time after a conversation's last row its state is cleared as a whole. The time
+    is the rows' own (the watermark is `lateness` behind), so an idle stream starts no batches.
+
+    List and value states need the RocksDB state store; the session's setting is checked.
+    """
+    if log.sparkSession.conf.get(STORE, "") != ROCKS:
+        raise ValueError(f"prepare_stream needs {STORE} = {ROCKS}")
+    rows = log.select("conv_id", "seq", "ts", "kind", "role", "tokens", "masked_tokens", "is_pinned", "provider").withWatermark("ts", lateness)
+    return rows.groupBy("conv_id").transformWithStateInPandas(_Prepares(profile, idle_ms), OUTPUT, "append", "eventTime")
 
 
 def exchange_counts(events: DataFrame, lateness: str = "10 minutes", every: str = "5 minutes") -> DataFrame:
