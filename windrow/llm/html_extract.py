@@ -1,14 +1,18 @@
 """HTML extraction by minimum cut.
 
-A page is read into text blocks. A classifier gives each block a cost for either label: costs against
-content come from the elements and class names around it and from its share of linked text, costs
-against boilerplate from article elements and from plain running text. The costs are the capacities of
-the edges from the source and to the sink; neighbouring blocks, and blocks next to each other among
-the children of one element, are joined by smoothness edges that weaken with their distance in the
-tree. The minimum cut between source and sink is the cheapest labelling. Before the maximum flow is
-computed, nodes whose own costs outweigh all their edges are fixed, which leaves the minimum as it is.
-
-Pages are handled one by one within Arrow batches; nothing is shuffled.
+A page is read into text blocks and the elements that hold them. Both are nodes of a graph. A classifier
+gives each node a cost for either label: a block's comes from its text (how many words, how many of them
+linked, whether it ends like a sentence, set phrases of notices, adverts and comment sections), an
+element's from its name. These costs are the capacities of the edges from the source and to the sink.
+Blocks next to each other, blocks and the element that holds them, and elements and the one around them
+are joined by smoothness edges, stronger the closer they stand in the tree. The minimum cut between
+source and sink is the cheapest labelling: short lines of an article stay with it, the text of a footer
+without a name does not.
+
+What menus, forms, asides and the like hold (by element, role or class) is boilerplate in any case.
+
+Before the maximum flow is computed, nodes whose own costs outweigh all their edges are fixed, which
+leaves the minimum as it is. Pages are handled one by one within Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,20 +22,24 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import small_batches
+from windrow.llm.shared import slices
 
 #: Element names and class words by the part they play.
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: Block elements that hold one piece of text rather than a part of the page.
+PIECE = set("address caption dd dt figcaption h1 h2 h3 h4 h5 h6 hgroup legend li p pre summary tr".split())
+#: Block elements that belong to the running text around them.
+FLOW = set("blockquote center dd dir dl fieldset figure hr ol table tbody tfoot thead ul".split())
 SPACE = {"br", "td", "th", "wbr"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN = set("script style noscript template iframe object svg math title textarea select button canvas audio video noframes".split())
+UNSHOWN = set("script style noscript template iframe object svg title textarea select button canvas audio video noframes annotation annotation-xml".split())
 ASIDE_TAGS = set("nav footer aside form menu dialog".split())
 ARTICLE_WORDS = {"article", "articlebody", "main", "post", "entry", "story", "content"}
 ASIDE_WORDS = set(
@@ -40,9 +48,30 @@ ASIDE_WORDS = set(
     "comment comments commentlist disqus reply replies respond newsletter subscribe subscription signup login search pagination pager widget "
     "toolbar copyright disclaimer skip".split()
 )
+#: Words that may stand beside those of ASIDE_WORDS in a class without changing what it means.
+PLAIN_WORDS = ARTICLE_WORDS | set(
+    "area articles author bar block body bottom box button buttons child children col column component container count desktop fixed form global google "
+    "header icon icons inner item items large left link links list message meta mobile module outer page panel policy posts primary right row secondary "
+    "section settings site slot small sticky stories text thread title top tree unit wrap wrapper".split()
+)
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "menu", "article", "section", "div", "nav", "body"}
+#: Set phrases of notices, adverts and calls to act, and of terms, which may close an article as well.
+NOTICE = re.compile(
+    r"\b(?:uses? cookies|accept (?:all )?cookies|cookie (?:policy|settings|preferences)|newsletter|sign up (?:for|to|now)|subscribe (?:to|now|today)|enter your e-?mail"
+    r"|advertisement|sponsored (?:content|post|by)|share (?:this|on)|follow us|log ?in to (?:comment|reply)|leave a (?:comment|reply)|click here"
+    r"|verwende[nt] cookies|cookies verwenden|jetzt anmelden|anzeige|utilis(?:e|ons) des cookies|abonnez-vous|publicité"
+    r"|(?:utiliza(?:mos)?|usa(?:mos)?) cookies|suscríbe(?:te|ase)|publicidad)\b",
+    re.I,
+)
+TERMS = re.compile(r"\b(?:all rights reserved|privacy policy|terms of (?:use|service)|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\b|^(?:©|copyright\b|\(c\) )", re.I)
+#: Headings under which readers' comments or links to other articles follow.
+AFTERWORD = re.compile(
+    r"(?:\d+\s+|(?:reader|user|your|all|add|post|latest) )*(?:comments?|replies|responses|kommentare?|leserkommentare|commentaires?|comentarios?|related (?:articles|posts|stories|links|news)|read (?:also|more|next)"
+    r"|you (?:may|might) also like|more (?:articles|stories|news)|leave a (?:comment|reply)|join the (?:discussion|conversation))(?:\s*[:(].{0,12})?[.:!]?",
+    re.I,
+)
 
 TAG = re.compile(r"<(?:!--(?s:.*?)(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$|["'])""", re.I)
@@ -50,19 +79,25 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 END = {tag: re.compile(rf"</{tag}\s*/?>", re.I) for tag in UNSHOWN}
 
 
+def _is_aside(name: str) -> bool:
+    """Whether a class or id speaks of something beside the article, and of nothing else (`cookie-notice`, not `related-work`)."""
+    words = {w.lower() for w in NAME.findall(name)}
+    return bool(words & ASIDE_WORDS) and all(w in ASIDE_WORDS or w in PLAIN_WORDS or len(w) < 3 for w in words)
+
+
 class _Element:
-    __slots__ = ("tag", "aside", "article", "hidden", "linked", "number", "depth", "parent")
+    __slots__ = ("tag", "aside", "article", "linked", "number", "depth", "parent")
 
     def __init__(self, tag: str, parent: _Element | None, number: int, attributes: str = ""):
         self.tag, self.parent, self.number = tag, parent, number
         self.depth = parent.depth + 1 if parent else 0
-        self.aside, self.article, self.hidden, self.linked = (parent.aside, parent.article, parent.hidden, parent.linked) if parent else (0, False, False, False)
+        self.aside, self.article, self.linked = (parent.aside, parent.article, parent.linked) if parent else (False, False, False)
         if tag == "a":
             self.linked = True
         elif tag in ("article", "main"):
             self.article = True
         elif tag in ASIDE_TAGS or tag == "header" and not self.article:
-            self.aside += 1
+            self.aside = True
         if attributes.strip(" /"):
             self._attributes(attributes)
 
@@ -70,26 +105,27 @@ class _Element:
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                self.hidden = True
+                self.aside = True
             elif name == "role":
-                self.aside += value.lower() in ASIDE_ROLES
+                self.aside = self.aside or value.lower() in ASIDE_ROLES
                 self.article = self.article or value.lower() in ("main", "article")
             elif name == "itemprop":
                 self.article = self.article or value.lower() == "articlebody"
             elif name in ("class", "id") and self.tag not in ("html", "body", "main"):
-                words = {w.lower() for w in NAME.findall(value)}
-                if words & ASIDE_WORDS or "header" in words and not self.article and not words & ARTICLE_WORDS:
-                    self.aside += 1
-                elif words & ARTICLE_WORDS:
-                    self.article = self.article or self.tag != "body"
+                for part in value.split():
+                    words = {w.lower() for w in NAME.findall(part)}
+                    if _is_aside(part) or "header" in words and not self.article and words <= PLAIN_WORDS and not words & ARTICLE_WORDS:
+                        self.aside = True
+                    elif words & ARTICLE_WORDS and words <= PLAIN_WORDS:
+                        self.article = True
 
 
 class _Block:
-    __slots__ = ("text", "linked", "element", "heading")
+    __slots__ = ("text", "linked", "element", "level")
 
     def __init__(self, text: str, linked: int, element: _Element):
         self.text, self.linked, self.element = text, linked, element
-        self.heading = len(element.tag) == 2 and element.tag[0] == "h" and element.tag[1].isdigit()
+        self.level = int(element.tag[1]) if len(element.tag) == 2 and element.tag[0] == "h" and element.tag[1].isdigit() else 0
 
 
 def read_blocks(page: str) -> list[_Block]:
@@ -147,7 +183,8 @@ def read_blocks(page: str) -> list[_Block]:
                     break
             continue
         if tag in UNSHOWN:
-            if not attributes.rstrip().endswith("/"):
+            # only foreign elements can close themselves, and not by the slash of an unquoted value
+            if tag != "svg" or not re.search(r"(?:^|[\s\"'])/\s*$", attributes):
                 close = END[tag].search(page, at)
                 at = close.end() if close else end
             continue
@@ -184,50 +221,106 @@ def read_blocks(page: str) -> list[_Block]:
     return blocks
 
 
-#: Cost of one aside ancestor: more than the most in a block's favour (710) and the most its edges can pull
-#: (two of 160 and two of 60) together, so that no block in an aside is ever content.
-ASIDE_COST = 1200
-
-
-def costs(block: _Block) -> tuple[int, int]:
-    """Cost of calling the block content, cost of calling it boilerplate; in hundredths."""
-    element, size = block.element, len(block.text)
-    against = ASIDE_COST * element.aside + (2000 if element.hidden else 0)
-    share = block.linked / size
-    if share > 0.5:
-        against += int((150 if element.article else 350) * share)
-    if block.text[0] in "©" or block.text.lower().startswith(("copyright ", "all rights reserved")):
-        against += 200
-    favour = 60 + min(300, 12 * block.text.count(" ")) * (share <= 0.5)
-    if element.article:
-        favour += 300
-    if block.heading:
-        favour += 50
-    return against, favour
-
-
-def _distance(a: _Element, b: _Element) -> int:
-    steps = 0
-    while a is not b and steps < 12:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-        steps += 1
-    return steps
-
-
-def smoothness(blocks: list[_Block]) -> list[tuple[int, int, int]]:
-    """Edges (i, j, capacity) between adjacent blocks and between successive children of one element."""
-    edges, last = [], {}
-    for i, block in enumerate(blocks):
-        parent = block.element.parent.number if block.element.parent else -1
-        if i:
-            edges.append((i - 1, i, 160 // (1 + _distance(blocks[i - 1].element, block.element))))
-        if parent in last:
-            edges.append((last[parent], i, 60))
-        last[parent] = i
-    return edges
+#: What an aside's or a hidden block's content would cost, and an article element that is none: more than all other costs of a page together.
+NEVER = 10**9
+#: Smoothness: between a block and the element that holds it, within an article and elsewhere; between an element and the
+#: one around it; between neighbouring blocks of one element and of different ones. Costs are hundredths. Elements within
+#: an article belong to it, whatever they hold; a block may still cost too much.
+IN_ARTICLE, IN_ELEMENT, OF_ELEMENTS, NEIGHBOURS, ACROSS = 400, 80, 30, 80, 20
+#: Lists, quotations and tables are tied more closely to what surrounds them than parts of the page are.
+OF_FLOW = 120
+
+
+def _holder(element: _Element) -> _Element:
+    """The element that holds a block as a part of the page."""
+    while element.parent is not None and element.tag in PIECE:
+        element = element.parent
+    return element
+
+
+def text_costs(blocks: list[_Block]) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
+    """Cost of calling each block content, cost of calling it boilerplate, by its text and what stands around it; and the same costs of the page's parts by number.
+
+    A block is taken for content by its unlinked words; a short one is hardly taken for anything, but a part
+    of the page with a few words only is taken for boilerplate and one with many for content. How many words
+    are few is measured against the page's longest block, so that a page of short lines is not boilerplate
+    as a whole.
+    """
+    words = [0 if b.linked * 2 > len(b.text) else b.text.count(" ") + 1 for b in blocks]
+    longest = max((n for b, n in zip(blocks, words) if not b.element.aside), default=0)
+    base = min(100, 4 * longest)
+    held: dict[int, int] = {}  # unlinked words
+    out: list[tuple[int, int]] = []
+    after: tuple[_Element, int] | None = None  # the holder and level of the heading of an afterword
+    for b, n in zip(blocks, words):
+        holder = _holder(b.element)
+        if after is not None and (b.level and b.level <= (after[1] or 6) or not _within(holder, after[0])):
+            after = None
+        short = b.text.count(" ") < 8
+        if short and (b.level or b.element.tag == "p" or holder is b.element) and AFTERWORD.fullmatch(b.text):
+            after = holder, b.level
+        favour = min(300, 12 * n)
+        if b.level:
+            favour += 50
+        elif b.text[-1] in ".!?…:;»”\"'":
+            favour += 40
+        against = min(base, favour + 5)
+        if b.linked * 2 > len(b.text):
+            against += 350 * b.linked // len(b.text)
+        if NOTICE.search(b.text):
+            against += 700 if n <= 25 else 300
+        elif TERMS.search(b.text):
+            against += 300
+        if after is not None:
+            against += 1200
+        out.append((NEVER if b.element.aside else against, favour))
+        part = holder
+        while part.parent is not None and part.tag in FLOW:
+            part = part.parent
+        if not part.article:
+            held[part.number] = held.get(part.number, 0) + n + 8 * (b.level > 0)
+    whole = {0} | {b.element.number for b in blocks if b.element.tag in ("html", "body")}
+    return out, {number: (0, 120) if n >= 25 else (0 if number in whole else base * 60 // 100, 0) for number, n in held.items() if n >= 25 or n < 8}
+
+
+def _within(element: _Element | None, outer: _Element) -> bool:
+    while element is not None and element.depth >= outer.depth:
+        if element is outer:
+            return True
+        element = element.parent
+    return False
+
+
+def page_graph(blocks: list[_Block]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """The nodes' costs of True (content) and of False, blocks first, and the edges (i, j, cost of different labels).
+
+    Elements follow the blocks; those of asides are left out, as all their blocks are decided.
+    """
+    costs, parts = text_costs(blocks)
+    edges, node = [], {}
+
+    def number_of(element: _Element) -> int:
+        new, at = [], element
+        while at is not None and at.number not in node:
+            node[at.number] = len(costs)
+            costs.append((0, NEVER) if at.article and not (at.parent and at.parent.article) else parts.get(at.number, (0, 0)))
+            new.append(at)
+            at = at.parent
+        for e in new:
+            if e.parent is not None:
+                edges.append((node[e.number], node[e.parent.number], NEVER if e.parent.article else OF_FLOW if e.tag in FLOW else OF_ELEMENTS))
+        return node[element.number]
+
+    last: tuple[int, int] | None = None
+    for i, b in enumerate(blocks):
+        if b.element.aside:
+            continue
+        holder = _holder(b.element)
+        edges.append((i, number_of(holder), IN_ARTICLE if holder.article else IN_ELEMENT))
+        if last is not None:
+            edges.append((last[0], i, NEIGHBOURS if last[1] == holder.number else ACROSS))
+        last = i, holder.number
+    return costs, edges
 
 
 def minimum_cut(unary: list[tuple[int, int]], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -326,21 +419,24 @@ def _flow(free: list[int], gain: list[int], near: list[dict[int, int]], label: l
 
 def main_text(page: str | None) -> str:
     blocks = read_blocks(page or "")
-    keep = minimum_cut([costs(b) for b in blocks], smoothness(blocks))
+    keep = minimum_cut(*page_graph(blocks))
     return "\n".join(b.text for b, kept in zip(blocks, keep) if kept)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    A null or empty page gives empty text. Repeated rows come back as often as given, and columns other
-    than these are not read. Texts of any length and depth of nesting are read whole, without recursion.
+    A null or empty page gives empty text. Where both labels of a block cost the same it is boilerplate.
+    A null page_id or url is kept. Repeated rows come back as often as given, and columns other than these
+    are not read. Texts of any length and depth of nesting are read whole, without recursion.
     """
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page) for page in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": pd.Series(texts, batch.index, dtype=object), "n_chars": pd.Series([len(t) for t in texts], batch.index, dtype="int64")})
+            for part in slices(batch, "html"):
+                texts = [main_text(page.as_py()) for page in part.column("html")]
+                yield pa.record_batch({
+                    "page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+                })
 
-    small_batches(pages.sparkSession)
-    return pages.select(F.col("page_id"), "url", "html").mapInPandas(apply, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(apply, "page_id long, url string, text string, n_chars long")

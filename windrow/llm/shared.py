@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,24 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset (as in tests on one machine) is a
-    temporary folder used.
+    It is the session's spark.checkpoint.dir. Where that is unset, a session whose executors are threads of
+    one machine (as in tests) takes a temporary folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="windrow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="windrow-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Have texts go to Python workers in batches of at most `rows`; a smaller setting of the session stays.
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2**22) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with some `most` bytes of text in them; a longer text is a run of its own.
 
-    A batch of the default 10,000 texts takes hundreds of MB of a worker's memory where texts are long.
+    Spark bounds a batch by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch); Python objects
+    are only made of one run at a time.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, rows)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
