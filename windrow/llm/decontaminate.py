@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 An item of m characters that occurs in a text with at most k edits shares at least m - q + 1 - kq of
-its q-grams with that place, and the shared ones lie within k + 1 neighbouring diagonals (position in
-the text less position in the item). So the shared q-grams are counted in bands of diagonals that
+its q-grams with that place (of those of 8 characters at every fourth position, (m - 8) / 4 + 1 - 2k),
+and the shared ones lie within k + 1 neighbouring diagonals (position in the text less position in the
+item). So the shared q-grams are counted in bands of diagonals that
 overlap by half, each as wide as 2 (k + 1); only bands that reach the bound are aligned, and the item
 counts as found where the alignment within the band needs at most k edits.
 
@@ -19,15 +20,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import small_batches
+from windrow.llm.shared import slices
 
 Q, STRIDE, SECOND_Q = 8, 4, 4
 BITS = 22
+#: Added to diagonals, which may be negative, before they are divided into bands.
+SHIFT = 1 << 40
 
 
 def normalized(text: str | None) -> str:
@@ -40,20 +42,14 @@ def _codes(text: str) -> np.ndarray:
     return (points ^ (points >> 7)).astype(np.uint8)
 
 
-def q_grams(codes: np.ndarray) -> np.ndarray:
-    """The Q bytes from each position on, as one number."""
-    size = len(codes) - Q + 1
-    if size <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    return np.ndarray((size,), dtype="<u8", buffer=codes.tobytes(), strides=(1,))
-
-
-def _short_grams(codes: np.ndarray) -> np.ndarray:
-    wide = codes.astype(np.uint32)
-    size = max(0, len(codes) - SECOND_Q + 1)
-    out = np.zeros(size, dtype=np.uint32)
-    for k in range(SECOND_Q):
-        out = (out << np.uint32(8)) | wide[k : k + size]
+def q_grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """The q (up to 8) bytes from each position on, as one number."""
+    size = max(0, len(codes) - q + 1)
+    if q == 8 and size:
+        return np.ndarray((size,), dtype="<u8", buffer=codes.tobytes(), strides=(1,))
+    out = np.zeros(size, dtype=np.uint64)
+    for k in range(q):
+        out = (out << np.uint64(8)) | codes[k : k + size].astype(np.uint64)
     return out
 
 
@@ -65,30 +61,30 @@ def _by_id(found: tuple) -> tuple:
     return found[0] is not None, *(x or 0 for x in found)
 
 
-class Index:
-    """The q-grams of a block of items."""
+class Grams:
+    """The q-grams, at every `stride`-th place, of those items of an index for which this q is the greatest that tells."""
 
-    def __init__(self, items: list[tuple[int | None, str]], percent: int):
-        self.ids = [item for item, _ in items]
-        self.texts = [text for _, text in items]
-        codes = [_codes(text) for text in self.texts]
-        grams = [q_grams(c)[::STRIDE] for c in codes]
+    def __init__(self, q: int, stride: int, items: list[int], codes: list[np.ndarray], edits: np.ndarray):
+        self.q, self.items, self.edits = q, np.array(items), edits[items]
+        grams = [q_grams(codes[i], q)[::stride] for i in items]
         sizes = np.array([len(g) for g in grams], dtype=np.int64)
-        wanted = np.array([len(t) * percent // 100 for t in self.texts], dtype=np.int64)
-        # with too many edits the lemma says nothing; short items are held to fewer
-        self.edits = np.minimum(wanted, np.maximum(0, (sizes - 1) // 2))
-        self.bound = sizes - 2 * self.edits
-        self.second = [np.unique(_short_grams(c), return_counts=True) for c in codes]
-        value, item, place = np.concatenate(grams), np.repeat(np.arange(len(items)), sizes), np.concatenate([np.arange(n) * STRIDE for n in sizes])
+        self.lengths = np.array([len(codes[i]) for i in items], dtype=np.int64)
+        self.bound = lemma_bound(self.lengths, self.edits, q, stride)
+        value, item, place = np.concatenate(grams), np.repeat(np.arange(len(items)), sizes), np.concatenate([np.arange(n) * stride for n in sizes])
         order = np.argsort(value, kind="stable")
         self.item, self.place = item[order], place[order]
         self.value, self.start, self.count = np.unique(value[order], return_index=True, return_counts=True)
         self.present = np.zeros(2**BITS, dtype=bool)
         self.present[_slots(self.value)] = True
 
-    def candidates(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first diagonal of the band) of the bands that reach their item's bound."""
-        grams = q_grams(codes)
+    def candidates(self, codes: np.ndarray, at_once: int = 1 << 20) -> list[tuple[int, int]]:
+        """(item, first diagonal of the band) of the bands that reach their item's bound.
+
+        Shared q-grams are expanded into (item, band) some `at_once` at a time, in the order of the text. A
+        band that no later place can add to is judged and forgotten, so what is held does not grow with the
+        length of the text.
+        """
+        grams = q_grams(codes, self.q)
         at = np.flatnonzero(self.present[_slots(grams)])
         if not len(at):
             return []
@@ -99,36 +95,76 @@ class Index:
         if len(at) < self.bound.min():
             return []
         n = self.count[found]
-        which = np.repeat(self.start[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.item[which], np.repeat(at, n) - self.place[which]
-        width = self.edits[item] + 1
-        band = (diagonal + (1 << 40) // width * width) // width
-        key = np.concatenate([(item << 42) + band, (item << 42) + band - 1])
-        bands, shared = np.unique(key, return_counts=True)
-        which = bands >> 42
-        good = shared >= self.bound[which]
-        return [(int(i), int(((b & ((1 << 42) - 1)) - (1 << 40) // (self.edits[i] + 1)) * (self.edits[i] + 1))) for i, b in zip(which[good], bands[good])]
+        total = np.cumsum(n)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(at_once, total[-1], at_once), side="right"), [len(at)]]))
+        out: list[tuple[int, int]] = []
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            m = n[low:high]
+            which = np.repeat(self.start[found[low:high]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            item, diagonal = self.item[which], np.repeat(at[low:high], m) - self.place[which]
+            width = self.edits[item] + 1
+            band = (diagonal + SHIFT // width * width) // width
+            new, shared = np.unique(np.concatenate([(item << 42) + band, (item << 42) + band - 1]), return_counts=True)
+            if len(keys):
+                every, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                keys, counts = every, np.bincount(place, weights=np.concatenate([counts, shared])).astype(np.int64)
+            else:
+                keys, counts = new, shared
+            which = keys >> 42
+            width = self.edits[which] + 1
+            first = ((keys & ((1 << 42) - 1)) - SHIFT // width) * width
+            over = first + 2 * width + self.lengths[which] < at[high] if high < len(at) else np.ones(len(keys), dtype=bool)
+            good = over & (counts >= self.bound[which])
+            out += zip(self.items[which[good]].tolist(), first[good].tolist())
+            keys, counts = keys[~over], counts[~over]
+        return out
+
+
+def lemma_bound(length: np.ndarray, edits: np.ndarray, q: int, stride: int) -> np.ndarray:
+    """How many of an item's q-grams, taken at every stride-th place, are left after so many edits; each spoils those it lies in."""
+    return (length - q) // stride + 1 - edits * -(-q // stride)
+
+
+class Index:
+    """A block of items, each held with at most `percent` hundredths of its characters in edits.
+
+    An item is looked for by the longest q-grams of which the lemma leaves at least one, single characters
+    in the last resort; so short items have the same allowance as others.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]], percent: int):
+        self.ids = [item for item, _ in items]
+        self.texts = [text for _, text in items]
+        codes = [_codes(text) for text in self.texts]
+        lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        self.edits = lengths * percent // 100
+        self.second = [np.unique(q_grams(c, SECOND_Q), return_counts=True) for c in codes]
+        self.grams, left = [], np.ones(len(items), dtype=bool)
+        for q, stride in ((Q, STRIDE), (4, 1), (2, 1), (1, 1)):
+            fit = left & ((lemma_bound(lengths, self.edits, q, stride) >= 1) | (q == 1))
+            if fit.any():
+                self.grams.append(Grams(q, stride, np.flatnonzero(fit).tolist(), codes, self.edits))
+            left &= ~fit
 
     def _likely(self, item: int, near: np.ndarray) -> bool:
         """Whether a stretch of text holds as many of the item's short q-grams, repeats counted, as the lemma asks for."""
         value, count = self.second[item]
-        at = np.searchsorted(value, grams := _short_grams(near))
+        at = np.searchsorted(value, grams := q_grams(near, SECOND_Q))
         at[at == len(value)] = 0
         here = np.bincount(at[value[at] == grams], minlength=len(value))
         return np.minimum(here, count).sum() >= count.sum() - self.edits[item] * SECOND_Q
 
     def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, end, edits) of the best place of each item found in a normalized text."""
-        if len(text) < Q:
-            return []
         best: dict[int, tuple[int, int, int]] = {}
-        points = None
-        for item, diagonal in self.candidates(codes := _codes(text)):
+        codes, points = _codes(text), None
+        for item, diagonal in (c for grams in self.grams for c in grams.candidates(codes)):
             k, pattern = int(self.edits[item]), self.texts[item]
             start = text.find(pattern, max(0, diagonal), max(0, diagonal + 2 * (k + 1) + len(pattern)))
             if start >= 0:
                 place = (0, start, start + len(pattern))
-            elif self._likely(item, codes[max(0, diagonal) : max(0, diagonal + 2 * (k + 1) + len(pattern))]):
+            elif k and self._likely(item, codes[max(0, diagonal) : max(0, diagonal + 2 * (k + 1) + len(pattern))]):
                 points = points if points is not None else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 place = align(np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), points, diagonal, 2 * (k + 1))
             else:
@@ -209,39 +245,43 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars
     """doc_id, item_id, start, end and edits: the best place of each item that a document holds.
 
     docs: doc_id, text; items: item_id, text. An item is held with at most percent hundredths of its
-    characters in edits (fewer for items under some 100 characters, where the lemma needs it). start and
-    end count characters of the normalized text. A repeated document row gives repeated rows; items that
-    share an id are searched for one by one. Null and empty texts hold nothing; a null doc_id is kept.
-    Items with fewer than 8 characters are held where they occur as whole words, without edits. A null
-    item_id is kept. Other columns are not read.
+    characters, rounded down, in edits; of several places the one with the fewest edits and then the
+    first counts. start and end count characters of the normalized text. Items with fewer than 8
+    characters are held where they occur as whole words, without edits. A repeated document row gives
+    repeated rows, repeated item rows are one item, and items that share an id are searched for one by
+    one. Null and empty texts hold nothing and are held by nothing; a null doc_id or item_id is kept. Other
+    columns are not read. Texts of any length are searched whole.
     """
     schema = "doc_id long, item_id long, start long, end long, edits int"
     out = None
-    small_batches(docs.sparkSession)
     for index in index_blocks(items, percent, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def apply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc, *place) for doc, text in zip(batch["doc_id"], batch["text"]) for place in shared.value.search(normalized(text))]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
-                yield frame.assign(**{name: pd.array([None if pd.isna(x) else int(x) for x in (row[k] for row in rows)], dtype="Int64") for k, name in enumerate(("doc_id", "item_id"))})
-
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(apply, schema)
+                for part in slices(batch):
+                    rows = [(k, *place) for k, text in enumerate(part.column("text")) for place in shared.value.search(normalized(text.as_py()))]
+                    row, item, start, end, edits = zip(*rows) if rows else ((),) * 5
+                    yield pa.record_batch({
+                        "doc_id": part.column("doc_id").take(pa.array(row, pa.int64())), "item_id": pa.array(item, pa.int64()), "start": pa.array(start, pa.int64()),
+                        "end": pa.array(end, pa.int64()), "edits": pa.array(edits, pa.int32()),
+                    })
+
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, schema)
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs, with all their columns, that hold none of the items (as find_items says)."""
-    small_batches(docs.sparkSession)
     for index in index_blocks(items, percent, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not shared.value.search(normalized(text.as_py())) for text in batch.column("text")]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for part in slices(batch):
+                    clean = [not shared.value.search(normalized(text.as_py())) for text in part.column("text")]
+                    yield part.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(apply, docs.schema)
     return docs
