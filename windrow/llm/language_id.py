@@ -15,12 +15,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import held_out, sample_rows, small_batches
+from windrow.llm.shared import held_out, sample_rows, slices
 
 LENGTH, DIM, FILTERS, WIDTHS, CLASSES = 128, 8, 16, (2, 3, 4), 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -28,14 +27,13 @@ UNKNOWN = "und"
 
 
 def byte_classes(texts: list[bytes]) -> np.ndarray:
-    """A class from 1 to 63 for the most frequent bytes, ASCII letters in lower case; 0 for the others and for padding."""
+    """A class from 2 to 63 for each of the most frequent bytes, ASCII letters in lower case, and 1 for all others. 0 is padding only."""
     counts = np.zeros(256, dtype=np.int64)
     for text in texts:
         counts += np.bincount(np.frombuffer(text.lower(), dtype=np.uint8), minlength=256)
-    counts[0] = 0
-    table = np.zeros(256, dtype=np.uint8)
-    best = [b for b in np.argsort(-counts, kind="stable")[: CLASSES - 1] if counts[b]]
-    table[best] = np.arange(1, len(best) + 1)
+    table = np.ones(256, dtype=np.uint8)
+    best = [b for b in np.argsort(-counts, kind="stable")[: CLASSES - 2] if counts[b]]
+    table[best] = np.arange(2, len(best) + 2)
     for upper in range(65, 91):
         table[upper] = table[upper + 32]
     return table
@@ -140,17 +138,18 @@ def train(docs: DataFrame, max_rows: int = 2_000, windows_each: int = 12) -> Net
     ids = sample_rows(known.select("doc_id", "lang"), F.struct("doc_id", "lang"), max_rows)
     rows = known.join(ids.distinct(), ["doc_id", "lang"]).select("text", "lang")
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, lang in zip(batch["text"], batch["lang"]):
-                data = text.encode()
-                if LETTER.search(text):
-                    starts = range(0, len(data), LENGTH)
-                    out += [(data[k : k + LENGTH], lang) for k in starts[:: -(-len(starts) // windows_each)]]
-            yield pd.DataFrame(out, columns=["piece", "lang"])
-
-    got = rows.mapInPandas(pieces, "piece binary, lang string").toArrow().to_pandas()
+            for part in slices(batch):
+                out = []
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+                    data = text.encode()
+                    if LETTER.search(text):
+                        starts = range(0, len(data), LENGTH)
+                        out += [(data[k : k + LENGTH], lang) for k in starts[:: -(-len(starts) // windows_each)]]
+                yield pa.record_batch({"piece": pa.array([p for p, _ in out], pa.binary()), "lang": pa.array([l for _, l in out], pa.string())})
+
+    got = rows.mapInArrow(pieces, "piece binary, lang string").toArrow().to_pandas()
     if not len(got):
         return None
     both = sorted(zip(got["lang"], map(bytes, got["piece"])))  # the same in every run
@@ -198,29 +197,33 @@ def identify(docs: DataFrame, max_rows: int = 2_000) -> DataFrame:
 
     A text that is null or has no letter is `und` with score 0, and so is every text if no row can be
     learned from. Ties go to the language that sorts first. Rows with a null doc_id are predicted and
-    count as held out; repeated rows come back as often as given. Other columns are not read.
+    count as held out; repeated rows come back as often as given, and no rows of docs give no rows. Texts of
+    any length are read whole. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    net = train(docs, max_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, max_rows))  # of fixed size
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
         tables = net.fold() if net else None
         for batch in batches:
-            names, scores = predict(net, tables, batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": scores})
+            for part in slices(batch):
+                names, scores = predict(net, tables, part.column("text").to_pylist())
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(apply, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInArrow(apply, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, max_rows: int = 2_000) -> DataFrame:
     """The rows of docs, with all their columns, whose language identify names with a score of `least` or more."""
-    small_batches(docs.sparkSession)
-    net = train(docs, max_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, max_rows))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
         tables = net.fold() if net else None
         for batch in batches:
-            names, scores = predict(net, tables, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
+            for part in slices(batch):
+                names, scores = predict(net, tables, part.column("text").to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)

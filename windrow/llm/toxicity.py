@@ -16,11 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import held_out, sample_rows, small_batches
+from windrow.llm.shared import held_out, sample_rows, slices
 
 #: Mentions that may stand for one another, by kind.
 IDENTITY_TERMS = [
@@ -175,13 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, penalty: f
     drawn = sample_rows(known, F.struct("doc_id", "toxic"), max_rows)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(drawn, "doc_id").select("text", "toxic")
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(t) for t in batch["text"]]
-            other = [{_SWAP.get(w, w) for w in ws} if ws & _SWAP.keys() else None for ws in words]
-            yield pd.DataFrame({"ids": [_ids(w).view(np.int32) for w in words], "swapped": [None if o is None else _ids(o).view(np.int32) for o in other], "toxic": batch["toxic"].to_numpy()})
+            for part in slices(batch):
+                words = [words_of(t) for t in part.column("text").to_pylist()]
+                other = [{_SWAP.get(w, w) for w in ws} if ws & _SWAP.keys() else None for ws in words]
+                listed = lambda sets: pa.array([None if w is None else _ids(w).view(np.int32) for w in sets], pa.list_(pa.int32()))
+                yield pa.record_batch({"ids": listed(words), "swapped": listed(other), "toxic": part.column("toxic")})
 
-    got = rows.mapInPandas(apply, "ids array<int>, swapped array<int>, toxic int").toArrow().to_pandas()
+    got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(apply, "ids array<int>, swapped array<int>, toxic int").toArrow().to_pandas()
     examples = [np.asarray(a, dtype=np.int32).view(np.uint32) for a in got["ids"]]
     order = sorted(range(len(examples)), key=lambda k: (int(examples[k].sum(dtype=np.int64)), len(examples[k]), int(got["toxic"][k])))  # the same in every run
     pairs = [(examples[k], np.asarray(got["swapped"][k], dtype=np.int32).view(np.uint32)) for k in order if got["swapped"][k] is not None]
@@ -193,17 +195,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     """doc_id, held_out, score and predicted (1 from the threshold on) for each row of docs (doc_id, text).
 
     A null or empty text has the score of a text without any known feature. Rows with a null doc_id are
-    scored and count as held out; repeated rows come back as often as given. Without labels of both
-    kinds every text gets one constant score. Other columns are not read.
+    scored and count as held out; repeated rows come back as often as given, equal texts have equal scores
+    and no rows of docs give no rows. Without labels of both kinds every text gets one constant score. Texts
+    of any length are scored whole. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    scorer = train(docs, labels, max_rows)
-    weights, bias = scorer.weights, scorer.bias
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))  # the weights kept of max_rows texts
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(weights, bias)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value.weights, shared.value.bias)
         for batch in batches:
-            scores = np.array([scorer.score(t) for t in batch["text"]], dtype=float)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
+            for part in slices(batch):
+                scores = np.array([scorer.score(t) for t in part.column("text").to_pylist()], dtype=float)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))})
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(apply, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
