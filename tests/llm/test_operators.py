@@ -82,7 +82,7 @@ def test_search_recall_and_order(spark):
     x = x.astype(np.float32).astype(float)
     table = vectors(spark, x)
     got = {}
-    for row in vector_search.search(table, table.filter("vec_id % 20 = 0"), list_rows=50, block_rows=64).collect():
+    for row in vector_search.search(table, table.filter("vec_id % 20 = 0"), block_rows=64).collect():
         got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
     hits = 0
     for query in range(0, 1500, 20):

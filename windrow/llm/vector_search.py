@@ -1,14 +1,18 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids come from balanced k-means over a bounded sample. Every vector is put on the posting list of
-its nearest centroid and, if it lies near a border, on those of further centroids whose distance is
-within `closure` of the least. Centroids are found by best-first search over a graph that joins each
-to its nearest neighbours, held in each worker's memory. A query reads the lists whose centroids lie
-within `reach` times the least distance.
+Centroids come from balanced k-means over a bounded sample; there are some `LISTS_A_ROOT` times the square
+root of the rows. Every vector is put on the posting list of its nearest centroid and, if it lies near a
+border, on those of further centroids whose distance is within `closure` of the least. Centroids are
+found by best-first search over a graph that joins each to its nearest neighbours, held in each worker's
+memory. A query reads the lists whose centroids lie within `reach` times the mean distance of the
+`REFERENCE` nearest ones. reach is measured, not guessed: it is the ratio with which, within the sample, a
+`recall` share of the sampled vectors' nearest neighbours is found, where as many neighbours are asked of
+the sample as fall to its share of k. So clustered vectors have few lists read and scattered ones many,
+at any size.
 
 Lists are stored in blocks of at most `block_rows` vectors, queries of a list in blocks of at most as
 many, and each pair of blocks is one matrix product, so neither a crowded list nor a popular one ends
-up in one task.
+up in one task. Of equal vectors in a block only the smallest ids can be among the nearest.
 
 The largest inner product is turned into the least distance by one more component, sqrt(M^2 - |v|^2)
 for vectors with M the largest length, and 0 for queries. Scores are inner products of the original
@@ -17,89 +21,129 @@ vectors in double precision.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.shared import cut_lineage, sample_rows
 
+LISTS_A_ROOT, ROWS_A_CENTROID, REFERENCE = 2, 16, 16
+#: Products of equal vectors in one matrix product may differ by this share of the lengths' product.
+ROUNDING = 1e-12
 
-def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
-    """k-means whose centroids get a handicap for having more than their share of the rows."""
+
+def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """k-means over rows of equal length, with centroids of that length, so that none is near to all rows.
+
+    A centroid gets a handicap for having more than its share of the rows and an advantage for having less.
+    """
     r = np.random.default_rng(seed)
+    length = max(float(np.sqrt((x**2).sum(1).max(initial=0))), 1e-300)
     centroids = x[r.choice(len(x), lists, replace=False)]
     handicap = np.zeros(lists)
-    scale = x.var(0).sum() + 1e-12
     for _ in range(rounds):
-        near = ((centroids**2).sum(1) + handicap)[None] - 2 * x @ centroids.T
-        own = near.argmin(1)
+        own = np.concatenate([(x[at : at + 4096] @ centroids.T - handicap).argmax(1) for at in range(0, len(x), 4096)])
         size = np.bincount(own, minlength=lists)
         total = np.zeros_like(centroids)
         np.add.at(total, own, x)
-        filled = size > 0
-        centroids[filled] = total[filled] / size[filled, None]
+        far = np.sqrt((total**2).sum(1))
+        filled = far > 1e-9 * length
+        centroids[filled] = total[filled] * (length / far[filled, None])
         if (~filled).any():
             centroids[~filled] = x[r.choice(len(x), (~filled).sum())]
-        handicap += 0.05 * scale * (size / (len(x) / lists) - 1) / rounds
+        handicap = np.where(filled, handicap + 0.02 * length**2 * np.clip(np.log(np.maximum(size, 1) / (len(x) / lists)), -1, 1), 0)
     return centroids
 
 
 class CentroidGraph:
+    """Centroids, each joined to its `degree` nearest ones and to a random one."""
+
     def __init__(self, centroids: np.ndarray, degree: int = 16):
-        self.centroids = centroids
+        self.centroids, self.square = centroids, (centroids**2).sum(1)
         n = len(centroids)
-        square = (centroids**2).sum(1)
-        self.near = np.empty((n, min(degree, n)), dtype=np.int64)
+        degree = min(degree, n)
+        self.near = np.empty((n, degree), dtype=np.int64)
         for at in range(0, n, 512):
-            part = centroids[at : at + 512]
-            gap = square[None] - 2 * part @ centroids.T
-            self.near[at : at + 512] = np.argsort(gap, axis=1, kind="stable")[:, : self.near.shape[1]]
-        # every node also keeps a link to a random one, so that far regions are joined
+            gap = self.square[None] - 2 * centroids[at : at + 512] @ centroids.T
+            self.near[at : at + 512] = np.argpartition(gap, degree - 1, axis=1)[:, :degree]
+        # so that far regions are joined
         self.near = np.concatenate([self.near, np.random.default_rng(1).permutation(n)[:, None]], axis=1)
         self.entries = np.linspace(0, n - 1, min(n, 16)).astype(np.int64)
 
-    def search(self, x: np.ndarray, want: int, breadth: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """Up to `want` centroids nearest to each row found by best-first search, and their squared distances (inf where there are fewer).
+    def search(self, x: np.ndarray, ratio: float, reference: int, breadth: int = 24, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of x, centroids and distances: those within `ratio` times the mean distance of the `reference` nearest centroids.
 
-        The search ends when the nearest centroid not yet expanded is farther than the `breadth` nearest
-        ones (`want`, if that is more).
+        Best-first: the nearest centroids not yet expanded are expanded, until they are farther than that and
+        than the `breadth` nearest found. Rows are taken as many at a time as need `cells` marks at most.
         """
-        rows, n = len(x), len(self.centroids)
-        want = min(want, n)
-        breadth = min(max(want, breadth), n)
-        seen = np.zeros((rows, n), dtype=bool)
-        gaps = np.full((rows, n), np.inf)
-        done = np.zeros((rows, n), dtype=bool)
-        active = np.arange(rows)
-        fresh = np.repeat(self.entries[None], rows, axis=0)
-        while True:
-            who = np.repeat(active, fresh.shape[1])
-            node = fresh.ravel()
-            new = ~seen[who, node]
-            who, node = who[new], node[new]
-            seen[who, node] = True
-            gaps[who, node] = ((x[who] - self.centroids[node]) ** 2).sum(1)
-            open_gap = np.where(done[active], np.inf, gaps[active])
-            best = open_gap.argmin(1)
-            limit = np.partition(gaps[active], breadth - 1, axis=1)[:, breadth - 1]
-            reach = open_gap[np.arange(len(active)), best]
-            going = np.isfinite(reach) & (reach <= limit)
-            active, best = active[going], best[going]
-            if not len(active):
-                break
-            done[active, best] = True
-            fresh = self.near[best]
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :want]
-        return order, np.take_along_axis(gaps, order, 1)
+        n = len(self.centroids)
+        reference, breadth = min(reference, n), min(max(breadth, reference), n)
+        at_once = max(1, cells // n)
+        for start in range(0, len(x), at_once):
+            part = x[start : start + at_once]
+            own = (part**2).sum(1)
+            gaps = np.full((len(part), n), np.inf)
+            open_ = np.full((len(part), n), np.inf)  # of those found and not yet expanded
+            active = np.arange(len(part))
+            fresh = np.repeat(self.entries[None], len(part), axis=0)
+            while True:
+                who, node = np.repeat(active, fresh.shape[1]), fresh.ravel()
+                new = np.isinf(gaps[who, node])
+                who, node = who[new], node[new]
+                gap = np.maximum(own[who] + self.square[node] - 2 * np.einsum("ij,ij->i", part[who], self.centroids[node]), 0)
+                gaps[who, node], open_[who, node] = gap, gap
+                nearest = np.partition(gaps[active], breadth - 1, axis=1)[:, :breadth]
+                limit = np.maximum(nearest[:, breadth - 1], (ratio * np.sqrt(np.partition(nearest, reference - 1, axis=1)[:, :reference]).mean(1)) ** 2)
+                few = min(4, n)
+                best = np.argpartition(open_[active], few - 1, axis=1)[:, :few]
+                reach = np.take_along_axis(open_[active], best, 1)
+                going = np.isfinite(reach) & (reach <= limit[:, None])
+                rows = going.any(1)
+                if not rows.any():
+                    break
+                active, best, going = active[rows], best[rows], going[rows]
+                best = np.where(going, best, best[np.arange(len(best)), going.argmax(1)][:, None])
+                open_[active[:, None], best] = np.inf
+                fresh = self.near[best].reshape(len(active), -1)
+            distance = np.sqrt(gaps)
+            limit = ratio * np.sort(np.partition(distance, reference - 1, axis=1)[:, :reference], axis=1).mean(1)
+            row, node = np.nonzero(distance <= limit[:, None] * (1 + 1e-12))
+            yield start + row, node, distance[row, node]
+
+
+def measured_reach(x: np.ndarray, asked: np.ndarray, centroids: np.ndarray, closure: float, most_copies: int, k: int, recall: float) -> float:
+    """The ratio within which lie the nearest lists of a `recall` share of the k nearest rows of x to the rows `asked`.
+
+    x: rows with the added component; asked: row numbers.
+    """
+    far = lambda rows: np.sqrt(np.maximum((rows**2).sum(1)[:, None] + (centroids**2).sum(1)[None] - 2 * rows @ centroids.T, 0))
+    questions = np.concatenate([x[asked, :-1], np.zeros((len(asked), 1))], axis=1)
+    score = questions @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1.0
+    found = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    distance = far(questions)
+    reference = min(REFERENCE, len(centroids))
+    ratio = distance / np.maximum(np.partition(distance, reference - 1, axis=1)[:, :reference].mean(1), 1e-300)[:, None]
+    needed = np.empty(found.shape)
+    copies = min(most_copies, len(centroids))
+    for row, rows in enumerate(found):
+        away = far(x[rows])
+        lists = np.argpartition(away, copies - 1, axis=1)[:, :copies]
+        near = np.take_along_axis(away, lists, 1)
+        needed[row] = np.where(near <= closure * near.min(1)[:, None], ratio[row][lists], np.inf).min(1)
+    return float(np.quantile(needed, recall))
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, list_rows: int = 128, most_lists: int = 512, closure: float = 1.15,
-    most_copies: int = 4, reach: float = 1.25, probe: int = 96, block_rows: int = 2_048,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.94, sample: int = 20_000, most_sample: int = 400_000, closure: float = 1.02, most_copies: int = 2,
+    block_rows: int = 2_048,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: for each query its k nearest vectors found, by largest inner product.
 
@@ -107,8 +151,9 @@ def search(
     empty or zero, has a null, infinite or NaN component, has no vec_id, or has not as many components
     as most rows. A query is not its own neighbour: rows with its vec_id are left out. Ties go to the
     smaller vec_id; of rows that share a vec_id the nearest counts. A query gets fewer than k rows only
-    if there are fewer candidates. The centroids are fitted on at most `sample` rows; the index holds
-    all. Other columns are not read.
+    if there are fewer candidates. The centroids and the reach are fitted on at most `sample` rows, or
+    ROWS_A_CENTROID for each list if that is more, `most_sample` in any case; the index holds all rows.
+    `recall` is the share of true neighbours aimed at. Other columns are not read.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -126,49 +171,45 @@ def search(
     dim, rows, top = sizes["dim"], sizes["rows"], sizes["top"]
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
 
-    drawn = np.array([r["v"] for r in sample_rows(base, F.struct("vec_id", "v"), sample).collect()])
+    wanted = math.ceil(LISTS_A_ROOT * math.sqrt(rows))
+    drawn = np.array([r["v"] for r in sample_rows(base, F.struct("vec_id", "v"), min(most_sample, max(sample, ROWS_A_CENTROID * wanted))).collect()])
     lifted = lift(drawn, top)
-    lists = int(max(1, min(most_lists, rows // list_rows, len(drawn) // 8 or 1)))
+    lists = max(1, min(wanted, len(drawn) // ROWS_A_CENTROID))
     graph = CentroidGraph(balanced_centroids(lifted, lists))
-    shared = spark.sparkContext.broadcast(graph)
+    some = np.random.default_rng(2).permutation(len(drawn))[:256]
+    reach = measured_reach(lifted, some, graph.centroids, closure, most_copies, max(1, round(k * len(drawn) / rows)), recall)
+    shared = spark.sparkContext.broadcast(graph)  # a row for each list
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                x = lift(matrix(part.column("v"), dim), top)
-                found, gap = shared.value.search(x, most_copies)
-                near = np.isfinite(gap) & (gap <= closure**2 * gap[:, :1] + 1e-12)
-                near[:, 0] = True
-                row, rank = np.nonzero(near)
-                whose = pa.array(row)
-                yield pa.record_batch({"list": pa.array(found[row, rank].astype(np.int32)), "home": pa.array(rank == 0), "vec_id": part.column("vec_id").take(whose), "v": part.column("v").take(whose)})
+            x = lift(matrix(batch.column("v"), dim), top)
+            for row, found, distance in shared.value.search(x, closure, 1):
+                order = np.lexsort((found, distance, row))
+                row, found, distance = row[order], found[order], distance[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                near = place < most_copies
+                whose = pa.array(row[near])
+                yield pa.record_batch({"list": pa.array(found[near].astype(np.int32)), "home": pa.array(place[near] == 0), "vec_id": batch.column("vec_id").take(whose), "v": batch.column("v").take(whose)})
 
     def route(batches: Iterator[pa.RecordBatch], home: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                x = np.concatenate([matrix(part.column("v"), dim), np.zeros((len(part), 1))], axis=1)
-                found, gap = shared.value.search(x, probe)
-                near = np.isfinite(gap) & (gap <= reach**2 * gap[:, :1] + 1e-12)
-                near[:, 0] = True
-                near |= (np.cumsum(home[found], axis=1) - home[found] < 4 * k) & np.isfinite(gap)  # few rows so far: read on
-                short = np.flatnonzero((home[found] * near).sum(1) <= k)
-                row, rank = np.nonzero(near)
+            x = np.concatenate([matrix(batch.column("v"), dim), np.zeros((len(batch), 1))], axis=1)
+            for row, found, _ in shared.value.search(x, reach, REFERENCE):
+                here = np.unique(row)
+                held = np.bincount(row, weights=home[found], minlength=len(x))
+                short = here[held[here] <= k]  # too few rows: all lists, so that no candidate is missed
                 keep = ~np.isin(row, short)
-                row, lists_read = row[keep], found[row, rank][keep]
-                if len(short):  # all lists, so that no candidate is missed
-                    row, lists_read = np.concatenate([row, np.repeat(short, len(home))]), np.concatenate([lists_read, np.tile(np.arange(len(home)), len(short))])
+                row, lists_read = np.concatenate([row[keep], np.repeat(short, len(home))]), np.concatenate([found[keep], np.tile(np.arange(len(home)), len(short))])
                 whose = pa.array(row)
-                yield pa.record_batch({"list": pa.array(lists_read.astype(np.int32)), "query_id": part.column("vec_id").take(whose), "q": part.column("v").take(whose)})
+                yield pa.record_batch({"list": pa.array(lists_read.astype(np.int32)), "query_id": batch.column("vec_id").take(whose), "q": batch.column("v").take(whose)})
 
     postings = cut_lineage(base.mapInArrow(assign, "list int, home boolean, vec_id long, v array<double>"))
-    stats = {r["list"]: (r["n"], r["h"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("h")).collect()}
+    stats = {r["list"]: (r["n"], r["h"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("h")).collect()}  # a row for each list
     home = np.array([stats.get(i, (0, 0))[1] for i in range(lists)])
     routed = cut_lineage(asked.mapInArrow(lambda batches: route(batches, home), "list int, query_id long, q array<double>"))
     load = {r["list"]: r["n"] for r in routed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks = [(i, -(-stats[i][0] // block_rows), -(-load.get(i, 0) // block_rows)) for i in stats]
-    plan = F.broadcast(spark.createDataFrame(blocks, "list int, v_blocks int, q_blocks int"))  # one row for each list, most_lists at most
+    plan = F.broadcast(spark.createDataFrame(blocks, "list int, v_blocks int, q_blocks int"))  # a row for each list
 
     sided = {}
     for side, df, key, value in (("v", postings, "vec_id", "v"), ("q", routed, "query_id", "q")):
@@ -181,20 +222,19 @@ def search(
     def compare(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if q.num_rows and v.num_rows:
-            ids, x = np.asarray(v.column("id")), matrix(v.column("vector").combine_chunks(), dim)
+            ids, x = distinct_rows(np.asarray(v.column("id")), matrix(v.column("vector").combine_chunks(), dim), k + 1)
             whose, y = np.asarray(q.column("id")), matrix(q.column("vector").combine_chunks(), dim)
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
+            far = np.sqrt((x**2).sum(1).max())
             for at in range(0, len(y), 256):
-                score = y[at : at + 256] @ x.T
+                part = y[at : at + 256]
+                score = part @ x.T
                 score[whose[at : at + 256, None] == ids[None]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                # ties at the end of the list are left to the exact order below
-                value = np.take_along_axis(score, best, 1)
-                row, rank = np.nonzero(np.isfinite(value))
+                last = -np.partition(-score, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(part), -np.inf)
+                # with what equals the last within rounding; the exact order is made of exact scores below
+                row, col = np.nonzero(np.isfinite(score) & (score >= (last - ROUNDING * far * np.sqrt((part**2).sum(1)))[:, None]))
                 out["query_id"].append(whose[at + row])
-                out["vec_id"].append(ids[best[row, rank]])
-                out["score"].append((y[at + row] * x[best[row, rank]]).sum(1))
+                out["vec_id"].append(ids[col])
+                out["score"].append((part[row] * x[col]).sum(1))
         return pa.table({name: pa.array(np.concatenate(parts) if parts else [], pa.float64() if name == "score" else pa.int64()) for name, parts in out.items()})
 
     pairs = sided["q"].cogroup(sided["v"]).applyInArrow(compare, "query_id long, vec_id long, score double")
@@ -203,6 +243,22 @@ def search(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows without repeated ones, and of equal vectors those with the `most` smallest ids."""
+    mark = (x * np.random.default_rng(4).normal(size=x.shape[1])).sum(1)  # equal for equal vectors
+    order = np.lexsort((ids, mark))
+    ids, x = ids[order], x[order]
+    same = np.zeros(len(ids), dtype=bool)
+    same[1:] = (x[1:] == x[:-1]).all(1)
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = ~same[1:] | (ids[1:] != ids[:-1])
+    ids, x, same = ids[fresh], x[fresh], same[fresh]
+    starts = np.flatnonzero(~same)
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    keep = place < most
+    return ids[keep], x[keep]
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), dim)
