@@ -379,7 +379,7 @@ def test_chat_round_trip(spark):
             rows.append((conv, turn if r.random() > 0.03 else None, role, r.choice([None, "", "\\b<turn ", "</turn>\n<turn assistant>\n\\", "é😀" * 40, "w " * r.randint(1, 900)]), "x"))
     rows += [rows[0], rows[0]]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    windows = chat_format.format_windows(table, span_tokens=128, history_tokens=64, piece_turns=8).cache()
+    windows = chat_format.format_windows(table, budget_tokens=192, history_tokens=64, piece_turns=8).cache()
     got = {x["conv_id"]: x for x in chat_format.read_back(windows).collect()}
     chars = {x[0]: x[1] for x in windows.groupBy("conv_id").agg(F.sum(F.length("formatted"))).collect()}
     for conv in {x[0] for x in rows}:
@@ -389,11 +389,20 @@ def test_chat_round_trip(spark):
         x = got[conv]
         assert (x["n_turns"], x["loss_chars"], x["formatted_chars"]) == (len(turns), len(learned), chars[conv])
         assert x["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and x["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
+    over = alone = 0
     for x in windows.collect():
         parts = x["formatted"].split("</turn>\n")[:-1]
         tokens = [-(-len(p.split(">\n", 1)[1].replace("\\l", "<").replace("\\g", ">").replace("\\b", "\\")) // 4) + 4 for p in parts]
-        assert len(parts) - x["n_repeated"] == 1 or sum(tokens[x["n_repeated"] :]) <= 128 + (tokens[0] if x["n_repeated"] == 0 else 0)
+        opens = parts[0].startswith("<turn system>")
+        system = tokens[0] if opens and (x["n_repeated"] or len(parts) > 1) else 0
+        if sum(tokens) > 192:  # a turn that is too long by itself, next to a short system turn at most
+            over += 1
+            assert len(parts) == 1 or len(parts) == 2 and system and 2 * system <= 192 and tokens[1] > 192 - 64 - system
+        alone += len(parts) == 1 and opens and x["window"] == -1 and 2 * tokens[0] > 192
         assert sum(tokens[1 : x["n_repeated"]]) <= 64
+    assert over and alone
+    with pytest.raises(ValueError):
+        chat_format.format_windows(table, budget_tokens=100, history_tokens=50)
     assert chat_format.read_back(chat_format.format_windows(table.limit(0))).count() == 0
 
 

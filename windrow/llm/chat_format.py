@@ -1,11 +1,15 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-A conversation is cut into windows of whole turns. Running sums of turn tokens place each turn on a
-token axis that is divided into blocks of `span_tokens`: the turns that lie inside a block form one
-window, a turn that crosses a block border forms a window of its own. So no window has more than
-`span_tokens` new tokens, unless a single turn has, and no step looks at a conversation as a whole.
-Each window repeats the system turn and as many of the turns before it as fit in `history_tokens`.
-Every assistant turn is under the loss mask once, in the window where it is new.
+A conversation is cut into windows of whole turns that have `budget_tokens` each, for the system turn, the
+repeated history and the new turns together. Running sums of turn tokens place each turn on a token axis
+that is divided into blocks of what the budget leaves for new turns: the turns that lie inside a block
+form one window, a turn that crosses a block border forms a window of its own. No step looks at a
+conversation as a whole. Each window repeats the system turn and as many of the turns before it as fit in
+`history_tokens`. Every assistant turn is under the loss mask once, in the window where it is new.
+
+Turns are never cut. A turn that is longer than a block stands in a window of its own, without history;
+if it is longer than the budget leaves beside the system turn, that window is the only kind over the
+budget. A system turn of more than half the budget is not repeated: it is a window of its own, the first.
 
 Running sums are taken in two levels, within pieces of `piece_turns` turn numbers and over the pieces,
 so a long conversation is many small groups.
@@ -36,7 +40,7 @@ def unescape(text: Column) -> Column:
 
 
 def _placed(conversations: DataFrame, piece_turns: int) -> DataFrame:
-    """Rows with their order (ord) and the tokens of the body turns before and up to them (start, end)."""
+    """Rows with their order (ord), the tokens of the body turns before and up to them (start, end) and those of the conversation's system turn (system)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
     rows = conversations.select(
@@ -54,6 +58,7 @@ def _placed(conversations: DataFrame, piece_turns: int) -> DataFrame:
     sums = sums.select(
         F.col("conv_id").alias("c"), F.col("piece").alias("p"), "first",
         F.coalesce(F.sum("rows").over(pieces), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.max(F.when(F.col("first"), F.col("lead"))).over(Window.partitionBy("conv_id")), F.lit(0)).alias("system"),
         F.coalesce(F.sum(F.col("tokens") - F.when(F.col("first"), F.coalesce("lead", F.lit(0))).otherwise(0)).over(pieces), F.lit(0)).alias("tokens_before"),
     )
     rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")))
@@ -61,37 +66,46 @@ def _placed(conversations: DataFrame, piece_turns: int) -> DataFrame:
     rows = rows.withColumn("size", F.when(F.col("is_system"), 0).otherwise(tokens))
     running = in_piece.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.col("tokens_before") + F.sum("size").over(running)).withColumn("start", F.col("end") - F.col("size"))
-    return rows.select("conv_id", (F.col("rows_before") + F.col("n")).alias("ord"), "role", "text", "is_system", "start", "end")
+    return rows.select("conv_id", (F.col("rows_before") + F.col("n")).alias("ord"), "role", "text", "is_system", "system", "start", "end")
 
 
-def format_windows(conversations: DataFrame, span_tokens: int = 256, history_tokens: int = 64, piece_turns: int = 256) -> DataFrame:
+def format_windows(conversations: DataFrame, budget_tokens: int = 320, history_tokens: int = 64, piece_turns: int = 256) -> DataFrame:
     """conv_id, window, formatted, loss (array of start and len, in code points), n_repeated.
 
     conversations: conv_id, turn, role, text; other columns are left out. Rows go by turn (nulls
     first), then role and text; a repeated row is a turn of its own. A null text or role is empty, and
     rows with a null conv_id form one conversation. A turn counts ceil(length / 4) + 4 tokens. Of
     system rows only one that opens the conversation is retained in all windows; later ones are
-    ordinary turns. The first n_repeated turns of a window stand in earlier windows too.
+    ordinary turns. The first n_repeated turns of a window stand in earlier windows too. No rows give no
+    windows.
     """
+    if not 0 <= 2 * history_tokens < budget_tokens:
+        raise ValueError("history_tokens must be less than half of budget_tokens")
     rows = _placed(conversations, piece_turns)
-    system = rows.filter("is_system").select("conv_id", "ord", "role", "text")
+    repeats = F.col("system") * 2 <= budget_tokens
+    rows = rows.withColumn("span", F.lit(budget_tokens - history_tokens) - F.when(repeats, F.col("system")).otherwise(0))
+    system = rows.filter("is_system")
     body = rows.filter(~F.col("is_system"))
-    block, last = F.floor(F.col("start") / span_tokens), F.floor((F.col("end") - 1) / span_tokens)
+    block, last = F.floor(F.col("start") / F.col("span")), F.floor((F.col("end") - 1) / F.col("span"))
     fresh = body.withColumn("window", block * 2 + (block != last).cast("long"))
-    windows = fresh.groupBy(F.col("conv_id").alias("c"), "window").agg(F.min("start").alias("at"))
+    windows = fresh.groupBy(F.col("conv_id").alias("c"), "window").agg(F.min("start").alias("at"), F.sum(F.col("end") - F.col("start")).alias("new"), F.first("span").alias("w_span"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
 
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    retained = system.join(windows, same, "left").select("conv_id", F.coalesce("window", F.lit(0)).alias("window"), "ord", "role", "text", (~first).alias("repeated"))
-    bins = F.sequence(F.floor(F.col("end") / history_tokens), F.floor(F.col("start") / history_tokens) + 1)
-    recent = body.filter(F.col("end") - F.col("start") <= history_tokens).withColumn("bin", F.explode(bins))
-    later = windows.filter("at > 0").withColumn("w_bin", F.floor(F.col("at") / history_tokens))
-    fits = (F.col("end") <= F.col("at")) & (F.col("start") >= F.col("at") - history_tokens)
-    history = recent.join(later, same & (F.col("bin") == F.col("w_bin")) & fits).select("conv_id", "window", "ord", "role", "text", F.lit(True).alias("repeated"))
+    everywhere = system.filter(repeats).join(windows, same, "left").select("conv_id", F.coalesce("window", F.lit(0)).alias("window"), "ord", "role", "text", (~first).alias("repeated"))
+    alone = system.filter(~repeats).select("conv_id", F.lit(-1).cast("long").alias("window"), "ord", "role", "text", F.lit(False).alias("repeated"))
+    retained = everywhere.unionByName(alone)
+    if history_tokens:
+        bins = F.sequence(F.floor(F.col("end") / history_tokens), F.floor(F.col("start") / history_tokens) + 1)
+        recent = body.filter(F.col("end") - F.col("start") <= history_tokens).withColumn("bin", F.explode(bins))
+        later = windows.filter("at > 0 AND new <= w_span").withColumn("w_bin", F.floor(F.col("at") / history_tokens))
+        fits = (F.col("end") <= F.col("at")) & (F.col("start") >= F.col("at") - history_tokens)
+        history = recent.join(later, same & (F.col("bin") == F.col("w_bin")) & fits).select("conv_id", "window", "ord", "role", "text", F.lit(True).alias("repeated"))
+        retained = retained.unionByName(history)
     new = fresh.select("conv_id", "window", "ord", "role", "text", F.lit(False).alias("repeated"))
 
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(AFTER_ROLE))
-    parts = retained.unionByName(history).unionByName(new).withColumn("head", head).withColumn("body", escape(F.col("text")))
+    parts = retained.unionByName(new).withColumn("head", head).withColumn("body", escape(F.col("text")))
     parts = parts.withColumn("piece", F.concat("head", "body", F.lit(CLOSE)))
     so_far = Window.partitionBy("conv_id", "window").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("to", F.sum(F.length("piece")).over(so_far))

@@ -115,13 +115,16 @@ placed AS (
 sized AS (SELECT *, CASE WHEN lead THEN 0 ELSE (length(text) + 3) // 4 + 4 END AS tokens FROM placed),
 axis AS (
   SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM sized),
-body AS (
-  SELECT *, upto - tokens AS start_at, ((upto - tokens) // 256) * 2 + ((upto - tokens) // 256 <> (upto - 1) // 256)::BIGINT AS win FROM axis WHERE NOT lead),
-windows AS (SELECT conv_id, win, min(start_at) AS at FROM body GROUP BY conv_id, win),
+systems AS (SELECT conv_id, (length(text) + 3) // 4 + 4 AS system FROM axis WHERE lead),
+spans AS (
+  SELECT *, 320 - 64 - CASE WHEN 2 * system <= 320 THEN system ELSE 0 END AS span FROM (
+    SELECT a.*, coalesce(s.system, 0) AS system FROM axis a LEFT JOIN systems s ON a.conv_id = s.conv_id)),
+body AS (SELECT *, upto - tokens AS start_at, ((upto - tokens) // span) * 2 + ((upto - tokens) // span <> (upto - 1) // span)::BIGINT AS win FROM spans WHERE NOT lead),
+windows AS (SELECT conv_id, win, min(start_at) AS at, sum(tokens) AS fresh, any_value(span) AS span FROM body GROUP BY conv_id, win),
 chars AS (
   SELECT conv_id, chars FROM body
-  UNION ALL SELECT b.conv_id, b.chars FROM body b JOIN windows w ON b.conv_id = w.conv_id AND b.upto <= w.at AND b.start_at >= w.at - 64
-  UNION ALL SELECT a.conv_id, a.chars FROM axis a LEFT JOIN windows w ON a.conv_id = w.conv_id WHERE a.lead)
+  UNION ALL SELECT b.conv_id, b.chars FROM body b JOIN windows w ON b.conv_id = w.conv_id AND b.upto <= w.at AND b.start_at >= w.at - 64 AND w.fresh <= w.span
+  UNION ALL SELECT a.conv_id, a.chars FROM spans a LEFT JOIN windows w ON a.conv_id = w.conv_id AND 2 * a.system <= 320 WHERE a.lead)
 SELECT g.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
@@ -129,6 +132,7 @@ SELECT g.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
 FROM given g JOIN (SELECT conv_id, sum(chars) AS chars FROM chars GROUP BY conv_id) f ON g.conv_id = f.conv_id GROUP BY g.conv_id
 """
 
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
