@@ -68,12 +68,12 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return source_mix.mix_sources(table(spark, sf_dir, "documents")).drop("source", "first_slot", "last_slot")
 
 
 OP7_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS shuffled
+  SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(md5(text), ''))) AS shuffled
   FROM documents),
 laid AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start_at FROM sized),
