@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windrow.llm import chat_format, components, decontaminate, html_extract, language_id, ngram_join, quality, queries, source_mix, toxicity, url_rules, vector_search
-from windrow.llm.shared import held_out, held_out_id
+from windrow.llm.shared import held_out, held_out_id, join_spread
 
 DOCS = "doc_id long, text string, lang string, source string, held_out string, size string, _h string, key string"
 
@@ -476,3 +476,22 @@ def test_decontaminate(spark):
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_join_spread(spark, broadcast_rows):
+    r = random.Random(13)
+    rows = [(r.choice([1, 1, 1, 2, 3, 9, None]), i) for i in range(300)]
+    left, right = spark.createDataFrame(rows, "k long, v long"), spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k long, name string")
+    names = dict(right.collect())
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, join_spread(left, right, "k", "v", how, hot=10, broadcast_rows=broadcast_rows).select("k", "v", "name").collect()), key=str)
+        assert got == sorted(((k, v, names.get(k)) for k, v in rows if how == "left" or k in names), key=str)
+    assert join_spread(left.limit(0), right, "k", "v").count() == 0
+
+
+def test_sketch_counts_all_shingles(spark):
+    texts = [words(random.Random(i), "abc", 50) for i in range(40)]
+    sketch = ngram_join.frequency_sketch(documents(spark, [(i, t, None) for i, t in enumerate(texts)]).repartition(7), 3)
+    assert int(sketch.sum()) == sum(len(shingles(t, 3)) for t in texts)
+    assert ngram_join.frequency_sketch(documents(spark, []), 3).sum() == 0

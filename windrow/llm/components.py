@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import cut_lineage
+from windrow.llm.shared import cut_lineage, join_spread
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One step over pairs (u, v): every v of a node u is tied to the smallest node among u and its vs."""
-    least = pairs.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    tied = pairs.join(least, F.col("u") == F.col("node"))
+    least = cut_lineage(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("count")))
+    tied = join_spread(pairs, least.select("u", "m"), "u", "v", loads=least)
     if large:
         return tied.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return tied.select(F.col("v").alias("a"), F.col("m").alias("b")).union(tied.select("u", "m")).filter("a <> b")
@@ -22,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are harmless; an edge with a null end is left out; no edges, no rows. Each
     round is written to the shared checkpoint folder, so its lineage does not grow and a lost executor
-    costs one round. The minimum of a node is aggregated before the shuffle and joined back, so a node
-    with very many edges is not gathered in one task.
+    costs one round. The minimum of a node is aggregated before the shuffle and joined back with the edges
+    of a node with very many of them dealt out, so they are not gathered in one task.
     """
     edges = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
     before = None

@@ -20,7 +20,12 @@ probed; connected classes need no further links, and all pairs of different comp
 a short list are probed after that. So no link between different components is lost, and a large group
 of copies costs about one probe for each copy.
 
-Shingles are 64-bit hashes, and a class is a 64-bit sum of mixed hashes together with the set's size.
+As stars and components stand in for all pairs of a list, a candidate's count over the short lists is not
+known when it is probed: all lists of the smaller set are probed for the larger, until T is reached or
+out of reach.
+
+Shingles are 64-bit hashes, and a class is a 64-bit sum of mixed hashes together with the set's size. Among
+N different sets some N^2 / 2^65 pairs are taken for equal: none to be expected below a billion.
 """
 
 from __future__ import annotations
@@ -30,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.components import components
-from windrow.llm.shared import cut_lineage
+from windrow.llm.shared import cut_lineage, join_spread
 
-SKETCH = 2**22
+SKETCH, RANGES = 2**22, 64
 SLICE = 2**19
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 2**64)
@@ -131,8 +137,17 @@ def _set_keys(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
     """Counters of the shingles of all documents by the low bits of their hashes.
 
-    Each task sends one compressed set of counters; eight tasks and then one add them as they come.
+    Each task sends its counters compressed, in RANGES ranges. They are added up as they come, first by
+    range and sending task, in as many tasks as a shuffle has, and then by range; so neither step has a
+    task that takes in what all others send. The driver gets the SKETCH sums.
     """
+    width = SKETCH // RANGES
+
+    def packed(of: int, lot: int, counts: np.ndarray) -> tuple[int, int, bytes]:
+        return of, lot, zlib.compress(np.minimum(counts, 2**32 - 1).astype(np.uint32).data, 1)
+
+    def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.record_batch({"range": pa.array([r[0] for r in rows], pa.int32()), "lot": pa.array([r[1] for r in rows], pa.int32()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype=np.uint32)
@@ -140,25 +155,26 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
             for _, _, data, bounds in _slices(batch.column("text")):
                 values, _ = shingle_sets(data, bounds, words)
                 np.add.at(total, (values & U(SKETCH - 1)).view(np.int64), np.uint32(1))
-        yield packed(total)
+        lot = TaskContext.get().partitionId()
+        if total.any():
+            yield batch_of([packed(k, lot, total[k * width : (k + 1) * width]) for k in range(RANGES)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in batch.column("counts"):
-                total += unpacked(part.as_py())
-        yield packed(total)
-
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"counts": pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32, copy=False).data, 1)], pa.binary())})
-
-    def unpacked(part: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(part), dtype=np.uint32)
+            for of, counts in zip(batch.column("range").to_pylist(), batch.column("counts")):
+                total = totals.setdefault(of, np.zeros(width, dtype=np.int64))
+                total += np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint32)
+        lot = TaskContext.get().partitionId()
+        for of, total in totals.items():
+            yield batch_of([packed(of, lot, total)])
 
-    schema = "counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
-    whole = parts.repartition(8).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).first()
-    return unpacked(whole[0]) if whole else np.zeros(SKETCH, dtype=np.uint32)
+    schema = "range int, lot int, counts binary"
+    parts = docs.select("text").mapInArrow(count, schema).repartition("range", "lot").mapInArrow(add, schema)
+    out = np.zeros(SKETCH, dtype=np.uint32)
+    for of, _, counts in parts.repartition(RANGES, "range").mapInArrow(add, schema).collect():  # one row for each range
+        out[of * width : (of + 1) * width] = np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
+    return out
 
 
 def short_lists(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -241,7 +257,9 @@ def probe(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, per
 
     one = held.select(F.col("key").alias("a"), F.col("shingles").alias("left"))
     two = held.select(F.col("key").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long").distinct()
+    # a hub's set is repeated for parts of its pairs rather than all pairs sent to where the set is
+    both = join_spread(join_spread(pairs, one, "a", "b"), two, "b", "a", loads=pairs.groupBy("b").count())
+    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -295,7 +313,7 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
 
 
 def _named(seen: DataFrame, known: DataFrame) -> DataFrame:
-    out = seen.select("doc_id", "n", "key").join(known, "key", "left")
+    out = join_spread(seen.select("doc_id", "n", "key"), known, "key", "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

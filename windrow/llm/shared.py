@@ -55,6 +55,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", loads: DataFrame | None = None, hot: int = 2_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """left joined with right on `key`, where right has one row at most for each key and left may have very many.
+
+    Keys with more than `hot` rows in left are dealt out by a hash of the column `by` in as many parts as
+    have `hot` rows each, and right's row is repeated for each part; so no task gets all rows of a key.
+    loads: key and count, if they are known. There are fewer hot keys than rows / hot; they are broadcast
+    up to `broadcast_rows` of them.
+    """
+    loads = loads if loads is not None else left.groupBy(key).count()
+    loads = cut_lineage(loads.filter(F.col(key).isNotNull() & (F.col("count") > hot)).select(F.col(key).alias("_key"), F.ceil(F.col("count") / hot).alias("_parts")))
+    n = loads.count()
+    if not n:
+        return left.join(right, key, how)
+    side = F.broadcast(loads) if n <= broadcast_rows else loads
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(side, F.col(key) == F.col("_key"), "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_key", "_parts")
+    repeated = right.join(side, F.col(key) == F.col("_key"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_key", "_parts")
+    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text leaves 1 when divided by 3. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
