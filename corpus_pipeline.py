@@ -50,11 +50,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each written as Parquet in the shared folder before the next."""
+    """All stages on the documents of sf_dir, each written as Parquet in the shared folder before the next.
+
+    A stage's folder is removed when the next one is written; the result reads the last.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    read = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            _remove(spark, read)
+        read = f"{folder}/{name}"
+        docs = spark.read.parquet(read)
     return STAGES[-1][1](spark, docs, sf_dir)
