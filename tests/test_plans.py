@@ -10,7 +10,7 @@ from windrow.functions.tokens import count_segments, message_tokens
 from windrow.operators import compaction, history
 from windrow.plans import anchor
 from windrow.plans.budget import Budget, BudgetError, Profile, ProfileBuilder, ProfileRegistry, WindowOptions, placeholder_parts
-from windrow.plans.prepare import prepare
+from windrow.plans.prepare import prefixes, prepare
 
 
 def log(spark, rows):
@@ -131,6 +131,24 @@ def test_set_based_equals_sequential(spark):
                 assert row["tokens_after"] == want["after"] and kept.get((profile.name, conv), set()) == set(want["kept"])
 
 
+def test_strategies_keep_their_rows_where_there_are_pinned_ones(spark):
+    rows = [(conv, i, "System" if conv == 1 and i == 0 else "User", conv == 1 and i == 0, 0, 20, text("x")) for conv in (1, 2) for i in range(4)]
+    profile = [Profile("p", Budget(100, 0.5, None, 0.5))]
+    kept = lambda rows: compaction.mask(compaction.protect(rows))
+    fewer = lambda rows: kept(rows).filter("msg_idx <> 2")
+    renamed = lambda rows: kept(rows).withColumn("msg_idx", F.when(F.col("msg_idx") == 2, 9).otherwise(F.col("msg_idx")))
+    errors = lambda strategy: {r["conv_id"]: r["error"] for r in prepare(log(spark, rows), profile, strategy=strategy).results.collect()}
+    assert errors(kept) == {1: None, 2: None}
+    assert errors(fewer) == errors(renamed) == {1: "StrategyChangedRows", 2: None}
+
+
+def test_prefixes_keep_large_ids_and_indexes_apart(spark):
+    rows = [(conv, i, "Model" if i == 1_000_001 else "User", False, 0, 5, text("x")) for conv in (2**60, 2**60 + 1) for i in (0, 1_000_000, 1_000_001)]
+    points = prefixes(log(spark, rows))
+    assert sorted((r["conv_id"]["conv_id"], r["conv_id"]["point"], r["n"]) for r in points.groupBy("conv_id").agg(F.count("*").alias("n")).collect()) == [(2**60, 1_000_001, 2), (2**60 + 1, 1_000_001, 2)]
+    assert prepare(points, [Profile("p", Budget(100))]).results.count() == 2
+
+
 def test_turns(spark):
     rows = [(1, 0, "append"), (1, 1, "prepare"), (1, 2, "prepare"), (1, 3, "append"), (1, 4, "append"), (1, 5, "prepare"), (1, 6, "append")]
     got = history.stamp_turns_from_log(spark.createDataFrame(rows, "conv_id long, seq long, kind string")).orderBy("seq").collect()

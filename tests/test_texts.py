@@ -31,11 +31,12 @@ def test_text_functions(spark):
     assert one(spark, lambda c: T.truncate_event(c, 3), "abc", "abcd", None) == ["abc", "abc\n[... truncated: event content exceeded 3 chars ...]", ""]
     assert one(spark, T.github_repository, "https://github.com/a/b.git", "git@github.com:a/b/", "https://github.com/a", "https://example.com/a/b", "https://github.com/a/b?x=1") == ["a/b", "a/b", None, None, None]
     assert one(spark, T.runner_question, "x\n  QUESTION_FOR_RUNNER: why? ", "QUESTION_FOR_RUNNER:\nQUESTION_FOR_RUNNER: late", None) == ["why?", None, None]
-    assert one(spark, T.charset_from_meta, '<meta http-equiv="c" content="text/html; charset=latin1">', "<p>") == ["latin1", None]
+    metas = ['<meta http-equiv="c" content="text/html; charset=latin1">', "<p>", "<META content='a; charset=b'><meta name=x charset = utf-8>", "<meta data-charset='no' charset='\tyes '>", "x" * 8192 + "<meta charset=late>", None]
+    assert one(spark, T.charset_from_meta, *metas) == ["latin1", None, "utf-8", "yes", None, None]
     assert one(spark, T.html_text_content, "<p>a<script>b</script>&amp;</p>", None) == ["ab&", None]
     assert one(spark, lambda c: T.token_limit(c.cast("int")), "0", "5", "99999", None) == [None, 5, 12000, 4000]
-    body = spark.createDataFrame([(bytearray(b"\xe9"), "iso-8859-1"), (bytearray("é".encode()), "nonsense")], "b binary, c string")
-    assert [r[0] for r in body.select(T.decode_body(F.col("b"), F.col("c"))).collect()] == ["é", "é"]
+    body = spark.createDataFrame([(bytearray(b"\xe9"), "iso-8859-1"), (bytearray("é".encode()), "nonsense"), (bytearray(b"\x80"), "windows-1252"), (bytearray("é".encode()), None), (bytearray("aé".encode("utf-16-be")), "UTF-16BE")], "b binary, c string")
+    assert [r[0] for r in body.select(T.decode_body(F.col("b"), F.col("c"))).collect()] == ["é", "é", "€", "é", "aé"]
 
 
 def test_truncation_is_the_longest_prefix(spark):
@@ -93,6 +94,13 @@ def test_automation(spark, tmp_path):
     path.write_text(json.dumps(tasks))
     rules = {(r["taskId"], r["rule"]) for r in automation.task_violations(automation.load_tasks(spark, str(path)), ("do",)).collect()}
     assert rules == {("a", "taskId_duplicate"), ("A", "taskId_duplicate"), ("A", "title_required"), ("A", "repositoryUrl_not_github"), ("A", "phrase_missing:do")}
+    good = {
+        "Budget": {"ContextWindowTokens": 10, "SoftThresholdRatio": 0.5, "HardThresholdRatio": 0.9, "WindowSize": 0}, "Model": {"Name": "m", "MaxOutputTokens": 1},
+        "Workspace": {"RootDirectory": "r", "CloneDepth": 1, "MaxRepoSizeMB": 1}, "Logging": {"SessionLogsDirectory": "l"}, "Agent": {"MaxTurns": 1}, "OpenRouter": {},
+    }
+    assert automation.option_violations(good) == []
+    bad = good | {"Budget": good["Budget"] | {"HardThresholdRatio": 0.5, "WindowSize": -1}, "Model": {"Name": " ", "MaxOutputTokens": 0}, "Agent": {"MaxTurns": 0}, "Workspace": None, "OpenRouter": None}
+    assert automation.option_violations(bad) == [("Budget.WindowSize", "non_negative"), ("Model.Name", "text"), ("Workspace", "section"), ("Agent.MaxTurns", "positive"), ("OpenRouter", "section"), ("Budget.HardThresholdRatio", "over_soft_ratio")]
     assert automation.flatten_options({"a": {"ApiKey": "s", "n": [1, None]}}) == [("a.ApiKey", "***"), ("a.n[0]", "1"), ("a.n[1]", None)]
     body = spark.createDataFrame([(1, json.dumps({"web": {"results": [{"title": " a  b ", "url": "u"}, {"title": "", "url": "v"}, {"title": "c", "url": "w", "description": "d\n e"}]}}))], "id int, body string")
     assert [(r["rank"], r["title"], r["snippet"]) for r in automation.search_results(body).orderBy("rank").collect()] == [(1, "a b", None), (2, "c", "d e")]
@@ -145,6 +153,12 @@ def test_transcript_and_audit(spark):
     assert [name for _, name in found] == ["over_window", "compaction_useless", "compacted_fell", "history_shrank", "estimate_off"]
     summary = audit.session_summary(turns, transcript.header(lines), frame.select("session", "ts")).first()
     assert summary["saved"] == 10 and summary["last_saved"] == 10 and summary["seconds"] == 6.0
+    rows = [("s", 0, "session_started", None, None, None, None, 50), ("s", 1, "model_responded", " ", "[1,2]", None, None, None), ("s", 2, "model_responded", "so", "[1]", None, None, None), ("s", 3, "model_responded", "end", "[]", None, None, None), ("s", 4, "session_ended", None, None, "Stopped", 7, None)]
+    told = spark.createDataFrame(rows, "session string, seq long, kind string, content string, arguments string, outcome string, turn int, window_tokens int").withColumns({"total_tokens": F.lit(9), "tokens_after": F.lit(5)})
+    assert [(r["notice"], r["shown"]) for r in transcript.notices(told).orderBy("seq").collect()] == [("Model issuing 2 tool call(s).", None), ("Model responded and requested 1 tool call(s).", "so"), (None, None), ("Stopped. Total turns: 7. Total tokens: 9.", None)]
+    later = told.withColumn("kind", F.when(F.col("seq") > 0, "prepared").otherwise(F.col("kind")))
+    assert {(r["seq"], r["window_tokens"]) for r in transcript.status(later).collect()} == {(k, 50) for k in (1, 2, 3, 4)}
+    assert one(spark, transcript.pretty_json, '{"a":[1]}', " ", "no") == ['{\n  "a": [\n    1\n  ]\n}', "{}", "no"]
     shown = spark.range(1).select(audit.status_line(F.lit(1234), F.lit(2000)), audit.budget_used(F.lit(1), F.lit(0))).first()
     assert tuple(shown) == ("1,234 / 2,000 (61.7%)", None)
 

@@ -78,7 +78,7 @@ def budget_used(tokens, window_tokens):
 
 
 def status_line(tokens, window_tokens):
-    return F.concat(F.format_number(tokens, 0), F.lit(" / "), F.format_number(window_tokens, 0), F.lit(" ("), F.format_string("%.1f", F.coalesce(budget_used(tokens, window_tokens), F.lit(0.0))), F.lit("%)"))
+    return F.concat(F.format_number(tokens, 0), F.lit(" / "), F.format_number(window_tokens, 0), F.lit(" ("), F.format_number(F.coalesce(budget_used(tokens, window_tokens), F.lit(0.0)), 1), F.lit("%)"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

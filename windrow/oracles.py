@@ -100,10 +100,32 @@ TURNS = (
     + """,
 turns AS (
   SELECT conv_id // 1000000 AS session, row_number() OVER (PARTITION BY conv_id // 1000000 ORDER BY conv_id) - 1 AS turn, tokens_before AS before, tokens_after AS after,
-    outcome, compacted, CASE WHEN conv_id % 5 <> 0 THEN tokens_after + floor((conv_id % 7 - 3) * tokens_after / 20.0::DOUBLE)::BIGINT END AS input FROM labelled WHERE outcome IS NOT NULL)
+    outcome, compacted, CASE WHEN (conv_id // 1000000 + conv_id % 1000000) % 5 <> 0 THEN tokens_after + floor(((conv_id // 1000000 + conv_id % 1000000) % 7 - 3) * tokens_after / 20.0::DOUBLE)::BIGINT END AS input FROM labelled WHERE outcome IS NOT NULL)
 """
 )
 
+AUDIT = (
+    TURNS
+    + """,
+seen AS (SELECT *, lag(before) OVER w AS p_before, lag(compacted) OVER w AS p_compacted FROM turns WINDOW w AS (PARTITION BY session ORDER BY turn)),
+found AS (
+  SELECT session, turn, 'history_shrank' AS invariant, before AS observed, p_before AS expected, 1 AS severity FROM seen WHERE before < p_before
+  UNION ALL SELECT session, turn, 'over_window', input, 2000, 0 FROM seen WHERE input > 2000
+  UNION ALL SELECT session, turn, 'estimate_off', input, after, 2 FROM seen WHERE abs(input - after) * 10 > after
+  UNION ALL SELECT session, turn, 'compacted_fell', compacted, p_compacted, 1 FROM seen WHERE compacted < p_compacted
+  UNION ALL SELECT session, turn, 'compacted_jumped', compacted, p_compacted, 3 FROM seen WHERE compacted - p_compacted > 20
+  UNION ALL SELECT session, turn, 'compaction_useless', after, before, 1 FROM seen WHERE outcome = 'Compacted' AND after >= before
+  UNION ALL SELECT session, turn, 'reported_far_below', input, after, 2 FROM seen WHERE (after - input) * 100 > after * 15)
+"""
+)
+
+SESSIONS = """
+WITH stems AS (
+  SELECT strftime(to_timestamp(conv_id % 50) AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S000') || '-Owner_My_repo-what_' || conv_id % 2 AS stem FROM conversations WHERE turn = 0),
+numbered AS (SELECT stem, row_number() OVER (PARTITION BY stem) AS nth FROM stems),
+named AS (SELECT stem || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END || '.md' AS log_name FROM numbered)
+"""
+
 LINES = r"""
 WITH lines AS (
   SELECT 'doc/' || doc_id || '.txt' AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
@@ -120,7 +142,7 @@ WITH exchanges AS (
 
 FILES = """
 WITH files AS (
-  SELECT source || '/' || lang || '/Doc-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.MD' ELSE '.txt' END AS path, strlen(text) AS length FROM documents WHERE doc_id < 400)
+  SELECT source || '/' || lang || '/Doc-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.MD' ELSE '.txt' END AS path, strlen(text) AS length FROM documents)
 """
 
 ORACLE_SQL = {
@@ -190,7 +212,7 @@ SELECT t.profile, t.conv_id, t.msg_idx FROM decided t JOIN decided m ON t.profil
 WHERE t.role = 'Tool' AND NOT t.is_dropped AND m.is_dropped""",
     "anchor_replay": prefixed(["p3"], "RECURSIVE") + """,
 points AS (
-  SELECT conv_id // 1000000 AS c, conv_id % 1000000 AS seq, tokens_before AS raw, tokens_after AS raw_final, CASE WHEN conv_id % 3 > 0 THEN tokens_before + conv_id % 41 END AS provider,
+  SELECT conv_id // 1000000 AS c, conv_id % 1000000 AS seq, tokens_before AS raw, tokens_after AS raw_final, CASE WHEN (conv_id // 1000000 + conv_id % 1000000) % 3 > 0 THEN tokens_before + (conv_id // 1000000 + conv_id % 1000000) % 41 END AS provider,
     row_number() OVER (PARTITION BY conv_id // 1000000 ORDER BY conv_id) AS n FROM labelled),
 -- tokens_after of a prefix below the trigger is its raw count, which compaction would not change without tool results to mask
 fold AS (
@@ -208,16 +230,8 @@ SELECT session, count(*) AS turns, sum(before)::BIGINT AS before, sum(after)::BI
   sum(before - after) * 100.0::DOUBLE / sum(before) AS saved_percent, arg_max(before - after, turn) AS last_saved, arg_max((before - after) * 100.0::DOUBLE / before, turn) AS last_saved_percent
 FROM turns GROUP BY session""",
     "audit_outcomes": TURNS + "SELECT outcome, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS share FROM turns GROUP BY outcome",
-    "audit_invariants": TURNS + """,
-seen AS (SELECT *, lag(before) OVER w AS p_before, lag(compacted) OVER w AS p_compacted FROM turns WINDOW w AS (PARTITION BY session ORDER BY turn))
-SELECT session, turn, 'history_shrank' AS invariant, before AS observed, p_before AS expected FROM seen WHERE before < p_before
-UNION ALL SELECT session, turn, 'over_window', input, 2000 FROM seen WHERE input > 2000
-UNION ALL SELECT session, turn, 'estimate_off', input, after FROM seen WHERE abs(input - after) * 10 > after
-UNION ALL SELECT session, turn, 'compacted_fell', compacted, p_compacted FROM seen WHERE compacted < p_compacted
-UNION ALL SELECT session, turn, 'compacted_jumped', compacted, p_compacted FROM seen WHERE compacted - p_compacted > 20
-UNION ALL SELECT session, turn, 'compaction_useless', after, before FROM seen WHERE outcome = 'Compacted' AND after >= before
-UNION ALL SELECT session, turn, 'reported_far_below', input, after FROM seen WHERE (after - input) * 100 > after * 15""",
-    "session_totals": TURNS + "SELECT session, turn, count(*) OVER w AS turns, sum(input) OVER w AS reported FROM turns WINDOW w AS (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING)",
+    "audit_invariants": AUDIT + "SELECT session, turn, invariant, observed, expected FROM found",
+    "session_totals": TURNS + "SELECT session, turn, count(*) OVER w AS turns, sum(before) OVER w AS before, sum(after) OVER w AS after, sum(input) OVER w AS reported FROM turns WINDOW w AS (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING)",
     "grep_context": LINES + "SELECT path, line_no, line, previous, next FROM hits",
     "grep_capped_with_total": LINES + "SELECT n, path, line_no, matches, greatest(matches - 20, 0) AS more FROM hits WHERE n <= 20",
     "grep_blocks": LINES + """
@@ -236,8 +250,7 @@ SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THE
     "charset_from_meta": r"""SELECT page_id, nullif(regexp_extract(left(html, 8192), '(?i)<meta\s+[^>]*charset\s*=\s*["'']?\s*([A-Za-z0-9_-]+)', 1), '') AS charset FROM pages""",
     "collapse_whitespace": r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents",
     "slugify": r"""
-SELECT doc_id, CASE WHEN regexp_replace(regexp_replace(left(text, 40), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'query'
-  ELSE regexp_replace(regexp_replace(left(text, 40), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') END AS slug FROM documents""",
+SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'query') AS slug FROM documents""",
     "url_predicate": r"""
 SELECT page_id, regexp_matches(url, '(?i)^https?://[^/?#\s]+') AS is_http, NULL::VARCHAR AS repository FROM pages WHERE page_id % 4 > 0
 UNION ALL SELECT page_id, page_id % 8 = 0, 'Owner' || page_id || '/repo' FROM pages WHERE page_id % 4 = 0""",
@@ -265,4 +278,63 @@ SELECT path, depth, is_dir FROM (
     "directory_size": FILES + "SELECT coalesce(sum(length), 0)::BIGINT AS bytes FROM files",
     "tool_result_bytes": "WITH " + MESSAGES + "SELECT conv_id, msg_idx, strlen(result) AS bytes FROM msgs WHERE role = 'Tool'",
     "budget_used": PREPARED + "SELECT conv_id, tokens_after * 100.0::DOUBLE / 2000 AS used FROM labelled",
+    "pinned_append": "WITH " + MESSAGES + """
+SELECT conv_id, msg_idx, role, 1 AS parts, tokens FROM msgs WHERE is_pinned
+UNION ALL SELECT conv_id, count(*) AS msg_idx, 'User', 3, ceil((4 + length(conv_id::VARCHAR) + 4 + 6) / 4.0::DOUBLE)::BIGINT + 4 FROM msgs WHERE conv_id % 2 = 1 GROUP BY conv_id""",
+    "custom_counter": "WITH " + MESSAGES + f"""
+SELECT conv_id, msg_idx, CASE role WHEN 'Model' THEN {u16('text')} + 9 + length(args) WHEN 'Tool' THEN length(call_id) + {u16('result')} ELSE {u16('text')} END AS tokens FROM msgs""",
+    "custom_strategy": PREPARED.replace("NOT is_pinned AND (rn <= wsize OR newer <= floor((max_tokens - pinned)::DOUBLE * fraction)) AS is_protected", "false AS is_protected")
+    + "SELECT conv_id, outcome, error, tokens_before, tokens_after, masked, dropped FROM labelled",
+    "segments_json": "WITH " + MESSAGES + """
+SELECT conv_id, msg_idx, md5(CASE role
+  WHEN 'Tool' THEN '[{"type":"ToolResultContent","toolCallId":"' || call_id || '","toolName":"web_fetch","content":' || to_json(
+    CASE WHEN length(result) <= 200 THEN result ELSE left(result, 200) || chr(10) || '[... truncated: event content exceeded 200 chars ...]' END) || '}]'
+  WHEN 'Model' THEN '[{"type":"TextContent","content":' || to_json(text) || '},{"type":"ToolUseContent","toolCallId":"' || call_id || '","toolName":"web_fetch","content":' || to_json(args) || '}]'
+  ELSE '[{"type":"TextContent","content":' || to_json(text) || '}]' END) AS json FROM msgs""",
+    "pretty_json": """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{' || chr(10) || '  "page_id": ' || page_id || chr(10) || '}' WHEN 1 THEN '{}' ELSE 'no json ' || page_id END AS json FROM pages""",
+    "response_lines": EXCHANGES + """
+SELECT '{"session":' || session || ',"exchange":' || exchange || ',"outcome":"' || CASE kind WHEN 'reply' THEN 'reply_received' WHEN 'max_turns' THEN 'max_turns_reached' ELSE kind END
+  || '","session_open":' || (kind IN ('reply', 'max_turns')) || '}' AS value FROM exchanges""",
+    "response_segments": """
+WITH replies AS (SELECT * FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, 0 AS seg, 'text' AS kind, NULL::VARCHAR AS tool_call_id, NULL::VARCHAR AS tool_name, md5(text) AS content FROM replies WHERE trim(text) <> ''
+UNION ALL SELECT conv_id, turn, (trim(text) <> '')::INT, 'tool_use', 'c' || turn, 'tool', md5(CASE WHEN turn % 2 = 0 THEN '{}' ELSE '{"a":1}' END) FROM replies""",
+    "reported_input_tokens": "SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN turn * 10 END AS tokens FROM conversations",
+    "session_summary": TURNS + """
+SELECT session, count(*) AS turns, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, sum(input)::BIGINT AS input, sum(before - after)::BIGINT AS saved, 'model-a' AS model,
+  2000 AS window_tokens, max(turn) * 60.0::DOUBLE AS seconds FROM turns GROUP BY session""",
+    "transcript_header": TURNS + "SELECT DISTINCT session, 'model-a' AS model, 2000 AS window_tokens, 0.5::DOUBLE AS soft_ratio, 0.8::DOUBLE AS hard_ratio FROM turns",
+    "status_lines": TURNS + """
+SELECT session, turn * 2 + 1 AS seq, format('{:,} / 2,000 ({:.1f}%)', after, after * 100.0::DOUBLE / 2000) AS line FROM turns""",
+    "renderer_notices": """
+SELECT conv_id AS session, turn AS seq, CASE
+  WHEN role = 'system' AND conv_id % 2 = 0 THEN 'Session ended.' WHEN role = 'system' THEN 'ContextExhausted. Total turns: ' || turn || '. Total tokens: n/a.'
+  WHEN turn % 3 = 0 THEN NULL WHEN turn % 2 = 1 OR trim(text) = '' THEN 'Model issuing ' || (turn % 3) || ' tool call(s).'
+  ELSE 'Model responded and requested ' || (turn % 3) || ' tool call(s).' END AS notice,
+  CASE WHEN role <> 'system' AND turn % 3 > 0 AND turn % 2 = 0 AND trim(text) <> '' THEN md5(text) END AS shown FROM conversations""",
+    "next_messages": """
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'answer: q' || turn WHEN turn % 2 = 0 AND conv_id % 2 <> 0 THEN 'wrap_up' ELSE 'continue' END AS message FROM conversations""",
+    "turn_budget_violations": """
+SELECT conv_id, turn, concat_ws(',', CASE WHEN turn - 1 <= 0 THEN 'max_turns_not_positive' END, CASE WHEN conv_id % 4 - 1 < 0 THEN 'wrap_window_negative' END,
+  CASE WHEN conv_id % 4 - 1 >= turn - 1 THEN 'wrap_window_too_long' END) AS rules FROM conversations""",
+    "redacted_options": """
+SELECT * FROM (VALUES ('Model.Name', 'm'), ('Model.ApiKey', '***'), ('Model.Temperature', '0.5'), ('Tools[0].Name', 'a'), ('Tools[0].Secret', '***'), ('Tools[1].Name', 'b'), ('Tools[1].Token', NULL)) t(path, value)""",
+    "log_names": SESSIONS + "SELECT log_name FROM named",
+    "log_page": SESSIONS + "SELECT log_name FROM named ORDER BY upper(log_name) DESC, log_name DESC LIMIT 10 OFFSET 10",
+    "find_workspace": "SELECT DISTINCT source AS name, 'Owner/' || source AS owner_repo FROM documents WHERE upper(source) = 'SRC1'",
+    "search_results": """
+SELECT page_id, 1 AS rank, 'T ' || page_id AS title, url, 'a b' AS snippet FROM pages UNION ALL SELECT page_id, 2, 'second', url, NULL FROM pages""",
+    "binary_files": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE strlen(html) < 4096 END AS is_binary FROM pages",
+    "guarded_paths": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'src/' || doc_id ELSE 'a/../b/' || doc_id END AS path FROM documents WHERE doc_id % 4 < 2",
+    "token_limits": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 4000 WHEN 3 THEN 700 WHEN 4 THEN 12000 WHEN 5 THEN 12000 END::BIGINT AS most FROM documents",
+    "decoded_bodies": """
+SELECT page_id, md5(CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN html WHEN 2 THEN translate(html, 'éè', 'ee') ELSE 'café' END) AS text FROM pages""",
+    "ranked_violations": AUDIT + """
+SELECT session, turn, invariant, observed, expected, row_number() OVER (PARTITION BY session ORDER BY severity, turn, invariant) AS rank FROM found""",
+    "html_strip_text": r"""
+WITH kept AS (SELECT page_id, replace(regexp_replace(html, '<script>var t="</p>"', '<script>var t="' || chr(1) || '"', 'g'), chr(1), chr(2)) AS body FROM pages),
+bare AS (SELECT page_id, regexp_replace(regexp_replace(body, '<!--[\s\S]*?-->', '', 'g'), '<[^>]*>', '', 'g') AS t FROM kept),
+named AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM bare)
+SELECT page_id, trim(regexp_replace(replace(t, chr(2), '</p>'), '\s+', ' ', 'g')) AS text FROM named""",
 }

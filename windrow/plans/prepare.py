@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.tokens import Counter, count_segments, message_tokens
@@ -20,6 +20,19 @@ def sliding_window(rows: DataFrame) -> DataFrame:
     return mask(protect(rows))
 
 
+def _checked(strategy: Strategy, rows: DataFrame) -> DataFrame:
+    """The strategy's rows; with the error StrategyChangedRows where a conversation with pinned messages has not the rows it had.
+
+    Pinned messages go back to their places among the others, so those have to keep their number and indexes.
+    """
+    whole = Window.partitionBy(*KEYS)
+    place = F.sum(F.xxhash64("msg_idx").cast("decimal(38,0)"))
+    given = rows.withColumn("_given", place.over(whole)).withColumn("_pinned", F.max("is_pinned").over(whole))
+    done = strategy(given)
+    changed = F.col("_pinned") & (place.over(whole) != F.col("_given"))
+    return done.withColumn("error", F.coalesce("error", F.when(changed, "StrategyChangedRows"))).drop("_given", "_pinned")
+
+
 @dataclass(frozen=True)
 class Prepared:
     """rows: every message with all decisions; results: one row for each profile and conversation."""
@@ -73,7 +86,10 @@ def prepare(
     rows = totals(narrow.select("*", F.inline(F.array(*(p.column() for p in profiles)))), correction)
     rows = rows.withColumn("error", F.when(F.col("pinned") > F.col("max_tokens"), "PinnedTokenBudgetExceeded"))
     rows = rows.withColumn("is_ready", F.col("total") < F.col("trigger"))
-    rows = strategy(rows)
+    if strategy is not sliding_window:
+        rows = _checked(strategy, rows)
+    else:
+        rows = strategy(rows)
     idle = F.col("is_ready") | F.col("error").isNotNull()
     rows = rows.withColumn("is_masked", F.col("is_masked") & ~idle).withColumn("cost", F.when(idle, F.col("tokens")).otherwise(F.col("cost")))
     rows = drop_oldest(turn_groups(preserve(rows, strict_floor)))
@@ -107,6 +123,7 @@ def outcomes(rows: DataFrame) -> DataFrame:
 
 
 def degradation_reason(results: DataFrame):
+    """Both templates are fixed values."""
     most = F.col("max_tokens") + F.col("tolerance")
     exhausted = F.format_string("A single message or structural content exceeds the budget (%d tokens > %d max). Compaction is impossible.", F.col("tokens_after"), most)
     degraded = F.format_string("Compaction reduced content but still exceeds budget (%d tokens > %d max). %d messages were compacted but insufficient.", F.col("tokens_after"), most, F.col("compacted"))
@@ -114,7 +131,7 @@ def degradation_reason(results: DataFrame):
 
 
 def prefixes(messages: DataFrame, counter: Counter = count_segments) -> DataFrame:
-    """Every prepare point as a log of its own: for each model row the messages before it, under a conv_id that names both.
+    """Every prepare point as a log of its own: for each model row the messages before it. conv_id is a struct of conv_id and point.
 
     The rows are narrow copies with their counts cached. A conversation of n messages makes up to n * n / 2
     rows, so this is for bounded conversations.
@@ -122,4 +139,4 @@ def prefixes(messages: DataFrame, counter: Counter = count_segments) -> DataFram
     points = messages.filter("role = 'Model'").select(F.col("conv_id").alias("c"), F.col("msg_idx").alias("point"))
     cached = messages.withColumn("token_count", message_tokens(F.col("segments"), F.col("token_count"), counter).cast("int"))
     copies = cached.join(points, (F.col("conv_id") == F.col("c")) & (F.col("msg_idx") < F.col("point"))).drop("c")
-    return copies.withColumn("source_conv_id", F.col("conv_id")).withColumn("conv_id", F.col("conv_id") * 1_000_000 + F.col("point"))
+    return copies.withColumn("conv_id", F.struct("conv_id", "point")).drop("point")

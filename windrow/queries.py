@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.functions import text as T
-from windrow.functions.tokens import message_tokens, segment_chars
+from windrow.functions.tokens import message_chars, message_tokens, segment_chars
 from windrow.operators import audit, compaction, history, providers
 from windrow.oracles import ORACLE_SQL, PROFILES  # noqa: F401
 from windrow.plans import anchor
 from windrow.plans.budget import Budget, Profile, WindowOptions
 from windrow.plans.prepare import Prepared, prefixes, prepare
-from windrow.schema import text_segment
+from windrow.schema import text_segment, tool_use
 from windrow.sources import automation, files, transcript
 
 PROFILE = {name: Profile(name, Budget(most, soft, hard), WindowOptions(size, share)) for name, most, soft, hard, size, share in PROFILES}
@@ -226,9 +226,9 @@ def orphan_tool_results(spark, sf_dir):
 @query
 def anchor_replay(spark, sf_dir):
     points = prepare(prefixes(messages(spark, sf_dir)), [PROFILE["p3"]]).results
-    seq, conv = F.col("conv_id") % 1_000_000, F.floor(F.col("conv_id") / 1_000_000)
-    reported = F.when(F.col("conv_id") % 3 > 0, F.col("tokens_before") + F.col("conv_id") % 41)
-    points = points.select(conv.alias("conv_id"), seq.alias("seq"), F.col("tokens_before").alias("raw"), F.col("tokens_after").alias("raw_final"), reported.alias("provider"))
+    conv, seq = F.col("conv_id.conv_id"), F.col("conv_id.point")
+    reported = F.when((conv + seq) % 3 > 0, F.col("tokens_before") + (conv + seq) % 41)
+    points = points.select(conv.alias("conv_id"), seq.cast("long").alias("seq"), F.col("tokens_before").alias("raw"), F.col("tokens_after").alias("raw_final"), reported.alias("provider"))
     return anchor.replay(points, PROFILE["p3"])
 
 
@@ -242,7 +242,7 @@ def anchor_replay_emergency(spark, sf_dir):
 @query
 def prefix_replay(spark, sf_dir):
     done = prepare(prefixes(messages(spark, sf_dir)), [PROFILE["p2"]]).results
-    return done.select(F.floor(F.col("conv_id") / 1_000_000).alias("conv_id"), (F.col("conv_id") % 1_000_000).alias("point"), "outcome", "tokens_before", "tokens_after", "masked", "dropped")
+    return done.select("conv_id.conv_id", F.col("conv_id.point").cast("long").alias("point"), "outcome", "tokens_before", "tokens_after", "masked", "dropped")
 
 
 def events(spark, sf_dir):
@@ -250,9 +250,9 @@ def events(spark, sf_dir):
     from pyspark.sql import Window
 
     done = prepare(prefixes(messages(spark, sf_dir)), [PROFILE["p2"]]).results.filter("outcome IS NOT NULL")
-    session = F.floor(F.col("conv_id") / 1_000_000)
-    turn = (F.row_number().over(Window.partitionBy(session).orderBy("conv_id")) - 1).alias("turn")
-    reported = F.when(F.col("conv_id") % 5 != 0, F.col("tokens_after") + F.floor((F.col("conv_id") % 7 - 3) * F.col("tokens_after") / 20))
+    session, point = F.col("conv_id.conv_id"), F.col("conv_id.point")
+    turn = (F.row_number().over(Window.partitionBy(session).orderBy(point)) - 1).alias("turn")
+    reported = F.when((session + point) % 5 != 0, F.col("tokens_after") + F.floor(((session + point) % 7 - 3) * F.col("tokens_after") / 20))
     rows = done.select(session.cast("string").alias("session"), turn, "tokens_before", "tokens_after", "outcome", "compacted", "dropped", "reason", reported.alias("input_tokens"))
     rows = rows.withColumn("ts", F.timestamp_seconds(F.col("turn") * 60))
     start = rows.filter("turn = 0").select(
@@ -312,7 +312,7 @@ def document_lines(spark, sf_dir):
 
 @query
 def grep_context(spark, sf_dir):
-    return files.grep(document_lines(spark, sf_dir), "password|token", 2**31 - 1).select("path", "line_no", "line", "previous", "next")
+    return files.grep_all(document_lines(spark, sf_dir), "password|token")
 
 
 @query
@@ -322,7 +322,7 @@ def grep_capped_with_total(spark, sf_dir):
 
 @query
 def grep_blocks(spark, sf_dir):
-    found = files.grep(document_lines(spark, sf_dir), "password|token", 2**31 - 1)
+    found = files.grep_all(document_lines(spark, sf_dir), "password|token")
     return found.select(files.grep_block(*(F.col(c) for c in ("path", "line_no", "line", "previous", "next"))).alias("block"))
 
 
@@ -474,3 +474,171 @@ def tool_result_bytes(spark, sf_dir):
 @query
 def budget_used(spark, sf_dir):
     return prepared(spark, sf_dir, "p2").results.select("conv_id", audit.budget_used(F.col("tokens_after"), F.col("max_tokens")).alias("used"))
+
+
+@query
+def pinned_append(spark, sf_dir):
+    """A pinned message of several segments after every second log."""
+    log = messages(spark, sf_dir)
+    segments = F.array(text_segment(F.concat(F.lit("pin "), "conv_id")), text_segment(F.lit("more")), tool_use(F.lit("c"), F.lit("tool"), F.lit("{}")))
+    new = log.select("conv_id").distinct().filter("conv_id % 2 = 1").select(
+        "conv_id", F.lit(0).alias("seq"), F.lit("User").alias("role"), F.lit("Original").alias("state"), F.lit(True).alias("is_pinned"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).alias("turn"),
+        F.lit(None).cast("int").alias("token_count"), segments.alias("segments"),
+    )
+    return history.append(log, new).filter("is_pinned").select("conv_id", "msg_idx", "role", F.size("segments").cast("long").alias("parts"), tokens())
+
+
+@query
+def custom_counter(spark, sf_dir):
+    """Messages counted by their characters alone."""
+    return messages(spark, sf_dir).select("conv_id", "msg_idx", message_tokens(F.col("segments"), F.col("token_count"), lambda segments, cached: message_chars(segments)).alias("tokens"))
+
+
+@query
+def custom_strategy(spark, sf_dir):
+    """A strategy that protects nothing."""
+    bare = lambda rows: compaction.mask(rows.withColumn("is_protected", F.lit(False)))
+    return prepare(messages(spark, sf_dir), [PROFILE["p2"]], strategy=bare).results.select("conv_id", "outcome", "error", "tokens_before", "tokens_after", "masked", "dropped")
+
+
+@query
+def segments_json(spark, sf_dir):
+    return messages(spark, sf_dir).select("conv_id", "msg_idx", F.md5(transcript.segments_json(F.col("segments"))).alias("json"))
+
+
+@query
+def pretty_json(spark, sf_dir):
+    shapes = F.array(F.concat(F.lit('{"page_id":'), "page_id", F.lit("}")), F.lit(" "), F.concat(F.lit("no json "), "page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", transcript.pretty_json(F.get(shapes, F.col("page_id") % 3)).alias("json"))
+
+
+@query
+def response_lines(spark, sf_dir):
+    done = automation.exchange_results(exchanges(spark, sf_dir))
+    return automation.responses_json(done.select("session", "exchange", "outcome", "session_open"))
+
+
+@query
+def response_segments(spark, sf_dir):
+    """Recorded replies as segments: blank texts go, blank arguments become an empty object."""
+    call = F.struct(F.concat(F.lit("c"), "turn").alias("id"), F.lit("tool").alias("name"), F.when(F.col("turn") % 2 == 0, " ").otherwise('{"a":1}').alias("arguments"))
+    made = providers.response_segments(F.array("text", F.lit(" \n")), F.array(call))
+    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(made).alias("seg", "s"))
+    return rows.select("conv_id", "turn", "seg", "s.kind", "s.tool_call_id", "s.tool_name", F.md5("s.content").alias("content"))
+
+
+@query
+def reported_input_tokens(spark, sf_dir):
+    usage = F.when(F.col("turn") % 3 > 0, F.struct((F.col("turn") * 10).alias("input_tokens")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", providers.input_tokens(usage).alias("tokens"))
+
+
+@query
+def session_summary(spark, sf_dir):
+    every = events(spark, sf_dir)
+    lines = files.lines_of(transcript.transcripts(every), path="session").withColumnRenamed("path", "session")
+    done = audit.session_summary(transcript.turn_table(lines), transcript.header(lines), every.select("session", "ts"))
+    return done.select(F.col("session").cast("long").alias("session"), "turns", "before", "after", "input", "saved", "model", "window_tokens", "seconds")
+
+
+@query
+def ranked_violations(spark, sf_dir):
+    return audit.ranked(audit.invariant_violations(turn_table(spark, sf_dir), 2000)).drop("severity")
+
+
+@query
+def status_lines(spark, sf_dir):
+    rows = transcript.status(events(spark, sf_dir))
+    return rows.select(F.col("session").cast("long").alias("session"), "seq", audit.status_line(F.col("tokens_after"), F.col("window_tokens")).alias("line"))
+
+
+@query
+def renderer_notices(spark, sf_dir):
+    calls = F.get(F.array(*map(F.lit, ("[]", '[{"n":1}]', '[{"n":1},{"n":2}]'))), F.col("turn") % 3)
+    last = F.col("role") == "system"
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.when(last, "session_ended").otherwise("model_responded").alias("kind"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("content"),
+        calls.alias("arguments"), F.when(F.col("conv_id") % 2 == 0, "EndedByUser").otherwise("ContextExhausted").alias("outcome"), F.col("turn").cast("int").alias("turn"), F.lit(None).cast("int").alias("total_tokens"),
+    )
+    return transcript.notices(rows).select(F.col("session").cast("long").alias("session"), "seq", "notice", F.md5("shown").alias("shown"))
+
+
+@query
+def next_messages(spark, sf_dir):
+    asks = F.col("turn") % 3 == 0
+    done = automation.next_message(asks, F.concat(F.lit("q"), "turn"), F.col("turn") % 2 == 0, F.col("conv_id") % 2 == 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", done.alias("message"))
+
+
+@query
+def turn_budget_violations(spark, sf_dir):
+    rules = automation.budget_profile_violations(F.col("turn") - 1, F.col("conv_id") % 4 - 1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(rules, ",").alias("rules"))
+
+
+@query
+def redacted_options(spark, sf_dir):
+    options = {"Model": {"Name": "m", "ApiKey": "s", "Temperature": 0.5}, "Tools": [{"Name": "a", "Secret": "x"}, {"Name": "b", "Token": None}]}
+    return spark.createDataFrame(automation.flatten_options(options), "path string, value string")
+
+
+def sessions(spark, sf_dir):
+    started = F.timestamp_seconds(F.col("conv_id") % 50)
+    return table(spark, sf_dir, "conversations").filter("turn = 0").select(started.alias("started"), F.lit("Owner/My repo").alias("workspace"), F.concat(F.lit("what? "), F.col("conv_id") % 2).alias("query"))
+
+
+@query
+def log_names(spark, sf_dir):
+    return automation.log_names(sessions(spark, sf_dir)).select("log_name")
+
+
+@query
+def log_page(spark, sf_dir):
+    """The second page of ten."""
+    return automation.log_page(log_names(spark, sf_dir), 1, 10)
+
+
+def workspaces(spark, sf_dir):
+    owned = F.concat(F.lit("Owner/"), "source")
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name"), owned.alias("owner_repo")).agg(F.timestamp_seconds(F.max("doc_id")).alias("cloned_at"))
+
+
+@query
+def find_workspace(spark, sf_dir):
+    return automation.find_workspace(workspaces(spark, sf_dir), "oWNER/SRC1").select("name", "owner_repo")
+
+
+@query
+def search_results(spark, sf_dir):
+    hit = lambda title, url, text: F.struct(title.alias("title"), url.alias("url"), text.alias("description"))
+    hits = F.array(hit(F.concat(F.lit(" T  "), "page_id"), F.col("url"), F.lit("a \n b")), hit(F.lit(" "), F.col("url"), F.lit("no title")), hit(F.lit("second"), F.col("url"), F.lit(None).cast("string")))
+    body = F.to_json(F.struct(F.struct(hits.alias("results")).alias("web")))
+    return automation.search_results(table(spark, sf_dir, "pages").select("page_id", body.alias("body")))
+
+
+@query
+def binary_files(spark, sf_dir):
+    body = F.encode("html", "UTF-8")
+    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(b"\x00"), body)).when(F.col("page_id") % 3 == 1, body).otherwise(F.concat(body, F.lit(b"\x00")))
+    return table(spark, sf_dir, "pages").select("page_id", files.is_binary(content).alias("is_binary"))
+
+
+@query
+def guarded_paths(spark, sf_dir):
+    shapes = F.array(*(F.concat(F.lit(a), "doc_id") for a in (".\\src\\", "a/../b/", "../up/", "/abs/")))
+    return files.guarded(table(spark, sf_dir, "documents").select("doc_id", F.get(shapes, F.col("doc_id") % 4).alias("path")))
+
+
+@query
+def token_limits(spark, sf_dir):
+    asked = F.get(F.array(*(F.lit(x).cast("int") for x in (None, 0, -5, 700, 12_000, 50_000))), F.col("doc_id") % 6)
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_limit(asked).cast("long").alias("most"))
+
+
+@query
+def decoded_bodies(spark, sf_dir):
+    """Bodies in four charsets, by names that Spark knows, that only Python knows, and that nobody knows."""
+    kind = F.col("page_id") % 4
+    body = F.when(kind == 0, F.encode("html", "UTF-16LE")).when(kind == 1, F.encode("html", "UTF-8")).when(kind == 2, F.encode(F.translate("html", "éè", "ee"), "UTF-8")).otherwise(F.encode(F.lit("caf\u00e9"), "ISO-8859-1"))
+    charset = F.get(F.array(*map(F.lit, ("utf-16le", "utf8", "no-such-charset", "windows-1252"))), kind)
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.decode_body(body, charset)).alias("text"))

@@ -124,6 +124,35 @@ def flatten_options(options: Mapping, secrets: str = r"(?i)(key|token|secret|pas
     return rows
 
 
+#: Options by path, with what each has to be.
+OPTION_RULES = {
+    "Budget.ContextWindowTokens": "non_negative", "Budget.SoftThresholdRatio": "ratio", "Budget.HardThresholdRatio": "ratio", "Budget.WindowSize": "non_negative", "Model.Name": "text",
+    "Model.MaxOutputTokens": "non_negative", "Workspace.RootDirectory": "text", "Workspace.CloneDepth": "non_negative", "Workspace.MaxRepoSizeMB": "non_negative",
+    "Logging.SessionLogsDirectory": "text", "Agent.MaxTurns": "positive", "OpenRouter": "section",
+}
+
+
+def option_violations(options: Mapping) -> list[tuple[str, str]]:
+    """(path, rule) for each rule that the options break; a section that is missing is reported once."""
+    fits = {
+        "non_negative": lambda v: isinstance(v, int) and v >= 0, "positive": lambda v: isinstance(v, int) and v > 0, "ratio": lambda v: isinstance(v, (int, float)) and 0 < v <= 1,
+        "text": lambda v: isinstance(v, str) and bool(v.strip()), "section": lambda v: v is not None,
+    }
+    found: list[tuple[str, str]] = []
+    for path, rule in OPTION_RULES.items():
+        section, _, name = path.partition(".")
+        if options.get(section) is None:
+            if (section, "section") not in found:
+                found.append((section, "section"))
+        elif name and not fits[rule](options[section].get(name)):
+            found.append((path, rule))
+    broken = {path for path, _ in found} | {section for section, _ in found}
+    ratios = "Budget.SoftThresholdRatio", "Budget.HardThresholdRatio"
+    if not broken & {"Budget", *ratios} and options["Budget"]["HardThresholdRatio"] <= options["Budget"]["SoftThresholdRatio"]:
+        found.append((ratios[1], "over_soft_ratio"))
+    return found
+
+
 def newest_workspaces(workspaces: DataFrame) -> DataFrame:
     return workspaces.orderBy(F.desc("cloned_at"), "name")
 

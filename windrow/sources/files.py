@@ -45,15 +45,20 @@ def read_range(lines: DataFrame, start: int, end: int, cap: int = 2000) -> DataF
     return lines.filter(F.col("line_no").between(start, min(end, start + cap - 1)))
 
 
+def _first(rows: DataFrame, cap: int, *order: Column | str) -> DataFrame:
+    """The first `cap` rows in order with their number n, and how many rows there are (all). Only those rows meet in one task."""
+    total = rows.agg(F.count("*").alias("all"))
+    return rows.orderBy(*order).limit(cap).withColumn("n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(total))  # one row
+
+
 def list_directory(files: DataFrame, folder: str = "", cap: int = 500) -> DataFrame:
     """name, is_dir and size of the entries of one folder: folders first, then by name without regard to case; and how many more there are."""
     prefix = folder.strip("/") + "/" if folder.strip("/") else ""
     inside = files.filter(F.col("path").startswith(prefix)).select(F.substring("path", len(prefix) + 1, 2**31 - 1).alias("rest"), "length")
     entry = F.split("rest", "/")
     entries = inside.groupBy(entry[0].alias("name"), (F.size(entry) > 1).alias("is_dir")).agg(F.sum("length").alias("size"))
-    order = Window.orderBy(F.col("is_dir").desc(), F.upper("name"), "name")
-    ranked = entries.select("name", "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"), F.row_number().over(order).alias("n"), F.count("*").over(Window.partitionBy()).alias("entries"))
-    return ranked.filter(F.col("n") <= cap).withColumn("more", F.greatest(F.col("entries") - cap, F.lit(0))).drop("entries")
+    first = _first(entries, cap, F.col("is_dir").desc(), F.upper("name"), F.col("name"))
+    return first.select("name", "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"), "n", F.greatest(F.col("all") - cap, F.lit(0)).alias("more"))
 
 
 def file_tree(files: DataFrame, max_depth: int = 2**30, cap: int = 1000) -> DataFrame:
@@ -63,8 +68,7 @@ def file_tree(files: DataFrame, max_depth: int = 2**30, cap: int = 1000) -> Data
     node = F.slice("parts", 1, F.col("depth"))
     nodes = nodes.select(F.array_join(node, "/").alias("path"), "depth", (F.col("depth") < F.col("deep")).alias("is_dir"), node.alias("parts")).dropDuplicates(["path"])
     step = F.transform("parts", lambda p, i: F.concat(F.when((i + 1 < F.size("parts")) | F.col("is_dir"), F.lit("0")).otherwise(F.lit("1")), F.upper(p), F.lit("\x00"), p))
-    order = Window.orderBy(step)
-    return nodes.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).select("n", "path", "depth", "is_dir")
+    return _first(nodes.select("path", "depth", "is_dir", step.alias("step")), cap, "step").select("n", "path", "depth", "is_dir")
 
 
 def glob_regex(glob: str) -> str:
@@ -88,20 +92,21 @@ def find_files(files: DataFrame, glob: str, folder: str = "", cap: int = 500) ->
     """Paths that match a glob, in order without regard to case; `cap` at most, and how many more there are."""
     prefix = folder.strip("/") + "/" if folder.strip("/") else ""
     found = files.filter(F.col("path").startswith(prefix) & F.substring("path", len(prefix) + 1, 2**31 - 1).rlike(glob_regex(glob)))
-    ranked = found.select("path", F.row_number().over(Window.orderBy(F.upper("path"), "path")).alias("n"), F.count("*").over(Window.partitionBy()).alias("all"))
-    return ranked.filter(F.col("n") <= cap).select("n", "path", F.greatest(F.col("all") - cap, F.lit(0)).alias("more"))
+    return _first(found.select("path"), cap, F.upper("path"), F.col("path")).select("n", "path", F.greatest(F.col("all") - cap, F.lit(0)).alias("more"))
 
 
-def grep(lines: DataFrame, pattern: str, cap: int = 100) -> DataFrame:
-    """Matching lines with the lines before and after, in order of path and line; `cap` at most, and how many matches there are.
-
-    The context is taken before the filter; files are independent, so only the final ranking sees all matches.
-    """
+def grep_all(lines: DataFrame, pattern: str) -> DataFrame:
+    """All matching lines with the lines before and after. The context is taken before the filter; files are independent."""
     re.compile(pattern)
     order = Window.partitionBy("path").orderBy("line_no")
-    around = lines.withColumn("previous", F.lag("line").over(order)).withColumn("next", F.lead("line").over(order)).filter(F.col("line").rlike(f"(?m){pattern}"))
-    ranked = around.withColumn("n", F.row_number().over(Window.orderBy(F.upper("path"), "path", "line_no"))).withColumn("matches", F.count("*").over(Window.partitionBy()))
-    return ranked.filter(F.col("n") <= cap).select("n", "path", "line_no", "line", "previous", "next", "matches", F.greatest(F.col("matches") - cap, F.lit(0)).alias("more"))
+    around = lines.withColumn("previous", F.lag("line").over(order)).withColumn("next", F.lead("line").over(order))
+    return around.filter(F.col("line").rlike(f"(?m){pattern}")).select("path", "line_no", "line", "previous", "next")
+
+
+def grep(lines: DataFrame, pattern: str, cap: int = 100) -> DataFrame:
+    """The first `cap` matches in order of path and line, how many there are and how many more than the cap."""
+    first = _first(grep_all(lines, pattern), cap, F.upper("path"), F.col("path"), F.col("line_no"))
+    return first.select("n", "path", "line_no", "line", "previous", "next", F.col("all").alias("matches"), F.greatest(F.col("all") - cap, F.lit(0)).alias("more"))
 
 
 def grep_block(path: Column, line_no: Column, line: Column, previous: Column, following: Column) -> Column:

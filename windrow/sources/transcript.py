@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from windrow.functions.text import is_blank, truncate_event
 
@@ -38,10 +42,20 @@ def _head(text: str, *numbers: Column) -> Column:
     return F.concat(F.lit(text), *numbers) if numbers else F.lit(text)
 
 
+@F.pandas_udf(StringType())
+def _indented(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+        except ValueError:
+            return text
+
+    return texts.map(one)
+
+
 def pretty_json(text: Column) -> Column:
     """Indented JSON, `{}` for a blank text, the text itself if it is no JSON."""
-    parsed = F.to_json(F.try_parse_json(text), {"pretty": "true"})
-    return F.when(is_blank(text), "{}").otherwise(F.coalesce(parsed, text))
+    return F.when(is_blank(text), "{}").otherwise(_indented(text))
 
 
 def render(events: DataFrame) -> DataFrame:
@@ -142,6 +156,31 @@ def turn_table(lines: DataFrame) -> DataFrame:
 
 
 def session_totals(turns: DataFrame) -> DataFrame:
-    """Turns and reported tokens of each session as they run up."""
+    """Turns and tokens before, after and reported of each session as they run up."""
     so_far = Window.partitionBy("session").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.select("session", "turn", F.count("*").over(so_far).alias("turns"), F.sum("total").over(so_far).alias("reported"))
+    return turns.select("session", "turn", F.count("*").over(so_far).alias("turns"), F.sum("before").over(so_far).alias("before"), F.sum("after").over(so_far).alias("after"), F.sum("total").over(so_far).alias("reported"))
+
+
+def status(events: DataFrame) -> DataFrame:
+    """session, seq, tokens_after and the window size of the session's start event, carried to each prepared event."""
+    so_far = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.select("session", "seq", "kind", "tokens_after", F.last("window_tokens", ignorenulls=True).over(so_far).alias("window_tokens"))
+    return rows.filter("kind = 'prepared'").drop("kind")
+
+
+def notices(events: DataFrame) -> DataFrame:
+    """session, seq, notice and shown for each model response and session end: what a reader is told, and the text to show at once.
+
+    arguments holds a response's tool calls as a JSON array. A response without any is an answer, which is
+    shown when it is complete; a session that its user ended is no warning.
+    """
+    calls = F.coalesce(F.json_array_length("arguments"), F.lit(0))
+    response, blank = F.col("kind") == "model_responded", is_blank(F.col("content"))
+    number = lambda text, n: F.concat(F.lit(text), n.cast("string"), F.lit(" tool call(s)."))
+    notice = (
+        F.when(response & (calls > 0) & blank, number("Model issuing ", calls)).when(response & (calls > 0), number("Model responded and requested ", calls))
+        .when((F.col("kind") == "session_ended") & (F.col("outcome") == "EndedByUser"), "Session ended.")
+        .when(F.col("kind") == "session_ended", F.concat(F.col("outcome"), F.lit(". Total turns: "), F.col("turn"), F.lit(". Total tokens: "), _value("total_tokens"), F.lit(".")))
+    )
+    shown = F.when(response & (calls > 0) & ~blank, F.col("content"))
+    return events.filter(F.col("kind").isin("model_responded", "session_ended")).select("session", "seq", notice.alias("notice"), shown.alias("shown"))
