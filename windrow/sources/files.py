@@ -47,8 +47,8 @@ def read_range(lines: DataFrame, start: int, end: int, cap: int = 2000) -> DataF
 
 def _first(rows: DataFrame, cap: int, *order: Column | str) -> DataFrame:
     """The first `cap` rows in order with their number n, and how many rows there are (all). Only those rows meet in one task."""
-    total = rows.agg(F.count("*").alias("all"))
-    return rows.orderBy(*order).limit(cap).withColumn("n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(total))  # one row
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy(*order).limit(cap).withColumn("n", F.row_number().over(Window.orderBy(*order))).withColumn("all", total)
 
 
 def list_directory(files: DataFrame, folder: str = "", cap: int = 500) -> DataFrame:
