@@ -10,6 +10,7 @@ from windrow.functions.tokens import count_segments, message_tokens
 from windrow.operators import compaction, history
 from windrow.plans import anchor
 from windrow.plans.budget import Budget, BudgetError, Profile, ProfileBuilder, ProfileRegistry, WindowOptions, placeholder_parts
+from windrow.plans.points import prepare_points
 from windrow.plans.prepare import prefixes, prepare
 
 
@@ -149,6 +150,34 @@ def test_prefixes_keep_large_ids_and_indexes_apart(spark):
     assert prepare(points, [Profile("p", Budget(100))]).results.count() == 2
 
 
+def test_prepare_points_equal_the_prefixes(spark):
+    r = random.Random(7)
+    profiles = [
+        Profile("a", Budget(120, 0.5, 0.7), WindowOptions(2, 0.3)), Profile("b", Budget(200, 0.4), WindowOptions(3, 0.5)), Profile("c", Budget(60, 0.3, 0.9, 0.2), WindowOptions(1, 0.2)),
+        Profile("d", Budget(300, 0.05, 0.1), WindowOptions(1, 0.05)),
+    ]
+    rows = []
+    for conv in range(80):
+        turn = 0
+        for i in range(r.randint(1, 24)):
+            role = "System" if i == 0 and r.random() < 0.4 else r.choice(["User", "Model", "Tool", "Model"])
+            turn += r.random() < 0.5
+            call = f"c{r.randint(0, 9) if conv % 4 == 0 else i}"  # in a quarter of them calls take ids anew
+            segments = result(call, "z" * r.randint(0, 200)) if role == "Tool" else text("w" * r.randint(1, 120))
+            if role == "Model" and conv % 4 == 0:
+                segments = segments + [("tool_use", call, "n" * r.randint(1, 60), "{}")]
+            rows.append((conv, i * 3, role, role == "System" or r.random() < 0.1, r.choice([turn, turn, None]), r.choice([None, 0, r.randint(0, 60)]), segments))
+    messages = log(spark, rows)
+    want = prepare(prefixes(messages), profiles).results.withColumn("point", F.col("conv_id.point")).withColumn("conv_id", F.col("conv_id.conv_id"))
+    got = prepare_points(messages, profiles)
+    order = ["profile", "conv_id", "point"]
+    want, got = ([x.asDict() for x in df.select(*sorted(df.columns)).orderBy(*order).collect()] for df in (want, got))
+    assert len(got) > 1000 and {x["outcome"] for x in got} == {None, "Ready", "Compacted", "Degraded", "ContextExhausted"}
+    assert compaction.called_later(messages).count() > 5
+    for one, other in zip(want, got, strict=True):
+        assert one == other
+
+
 def test_turns(spark):
     rows = [(1, 0, "append"), (1, 1, "prepare"), (1, 2, "prepare"), (1, 3, "append"), (1, 4, "append"), (1, 5, "prepare"), (1, 6, "append")]
     got = history.stamp_turns_from_log(spark.createDataFrame(rows, "conv_id long, seq long, kind string")).orderBy("seq").collect()
@@ -200,3 +229,4 @@ def test_upsert_replaces_in_place_or_inserts(spark):
 def test_empty_log(spark):
     done = prepare(log(spark, []), [Profile("p", Budget(10))])
     assert done.results.count() == 0 and done.messages().count() == 0 and done.events().count() == 0
+    assert prepare_points(log(spark, []), [Profile("p", Budget(10))]).count() == 0

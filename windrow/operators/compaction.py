@@ -28,15 +28,26 @@ def resolved_results(messages: DataFrame) -> DataFrame:
     Calls and results are exploded together, without contents, and meet in one window over the call id:
     one scan and one exchange instead of a join.
     """
-    bare = F.transform(F.filter("segments", lambda s: s["kind"] != "text"), lambda s: F.struct(s["kind"].alias("kind"), s["tool_call_id"].alias("id"), s["tool_name"].alias("name")))
-    parts = messages.filter(~F.col("is_pinned")).select("conv_id", "msg_idx", F.posexplode(bare).alias("seg", "s"))
-    parts = parts.select("conv_id", "msg_idx", "seg", "s.kind", F.col("s.id").alias("tool_call_id"), "s.name")
+    parts = _calls_and_results(messages)
     is_call = F.col("kind") == "tool_use"
     last = F.max_by(F.when(is_call, F.col("name")), F.when(is_call, F.struct("msg_idx", "seg"))).over(Window.partitionBy("conv_id", "tool_call_id"))
     named = parts.withColumn("tool_name", F.coalesce(last, F.col("tool_call_id")))
     return named.filter("kind = 'tool_result'").select("conv_id", "msg_idx", "tool_call_id", "tool_name")
 
 
+def called_later(messages: DataFrame) -> DataFrame:
+    """conv_id of each conversation in which an unpinned call has the id of a result before it."""
+    at = lambda kind: F.when(F.col("kind") == kind, F.col("msg_idx"))
+    spans = _calls_and_results(messages).groupBy("conv_id", "tool_call_id").agg(F.max(at("tool_use")).alias("call"), F.min(at("tool_result")).alias("result"))
+    return spans.filter("call > result").select("conv_id").distinct()
+
+
+def _calls_and_results(messages: DataFrame) -> DataFrame:
+    bare = F.transform(F.filter("segments", lambda s: s["kind"] != "text"), lambda s: F.struct(s["kind"].alias("kind"), s["tool_call_id"].alias("id"), s["tool_name"].alias("name")))
+    parts = messages.filter(~F.col("is_pinned")).select("conv_id", "msg_idx", F.posexplode(bare).alias("seg", "s"))
+    return parts.select("conv_id", "msg_idx", "seg", "s.kind", F.col("s.id").alias("tool_call_id"), "s.name")
+
+
 def measured(messages: DataFrame, template: str, counter: Counter = count_segments) -> DataFrame:
     """Narrow rows: what each message costs, and what it would cost with its tool results masked (null if it has none)."""
     cleared = utf16_length(placeholder(template, F.col("tool_name"), F.col("tool_call_id"))) + utf16_length(F.col("tool_call_id"))

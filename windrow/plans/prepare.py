@@ -111,6 +111,11 @@ def outcomes(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~F.col("is_dropped"), F.col("cost"))), F.lit(0)).alias("raw_final"),
         unpinned("tokens").alias("strategy_before"), unpinned("cost").alias("strategy_after"),
     )
+    return labelled(out)
+
+
+def labelled(out: DataFrame) -> DataFrame:
+    """Results with final tokens, outcome and reason."""
     out = out.withColumn("tokens_after", F.col("raw_final") + F.col("correction")).withColumn("compacted", F.col("masked") + F.col("dropped"))
     most = F.col("max_tokens") + F.col("tolerance")
     out = out.withColumn(
@@ -134,7 +139,7 @@ def prefixes(messages: DataFrame, counter: Counter = count_segments) -> DataFram
     """Every prepare point as a log of its own: for each model row the messages before it. conv_id is a struct of conv_id and point.
 
     The rows are narrow copies with their counts cached. A conversation of n messages makes up to n * n / 2
-    rows, so this is for bounded conversations.
+    rows, so this is for bounded conversations; `points.prepare_points` has the same results without copies.
     """
     points = messages.filter("role = 'Model'").select(F.col("conv_id").alias("c"), F.col("msg_idx").alias("point"))
     cached = messages.withColumn("token_count", message_tokens(F.col("segments"), F.col("token_count"), counter).cast("int"))

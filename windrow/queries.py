@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from windrow.functions import text as T
 from windrow.functions.tokens import message_chars, message_tokens, segment_chars
@@ -13,7 +14,8 @@ from windrow.operators import audit, compaction, history, providers
 from windrow.oracles import ORACLE_SQL, PROFILES  # noqa: F401
 from windrow.plans import anchor
 from windrow.plans.budget import Budget, Profile, WindowOptions
-from windrow.plans.prepare import Prepared, prefixes, prepare
+from windrow.plans.points import prepare_points
+from windrow.plans.prepare import Prepared, prepare
 from windrow.schema import text_segment, tool_use
 from windrow.sources import automation, files, transcript
 
@@ -225,8 +227,8 @@ def orphan_tool_results(spark, sf_dir):
 
 @query
 def anchor_replay(spark, sf_dir):
-    points = prepare(prefixes(messages(spark, sf_dir)), [PROFILE["p3"]]).results
-    conv, seq = F.col("conv_id.conv_id"), F.col("conv_id.point")
+    points = prepare_points(messages(spark, sf_dir), [PROFILE["p3"]])
+    conv, seq = F.col("conv_id"), F.col("point")
     reported = F.when((conv + seq) % 3 > 0, F.col("tokens_before") + (conv + seq) % 41)
     points = points.select(conv.alias("conv_id"), seq.cast("long").alias("seq"), F.col("tokens_before").alias("raw"), F.col("tokens_after").alias("raw_final"), reported.alias("provider"))
     return anchor.replay(points, PROFILE["p3"])
@@ -241,31 +243,35 @@ def anchor_replay_emergency(spark, sf_dir):
 
 @query
 def prefix_replay(spark, sf_dir):
-    done = prepare(prefixes(messages(spark, sf_dir)), [PROFILE["p2"]]).results
-    return done.select("conv_id.conv_id", F.col("conv_id.point").cast("long").alias("point"), "outcome", "tokens_before", "tokens_after", "masked", "dropped")
+    done = prepare_points(messages(spark, sf_dir), [PROFILE["p2"]])
+    return done.select("conv_id", F.col("point").cast("long").alias("point"), "outcome", "tokens_before", "tokens_after", "masked", "dropped")
 
 
 def events(spark, sf_dir):
     """Session events of all prepare points, with made-up reports of the provider."""
     from pyspark.sql import Window
 
-    done = prepare(prefixes(messages(spark, sf_dir)), [PROFILE["p2"]]).results.filter("outcome IS NOT NULL")
-    session, point = F.col("conv_id.conv_id"), F.col("conv_id.point")
+    done = prepare_points(messages(spark, sf_dir), [PROFILE["p2"]]).filter("outcome IS NOT NULL")
+    session, point = F.col("conv_id"), F.col("point")
     turn = (F.row_number().over(Window.partitionBy(session).orderBy(point)) - 1).alias("turn")
     reported = F.when((session + point) % 5 != 0, F.col("tokens_after") + F.floor(((session + point) % 7 - 3) * F.col("tokens_after") / 20))
     rows = done.select(session.cast("string").alias("session"), turn, "tokens_before", "tokens_after", "outcome", "compacted", "dropped", "reason", reported.alias("input_tokens"))
     rows = rows.withColumn("ts", F.timestamp_seconds(F.col("turn") * 60))
-    start = rows.filter("turn = 0").select(
-        "session", F.lit(0).cast("bigint").alias("seq"), F.lit("session_started").alias("kind"), "ts", F.lit("owner/repo").alias("workspace"), F.lit("/w").alias("workspace_path"), F.lit("model-a").alias("model"),
-        F.lit(2000).alias("window_tokens"), F.lit(0.5).alias("soft_ratio"), F.lit(0.8).alias("hard_ratio"), F.lit(2).alias("window_size"), F.lit("s").alias("label"),
-    )
-    prepare_rows = rows.select("session", (F.col("turn") * 2 + 1).cast("bigint").alias("seq"), F.lit("prepared").alias("kind"), "ts", "turn", "tokens_before", "tokens_after", "outcome", "compacted", "dropped", "reason")
-    answers = rows.filter("input_tokens IS NOT NULL").select(
-        "session", (F.col("turn") * 2 + 2).cast("bigint").alias("seq"), F.lit("model_responded").alias("kind"), "ts", "turn", "input_tokens", F.lit("## PrepareResult (turn 99)\nnot a header").alias("content"), F.lit("[]").alias("arguments"),
+    fields = {f.name: f.dataType for f in StructType.fromDDL(transcript.EVENTS)}
+
+    def event(seq, kind, **values):
+        values = {"session": F.col("session"), "ts": F.col("ts"), "seq": seq, "kind": F.lit(kind)} | values
+        return F.struct(*(values.get(name, F.lit(None)).cast(of).alias(name) for name, of in fields.items()))
+
+    column = lambda *names: {name: F.col(name) for name in names}
+    start = event(
+        F.lit(0), "session_started", workspace=F.lit("owner/repo"), workspace_path=F.lit("/w"), model=F.lit("model-a"), window_tokens=F.lit(2000), soft_ratio=F.lit(0.5), hard_ratio=F.lit(0.8),
+        window_size=F.lit(2), label=F.lit("s"),
     )
-    schema = spark.createDataFrame([], transcript.EVENTS)
-    every = start.unionByName(prepare_rows, True).unionByName(answers, True)
-    return schema.unionByName(every, True)
+    done = event(F.col("turn") * 2 + 1, "prepared", **column("turn", "tokens_before", "tokens_after", "outcome", "compacted", "dropped", "reason"))
+    answer = event(F.col("turn") * 2 + 2, "model_responded", content=F.lit("## PrepareResult (turn 99)\nnot a header"), arguments=F.lit("[]"), **column("turn", "input_tokens"))
+    # all events of a prepare point from its one row
+    return rows.select(F.inline(F.array_compact(F.array(F.when(F.col("turn") == 0, start), done, F.when(F.col("input_tokens").isNotNull(), answer)))))
 
 
 def turn_table(spark, sf_dir):
