@@ -191,6 +191,18 @@ def test_anchor_keeps_the_residual(spark):
     assert [x["corr"] for x in anchor.replay(points, profile, cumulative=True).orderBy("seq").collect()] == [0, 20, 30, 40]
 
 
+def test_anchor_goes_on_over_batches_and_starts_anew_with_each_conversation(spark):
+    # each conversation is longer than an Arrow batch; adding up keeps a correction of 3 to its end
+    points = spark.range(0, 60_000).selectExpr("id % 3 AS conv_id", "id AS seq", "100 + id AS raw", "100 + id AS raw_final", "IF(id < 6, 103 + id, NULL) AS provider")
+    got = anchor.replay(points, Profile("p", Budget(10_000_000)))
+    # the second report equals the corrected estimate, so nothing of the drift is left
+    assert got.filter("corr <> CASE WHEN seq < 3 THEN 0 WHEN seq < 6 THEN 3 ELSE 0 END").isEmpty() and got.count() == 60_000
+    cumulative = anchor.replay(points, Profile("p", Budget(10_000_000)), cumulative=True)
+    assert cumulative.filter("corr <> CASE WHEN seq < 3 THEN 0 ELSE 3 END OR final <> total OR NOT ready").isEmpty()
+    gaps = spark.createDataFrame([(None, 1, None, None, 7), (None, 2, 5, 5, None), (2**60, 1, 5, 5, None)], "conv_id long, seq long, raw long, raw_final long, provider long")
+    assert sorted((str(x["conv_id"]), x["seq"], x["total"], x["corr"]) for x in anchor.replay(gaps, Profile("p", Budget(1000))).collect()) == [(str(2**60), 1, 5, 0), ("None", 1, 0, 0), ("None", 2, 12, 7)]
+
+
 def test_anchor_fold_equals_the_sequential_form(spark):
     r = random.Random(5)
     profile = Profile("p", Budget(400, 0.5), WindowOptions(1, 0.1))

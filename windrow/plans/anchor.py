@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.plans.budget import Profile
 
-STATE = "struct<last:bigint,corr:bigint,steps:array<struct<seq:bigint,total:bigint,final:bigint,corr:bigint,ready:boolean>>>"
+STEPS = "conv_id {}, seq long, total long, final long, corr long, ready boolean"
 
 
 def replay(points: DataFrame, profile: Profile, cumulative: bool = False) -> DataFrame:
@@ -24,25 +25,34 @@ def replay(points: DataFrame, profile: Profile, cumulative: bool = False) -> Dat
     what is left of the drift only; `cumulative` adds the corrections up instead.
 
     raw_final must not depend on the correction, so this is for profiles without emergency limit; the
-    others go through replay_with_emergency.
+    others go through replay_with_emergency. A null raw or raw_final counts as 0.
+
+    Each step needs the one before it, so a conversation stays in one task, sorted by Spark; the fold reads it
+    batch by batch and keeps two numbers, so time and memory do not depend on how long it is.
     """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "raw", "raw_final", "provider")))
-    folded = points.groupBy("conv_id").agg(steps.alias("points"))
-
-    def step(state: Column, p: Column) -> Column:
-        total = p["raw"] + state["corr"]
-        ready = total < profile.budget.compaction_trigger
-        last = F.when(ready, total).otherwise(p["raw_final"])
-        kept = F.when(ready, state["corr"]).otherwise(F.lit(0).cast("bigint"))
-        drift = p["provider"] - last
-        corr = F.when(p["provider"].isNull(), kept).otherwise((drift + kept if cumulative else drift))
-        final = F.when(ready, total).otherwise(p["raw_final"] + state["corr"])
-        seen = F.struct(p["seq"].cast("bigint").alias("seq"), total.cast("bigint").alias("total"), final.cast("bigint").alias("final"), state["corr"].cast("bigint").alias("corr"), ready.alias("ready"))
-        return F.struct(last.cast("bigint").alias("last"), corr.cast("bigint").alias("corr"), F.concat(state["steps"], F.array(seen)).alias("steps")).cast(STATE)
-
-    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("corr"), F.array().cast("array<struct<seq:bigint,total:bigint,final:bigint,corr:bigint,ready:boolean>>").alias("steps")).cast(STATE)
-    done = folded.select("conv_id", F.aggregate("points", start, step).alias("state"))
-    return done.select("conv_id", F.inline("state.steps"))
+    trigger = profile.budget.compaction_trigger
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv = corr = None
+        for batch in batches:
+            out = []
+            for at, raw, raw_final, provider in zip(*(batch.column(name).to_pylist() for name in ("conv_id", "raw", "raw_final", "provider"))):
+                if corr is None or at != conv:
+                    conv, corr = at, 0
+                total = raw + corr
+                ready = total < trigger
+                out.append((total, total if ready else raw_final + corr, corr, ready))
+                last, kept = (total, corr) if ready else (raw_final, 0)
+                corr = kept if provider is None else provider - last + (kept if cumulative else 0)
+            columns = zip(*out) if out else ((), (), (), ())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            done = [pa.array(values, of) for values, of in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("seq"), *done], ["conv_id", "seq", "total", "final", "corr", "ready"])
+
+    number = lambda name: F.coalesce(F.col(name).cast("bigint"), F.lit(0)).alias(name)
+    rows = points.select("conv_id", F.col("seq").cast("bigint").alias("seq"), number("raw"), number("raw_final"), F.col("provider").cast("bigint").alias("provider"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "raw", "raw_final", F.asc_nulls_last("provider"))
+    return rows.mapInArrow(fold, STEPS.format(rows.schema["conv_id"].dataType.simpleString()))
 
 
 class Conversation:
