@@ -49,9 +49,12 @@ def _calls_and_results(messages: DataFrame) -> DataFrame:
 
 
 def measured(messages: DataFrame, template: str, counter: Counter = count_segments) -> DataFrame:
-    """Narrow rows: what each message costs, and what it would cost with its tool results masked (null if it has none)."""
+    """Narrow rows: what each message costs, and what it would cost with its tool results masked (null if it has none).
+
+    names are the tools of its results by call id; nothing reads them unless messages are written out.
+    """
     cleared = utf16_length(placeholder(template, F.col("tool_name"), F.col("tool_call_id"))) + utf16_length(F.col("tool_call_id"))
-    masks = resolved_results(messages).groupBy("conv_id", "msg_idx").agg(F.sum(cleared).alias("cleared"))
+    masks = resolved_results(messages).groupBy("conv_id", "msg_idx").agg(F.sum(cleared).alias("cleared"), F.map_from_entries(F.collect_set(F.when(F.col("tool_call_id").isNotNull(), F.struct("tool_call_id", "tool_name")))).alias("names"))
     rest = F.aggregate(F.filter("segments", lambda s: s["kind"] != "tool_result"), F.lit(0).cast("long"), lambda total, s: total + segment_chars(s))
     rows = messages.select("conv_id", "msg_idx", "role", "state", "is_pinned", "turn", message_tokens(F.col("segments"), F.col("token_count"), counter).alias("tokens"), rest.alias("rest"))
     rows = rows.join(masks, ["conv_id", "msg_idx"], "left")

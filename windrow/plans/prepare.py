@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.tokens import Counter, count_segments, message_tokens
-from windrow.operators.compaction import KEYS, drop_oldest, mask, masked_segments, measured, preserve, protect, resolved_results, totals, turn_groups
+from windrow.operators.compaction import KEYS, drop_oldest, mask, masked_segments, measured, preserve, protect, totals, turn_groups
 from windrow.plans.budget import BudgetError, Profile
 
 #: A strategy turns narrow rows into rows with is_protected, is_masked and cost.
@@ -47,9 +47,8 @@ class Prepared:
 
         A conversation with a pinned overflow has none.
         """
-        kept = self.rows.filter("error IS NULL AND NOT is_dropped").select(*KEYS, "msg_idx", "is_masked", F.col("cost").alias("prepared_tokens"))
-        names = resolved_results(self.source).groupBy("conv_id", "msg_idx").agg(F.map_from_entries(F.collect_set(F.struct("tool_call_id", "tool_name"))).alias("names"))
-        full = self.source.join(names, ["conv_id", "msg_idx"], "left").join(kept, ["conv_id", "msg_idx"])
+        kept = self.rows.filter("error IS NULL AND NOT is_dropped").select(*KEYS, "msg_idx", "is_masked", F.col("cost").alias("prepared_tokens"), F.when(F.col("is_masked"), F.col("names")).alias("names"))
+        full = self.source.join(kept, ["conv_id", "msg_idx"])
         masked = masked_segments(self.template, F.col("segments"), F.col("names"))
         return full.select(
             *KEYS, "msg_idx", "role", F.when(F.col("is_masked"), "Masked").otherwise(F.col("state")).alias("state"), "is_pinned", "turn", "prepared_tokens",
