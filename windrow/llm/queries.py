@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, quality, source_mix, toxicity, url_rules, vector_search
+from windrow.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, quality, quality_rules, source_mix, toxicity, url_rules, vector_search
 from windrow.llm.shared import table
 
 URL_RULES = [
@@ -161,6 +161,58 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+OP12_SQL = r"""
+WITH base AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+words AS (SELECT rid, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM base),
+windows AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) > 5)),
+again AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(0, 5) t(k) GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM base)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+stripped AS (
+  SELECT rid, lang, t, regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g') AS s, regexp_replace(t, '[\p{Ll}\x20\x09-\x0D]+', '', 'g') AS r0 FROM base),
+parts AS (
+  SELECT rid, lang, length(t) AS chars, length(t) - length(s) - length(r0) AS c0, length(s) AS c1, length(r0) - length(r1) AS c2, length(r1) - length(r2) AS c3,
+    length(r2) - length(r3) AS c4, length(r3) - length(r4) AS c5, length(r4) AS c6
+  FROM (SELECT *, regexp_replace(r3, '[\p{L}\p{M}]+', '', 'g') AS r4 FROM (SELECT *, regexp_replace(r2, '\p{N}+', '', 'g') AS r3 FROM (
+    SELECT *, regexp_replace(r1, '[\p{Lu}\p{Lt}]+', '', 'g') AS r2 FROM (SELECT *, regexp_replace(r0, '\p{P}+', '', 'g') AS r1 FROM stripped))))),
+classes AS (SELECT rid, lang, chars, unnest([c0, c1, c2, c3, c4, c5, c6]) AS c, unnest(range(0, 7)) AS k FROM parts),
+class_refs AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM classes GROUP BY lang, k),
+said AS (SELECT rid, lang, lower(unnest(w)) AS word FROM words),
+vocabulary AS (SELECT lang, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total FROM said GROUP BY lang, word),
+word_refs AS (SELECT lang, word, n / total AS q FROM vocabulary WHERE total >= 200 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 40),
+langs AS (SELECT lang, sum(q) AS common FROM word_refs GROUP BY lang),
+class_far AS (
+  SELECT c.rid, r.lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
+  FROM (SELECT rid, k, c / chars AS p FROM classes WHERE chars > 0) c JOIN class_refs r USING (k) GROUP BY c.rid, r.lang),
+said_common AS (SELECT rid, word, count(*) AS n FROM said WHERE word IN (SELECT word FROM word_refs) GROUP BY rid, word),
+met AS (
+  SELECT s.rid, r.lang, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q)) - q) AS d, sum(p) AS p
+  FROM (SELECT rid, word, n / len(w) AS p FROM said_common JOIN words USING (rid)) s JOIN word_refs r USING (word) GROUP BY s.rid, r.lang),
+word_far AS (
+  SELECT rid, lang, sqrt(greatest((coalesce(d, 0) + common + CASE WHEN rp > 0 THEN rp * log2(2 * rp / (rp + rq)) ELSE 0 END + CASE WHEN rq > 0 THEN rq * log2(2 * rq / (rp + rq)) ELSE 0 END) / 2, 0)) AS d
+  FROM (SELECT w.rid, l.lang, l.common, m.d, greatest(1 - coalesce(m.p, 0), 0) AS rp, greatest(1 - l.common, 0) AS rq
+    FROM words w JOIN langs l ON len(w.w) > 0 LEFT JOIN met m ON m.rid = w.rid AND m.lang IS NOT DISTINCT FROM l.lang)),
+near AS (
+  SELECT w.rid, min(greatest(CASE WHEN length(t) >= 200 THEN round(c.d, 9) / 0.2 ELSE 0 END, CASE WHEN len(w) >= 80 THEN round(x.d, 9) / 0.45 ELSE 0 END)) AS best
+  FROM words w JOIN class_far c ON c.rid = w.rid JOIN word_far x ON x.rid = w.rid AND x.lang IS NOT DISTINCT FROM c.lang GROUP BY w.rid),
+counted AS (
+  SELECT w.rid, doc_id, len(w)::BIGINT AS n_words, (length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM words w LEFT JOIN lines l ON l.rid = w.rid LEFT JOIN covered c ON c.rid = w.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (NOT EXISTS (FROM langs) OR coalesce(best <= 1, false)) AS kept
+FROM counted LEFT JOIN near USING (rid)
+"""
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_vector_search": op2_vector_search,
@@ -172,6 +224,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_chat_windows": op9_chat_windows,
     "op10_decontaminate": op10_decontaminate,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -180,4 +233,5 @@ ORACLE_SQL = {
     "op7_source_mix": OP7_SQL,
     "op8_ngram_join": OP8_SQL,
     "op9_chat_windows": OP9_SQL,
+    "op12_quality_rules": OP12_SQL,
 }
