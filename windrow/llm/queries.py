@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, quality, quality_rules, source_mix, toxicity, url_rules, vector_search
+from windrow.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, quality, quality_rules, source_mix, toxicity, url_rules, vector_codes, vector_search
 from windrow.llm.shared import table
 
 URL_RULES = [
@@ -213,6 +213,40 @@ FROM counted LEFT JOIN near USING (rid)
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _lloyd(book: str, number: int) -> str:
+    """Assignment to the entries of `book` and, after the first two, the next entries."""
+    chosen = f"""a{number} AS (
+  SELECT x.rid, x.part, arg_min(e.entry, (list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e.entry)) AS entry,
+    min(list_sum(list_transform(list_zip(x.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS error
+  FROM pieces x JOIN {book} e ON x.part = e.part GROUP BY x.rid, x.part)"""
+    if number == 2:
+        return chosen
+    return chosen + f""",
+s{number} AS (
+  SELECT part, entry, k, floor(sum(c) / count(*))::BIGINT AS c FROM (
+    SELECT x.part, a.entry, unnest(x.v) AS c, generate_subscripts(x.v, 1) AS k FROM pieces x JOIN a{number} a ON x.rid = a.rid AND x.part = a.part) GROUP BY part, entry, k),
+b{number + 1} AS (
+  SELECT e.part, e.entry, coalesce(m.v, e.v) AS v FROM {book} e
+  LEFT JOIN (SELECT part, entry, list(c ORDER BY k) AS v FROM s{number} GROUP BY part, entry) m ON e.part = m.part AND e.entry = m.entry)"""
+
+
+OP13_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pieces AS (SELECT rid, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS v FROM kept, range(0, 16) t(part)),
+b0 AS (SELECT part, rid - 1 AS entry, v FROM pieces WHERE rid <= 64),
+{", ".join(_lloyd(f"b{i}", i) for i in range(3))},
+coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM a2 GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), digest
+"""
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_vector_search": op2_vector_search,
@@ -225,6 +259,7 @@ QUERIES = {
     "op9_chat_windows": op9_chat_windows,
     "op10_decontaminate": op10_decontaminate,
     "op12_quality_rules": op12_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -234,4 +269,5 @@ ORACLE_SQL = {
     "op8_ngram_join": OP8_SQL,
     "op9_chat_windows": OP9_SQL,
     "op12_quality_rules": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
