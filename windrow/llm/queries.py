@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from windrow.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, quality, quality_rules, source_mix, toxicity, url_rules, vector_codes, vector_search
+from windrow.llm import chat_format, decontaminate, hard_negatives, html_extract, language_id, ngram_join, quality, quality_rules, source_mix, toxicity, url_rules, vector_codes, vector_search
 from windrow.llm.shared import table
 
 URL_RULES = [
@@ -161,6 +162,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = r"""
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER o)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW o AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER o <= 5
+"""
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
@@ -258,6 +279,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_chat_windows": op9_chat_windows,
     "op10_decontaminate": op10_decontaminate,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_quality_rules": op12_quality_rules,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -268,6 +290,7 @@ ORACLE_SQL = {
     "op7_source_mix": OP7_SQL,
     "op8_ngram_join": OP8_SQL,
     "op9_chat_windows": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_quality_rules": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }

@@ -75,6 +75,25 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, by: str, how: str =
     return dealt.join(repeated, [key, "_part"], how).drop("_part")
 
 
+#: Integers beyond this are set to it, so that sums of products stay exact in 64 bits.
+MOST = 2**24
+
+
+def whole_vectors(vectors: DataFrame, scale: int, *columns: str) -> tuple[DataFrame, int | None]:
+    """The columns named and x, the embedding's components as floor(scale * component), MOST in size at most; and the number of components.
+
+    A row whose embedding is null or empty, has a null, infinite or NaN component, or not as many components as most rows is left
+    out. Without any row left the number is None.
+    """
+    v = F.col("embedding").cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = vectors.select(*columns, v.alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)))
+    whole = lambda x: F.greatest(F.least(F.floor(x * scale), F.lit(MOST)), F.lit(-MOST)).cast("int")
+    kept = kept.select(*columns, F.transform("v", whole).alias("x"))
+    most = kept.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    return (kept, None) if most is None else (kept.filter(F.size("x") == most["dim"]), most["dim"])
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text leaves 1 when divided by 3. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))

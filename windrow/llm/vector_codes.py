@@ -21,10 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.shared import cut_lineage, join_spread
+from windrow.llm.shared import cut_lineage, join_spread, whole_vectors
 
-#: Integers beyond this are set to it, so that sums of squares stay exact in 64 bits.
-MOST = 2**24
 ROWS_AT_ONCE = 8_192
 
 
@@ -67,7 +65,7 @@ def encode_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, round
 
     vectors: vec_id, embedding, label. A vector takes no part if it is null or empty, has a null, infinite or NaN
     component, or not as many components as most rows, or if those cannot be cut into `parts` equal parts.
-    Components become floor(scale * x), at most MOST in size. The codebook of a part starts as that part of the
+    Components become floor(scale * x), 2**24 in size at most. The codebook of a part starts as that part of the
     `entries` vectors with the smallest vec_ids (all, if fewer; nulls last, equal ids by their vectors). Each
     round replaces an entry by the floor of the mean of the parts nearest to it, ties to the lower index;
     unused entries stay. code: the entries of the parts after the rounds, two hexadecimal digits each (`entries` is 256 at
@@ -78,19 +76,12 @@ def encode_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, round
     if not 0 < entries <= 256:
         raise ValueError("a code has two hexadecimal digits, so there are 1 to 256 entries")
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    kept = vectors.select("vec_id", "label", v.alias("v")).filter(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)))
-    whole = lambda x: F.greatest(F.least(F.floor(x * scale), F.lit(MOST)), F.lit(-MOST)).cast("int")
-    kept = kept.select("vec_id", "label", F.transform("v", whole).alias("x"))
-    most = kept.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    kept, dim = whole_vectors(vectors, scale, "vec_id", "label")
     label_type = vectors.schema["label"].dataType.simpleString()
     id_type = vectors.schema["vec_id"].dataType.simpleString()
-    if most is None or most["dim"] % parts:
+    if dim is None or dim % parts:
         return spark.createDataFrame([], f"vec_id {id_type}, label {label_type}, code string, error long, label_error long, codebooks_sha256 string")
-    dim = most["dim"]
     width = dim // parts
-    kept = kept.filter(F.size("x") == dim)
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()  # `entries` rows
     books = [Codebook(np.array([r["x"] for r in first], dtype=np.int64).reshape(len(first), parts, width).transpose(1, 0, 2).copy())]
 
