@@ -30,19 +30,16 @@ def flat(text: str) -> str:
 
 
 def word_counts(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """docs with _t (its text), _w (its words), _chars and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+    """docs with _t (its text), _w (its words), _chars and n_words, word_chars, n_dup_lines and n_repeat_words.
 
     Words are runs of characters other than \\x20 and \\x09-\\x0D; null has none. n_dup_lines: lines (split at
     \\n) with a word that equal an earlier line. n_repeat_words: words in windows of `window` words that are
     found twice or more in the text, the first included.
     """
-    symbols = "_t"
-    for c in SYMBOLS:
-        symbols = f"replace({symbols}, '{c}', '')"
     out = docs.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_flat", F.expr(flat("_t")))
     out = out.withColumns({
         "_w": F.expr("filter(split(_flat, ' '), x -> x <> '')"), "_lines": F.expr(r"filter(split(_t, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')"), "_chars": F.length("_t"),
-        "word_chars": F.length(F.expr("replace(_flat, ' ', '')")).cast("long"), "n_symbols": (F.length("_t") - F.length(F.expr(symbols))).cast("long"),
+        "word_chars": F.length(F.expr("replace(_flat, ' ', '')")).cast("long"),
     })
     out = out.withColumns({"_h": F.expr("transform(_w, x -> xxhash64(x))"), "_n": F.size("_w"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
     # a lambda reads an array of another column by place; each such column is used more than once, so that the optimizer does not put its expression into the lambda
@@ -64,10 +61,14 @@ def _repeated(name: str) -> Column:
 
 
 def with_classes(df: DataFrame) -> DataFrame:
-    """df (with _t, _chars and word_chars) with _c, the counts of its characters by class."""
+    """df (with _t, _chars and word_chars) with _c, the counts of its characters by class, and n_symbols."""
     out = df.withColumn("_r0", F.regexp_replace("_t", r"[\p{Ll}\x20\x09-\x0D]+", ""))
     for i, kind in enumerate(CLASSES):  # each takes its characters away, so later ones read a short rest
         out = out.withColumn(f"_r{i + 1}", F.regexp_replace(f"_r{i}", f"{kind}+", ""))
+    symbols = "_r0"  # no symbol is a lower-case letter or white space
+    for c in SYMBOLS:
+        symbols = f"replace({symbols}, '{c}', '')"
+    out = out.withColumn("n_symbols", (F.length("_r0") - F.length(F.expr(symbols))).cast("long"))
     names = [f"_r{i}" for i in range(len(CLASSES) + 1)]
     counts = [F.col("word_chars") - F.length("_r0"), F.col("_chars") - F.col("word_chars")] + [F.length(a) - F.length(b) for a, b in zip(names, names[1:])] + [F.length(names[-1])]
     return out.withColumn("_c", F.array(*(c.cast("long") for c in counts))).drop(*names)
