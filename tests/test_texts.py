@@ -71,9 +71,10 @@ def test_files(spark, tmp_path):
     assert [r["line"] for r in files.read_range(lines, 2, 9).collect()] == ["two", "three"]
     with pytest.raises(ValueError):
         files.read_range(lines, 3, 2)
-    hit = files.grep(lines, "t", 1).first()
+    texts = table.filter("path = 'b.txt'").select("path", F.decode("content", "UTF-8").alias("text"))
+    hit = files.grep(texts, "t", 1).first()
     assert (hit["line_no"], hit["previous"], hit["next"], hit["matches"], hit["more"]) == (2, "one", "three", 2, 1)
-    block = files.grep(lines, "two").select(files.grep_block(*(F.col(c) for c in ("path", "line_no", "line", "previous", "next")))).first()[0]
+    block = files.grep(texts, "two").select(files.grep_block(*(F.col(c) for c in ("path", "line_no", "line", "previous", "next")))).first()[0]
     assert block == "b.txt:2: two\n  1| one\n> 2| two\n  3| three"
     assert [r["line"] for r in files.last_lines(lines, 1).collect()] == ["three"]
     assert files.directory_size(table).first()[0] == 20

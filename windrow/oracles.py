@@ -275,6 +275,31 @@ SELECT 'r' || doc_id AS request_id, CASE WHEN doc_id % 3 = 0 THEN 'unanswered' W
 SELECT path, depth, is_dir FROM (
   SELECT DISTINCT split_part(path, '/', 1) AS path, 1 AS depth, true AS is_dir FROM files
   UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 2, true FROM files)""",
+    "tool_dispatch": r"""
+WITH files AS (
+  SELECT *, source || '/' || lang || '/Doc-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.MD' ELSE '.txt' END AS path FROM documents),
+lines AS (
+  SELECT doc_id, source, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM files),
+near AS (SELECT *, lag(line) OVER w AS previous, lead(line) OVER w AS next FROM lines WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+hits AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY upper(path), path, line_no) AS n, count(*) OVER (PARTITION BY source) AS total FROM near
+  WHERE regexp_matches(line, 'password|token')),
+found AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY upper(path), path) AS n, count(*) OVER (PARTITION BY source) AS total FROM files WHERE ends_with(lower(path), '.md')),
+folders AS (SELECT DISTINCT source, lang FROM documents),
+sources AS (SELECT DISTINCT source FROM documents)
+SELECT 'd' || doc_id AS call_id, 'read_range' AS tool, line_no - CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n, line AS text, 0 AS more, NULL AS error FROM lines
+WHERE doc_id % 5 = 0 AND line_no BETWEEN 2 AND 4 OR doc_id % 5 = 4 AND line_no = 1
+UNION ALL SELECT 'd' || doc_id, CASE doc_id % 5 WHEN 1 THEN 'read_file' WHEN 2 THEN 'rm' ELSE 'read_range' END, NULL, NULL, NULL,
+  CASE doc_id % 5 WHEN 1 THEN 'file_not_found' WHEN 2 THEN 'unknown_tool' ELSE 'invalid_range' END FROM documents WHERE doc_id % 5 IN (1, 2, 3)
+UNION ALL SELECT 'l' || source, 'list_directory', row_number() OVER (PARTITION BY source ORDER BY upper(lang), lang), lang || chr(9) || 'directory' || chr(9) || '0', 0, NULL FROM folders
+UNION ALL SELECT 'f' || source, 'find_files', n, path, greatest(total - 500, 0), NULL FROM found WHERE n <= 500
+UNION ALL SELECT 'g' || source, 'grep', n, path || ':' || line_no || ': ' || line || coalesce(chr(10) || '  ' || (line_no - 1) || '| ' || previous, '') || chr(10) || '> ' || line_no || '| ' || line
+  || coalesce(chr(10) || '  ' || (line_no + 1) || '| ' || next, ''), greatest(total - 100, 0), NULL FROM hits WHERE n <= 100
+UNION ALL SELECT 't' || source, 'file_tree', 1, source, 0, NULL FROM sources
+UNION ALL SELECT 't' || source, 'file_tree', 1 + row_number() OVER (PARTITION BY source ORDER BY upper(lang), lang), '  ' || lang || '/', 0, NULL FROM folders
+UNION ALL SELECT 'e' || source, 'list_directory', NULL, NULL, NULL, 'path_escape' FROM sources
+UNION ALL SELECT 'x' || source, 'file_tree', NULL, NULL, NULL, 'directory_not_found' FROM sources""",
     "directory_size": FILES + "SELECT coalesce(sum(length), 0)::BIGINT AS bytes FROM files",
     "tool_result_bytes": "WITH " + MESSAGES + "SELECT conv_id, msg_idx, strlen(result) AS bytes FROM msgs WHERE role = 'Tool'",
     "budget_used": PREPARED + "SELECT conv_id, tokens_after * 100.0::DOUBLE / 2000 AS used FROM labelled",

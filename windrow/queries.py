@@ -17,7 +17,7 @@ from windrow.plans.budget import Budget, Profile, WindowOptions
 from windrow.plans.points import prepare_points
 from windrow.plans.prepare import Prepared, prepare
 from windrow.schema import text_segment, tool_use
-from windrow.sources import automation, files, transcript
+from windrow.sources import automation, dispatch, files, transcript
 
 PROFILE = {name: Profile(name, Budget(most, soft, hard), WindowOptions(size, share)) for name, most, soft, hard, size, share in PROFILES}
 
@@ -312,23 +312,27 @@ def transcript_header(spark, sf_dir):
     return transcript.header(lines).withColumn("session", F.col("session").cast("long"))
 
 
+def document_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("path"), "text")
+
+
 def document_lines(spark, sf_dir):
-    return files.lines_of(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("path"), "text"))
+    return files.lines_of(document_texts(spark, sf_dir))
 
 
 @query
 def grep_context(spark, sf_dir):
-    return files.grep_all(document_lines(spark, sf_dir), "password|token")
+    return files.grep_all(document_texts(spark, sf_dir), "password|token")
 
 
 @query
 def grep_capped_with_total(spark, sf_dir):
-    return files.grep(document_lines(spark, sf_dir), "password|token", 20).select("n", "path", "line_no", "matches", "more")
+    return files.grep(document_texts(spark, sf_dir), "password|token", 20).select("n", "path", "line_no", "matches", "more")
 
 
 @query
 def grep_blocks(spark, sf_dir):
-    found = files.grep_all(document_lines(spark, sf_dir), "password|token")
+    found = files.grep_all(document_texts(spark, sf_dir), "password|token")
     return found.select(files.grep_block(*(F.col(c) for c in ("path", "line_no", "line", "previous", "next"))).alias("block"))
 
 
@@ -629,6 +633,28 @@ def binary_files(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.is_binary(content).alias("is_binary"))
 
 
+@query
+def tool_dispatch(spark, sf_dir):
+    """Calls of all tools, some of them wrong, answered over the documents as files: one for each document, six for each source."""
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/Doc-"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".MD").otherwise(".txt"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", path.alias("path"), F.octet_length("text").cast("long").alias("length"), "text")
+    kind = F.col("doc_id") % 5
+    json = lambda **fields: F.to_json(F.struct(*((v if not isinstance(v, (int, str)) else F.lit(v)).alias(k) for k, v in fields.items())))
+    reads = documents.select(
+        F.concat(F.lit("d"), "doc_id").alias("call_id"), F.when(kind == 1, "read_file").when(kind == 2, "rm").otherwise("read_range").alias("tool"),
+        F.when(kind == 0, json(path=F.col("path"), startLine=2, endLine=4)).when(kind == 1, json(Path=F.concat(F.lit("missing/"), "doc_id")))
+        .when(kind == 3, json(path=F.col("path"), startLine=3, endLine=1)).otherwise(json(path=F.concat(F.lit("./"), "path"), startLine=1, endLine=1)).alias("arguments"),
+    )
+    source = F.col("source")
+    kinds = [
+        ("l", "list_directory", json(path=source)), ("f", "find_files", json(glob="**/*.md", path=source)), ("g", "grep", json(pattern="password|token", pathGlob=F.concat(source, F.lit("/**")))),
+        ("t", "file_tree", json(path=source, maxDepth=1)), ("e", "list_directory", json(path=F.concat(F.lit("../"), source))), ("x", "file_tree", json(path=F.concat(F.lit("nowhere/"), source))),
+    ]
+    each = F.array(*(F.struct(F.concat(F.lit(mark), source).alias("call_id"), F.lit(tool).alias("tool"), arguments.alias("arguments")) for mark, tool, arguments in kinds))
+    folders = documents.select("source").distinct().select(F.inline(each))
+    return dispatch.dispatch(reads.unionByName(folders), documents)
+
+
 @query
 def guarded_paths(spark, sf_dir):
     shapes = F.array(*(F.concat(F.lit(a), "doc_id") for a in (".\\src\\", "a/../b/", "../up/", "/abs/")))

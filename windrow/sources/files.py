@@ -26,11 +26,15 @@ def is_binary(content: Column) -> Column:
     return F.position(F.lit(b"\x00"), F.substring(content, 1, 4096)) > 0
 
 
+def pieces(text: Column) -> Column:
+    """The lines of a text as an array; the empty piece after a final line feed is no line."""
+    parts = F.split(normalize_newlines(text), "\n")
+    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def lines_of(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, line_no and line; the empty piece after a final line feed is no line."""
-    parts = F.split(normalize_newlines(F.col(text)), "\n")
-    parts = F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return texts.select(F.col(path).alias("path"), F.posexplode(parts).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return texts.select(F.col(path).alias("path"), F.posexplode(pieces(F.col(text))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def read_file(lines: DataFrame, cap: int = 2000) -> DataFrame:
@@ -95,17 +99,20 @@ def find_files(files: DataFrame, glob: str, folder: str = "", cap: int = 500) ->
     return _first(found.select("path"), cap, F.upper("path"), F.col("path")).select("n", "path", F.greatest(F.col("all") - cap, F.lit(0)).alias("more"))
 
 
-def grep_all(lines: DataFrame, pattern: str) -> DataFrame:
-    """All matching lines with the lines before and after. The context is taken before the filter; files are independent."""
+def grep_all(texts: DataFrame, pattern: str, path: str = "path", text: str = "text") -> DataFrame:
+    """All matching lines with the lines before and after. Lines are matched inside the text's array, so only matches become rows and nothing is exchanged. Only a line feed ends a line, also for `.` and `$`."""
     re.compile(pattern)
-    order = Window.partitionBy("path").orderBy("line_no")
-    around = lines.withColumn("previous", F.lag("line").over(order)).withColumn("next", F.lead("line").over(order))
-    return around.filter(F.col("line").rlike(f"(?m){pattern}")).select("path", "line_no", "line", "previous", "next")
+    lines = texts.select(F.col(path).alias("path"), pieces(F.col(text)).alias("lines"))
+    found = F.filter(F.transform("lines", lambda line, i: F.when(line.rlike(f"(?d){pattern}"), i)), lambda i: i.isNotNull())
+    # lines stands beside the expression that reads it, so that it is made once for a text
+    hits = lines.withColumn("hits", found).withColumn("many", F.size("lines")).filter(F.size("hits") > 0).select("path", "lines", "many", F.explode("hits").alias("i"))
+    near = lambda i: F.get("lines", i)
+    return hits.select("path", (F.col("i") + 1).alias("line_no"), near(F.col("i")).alias("line"), F.when(F.col("i") > 0, near(F.col("i") - 1)).alias("previous"), near(F.col("i") + 1).alias("next"))
 
 
-def grep(lines: DataFrame, pattern: str, cap: int = 100) -> DataFrame:
+def grep(texts: DataFrame, pattern: str, cap: int = 100) -> DataFrame:
     """The first `cap` matches in order of path and line, how many there are and how many more than the cap."""
-    first = _first(grep_all(lines, pattern), cap, F.upper("path"), F.col("path"), F.col("line_no"))
+    first = _first(grep_all(texts, pattern), cap, F.upper("path"), F.col("path"), F.col("line_no"))
     return first.select("n", "path", "line_no", "line", "previous", "next", F.col("all").alias("matches"), F.greatest(F.col("all") - cap, F.lit(0)).alias("more"))
 
 
