@@ -266,6 +266,24 @@ SELECT session, min(exchange) AS wrap_up_at, min(used)::BIGINT AS turns_used FRO
     "request_errors": """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'malformed_json' WHEN 1 THEN 'invalid_request' WHEN 2 THEN 'invalid_request' WHEN 3 THEN 'invalid_request' END AS error_code,
   CASE WHEN doc_id % 5 IN (2, 4) THEN 'r' || doc_id END AS request_id, CASE WHEN doc_id % 5 = 4 THEN 'submit' END AS command FROM documents""",
+    "session_requests": """
+WITH lines AS (
+  SELECT *, 'host' || (conv_id % 4) AS channel, conv_id * 1000 + turn AS seq, turn * 60 + CASE WHEN conv_id % 5 = 4 AND turn > 3 THEN 7200 ELSE 0 END AS seconds,
+    CASE WHEN turn = 0 THEN 'open_session' WHEN role = 'user' THEN 'submit' WHEN turn % 6 = 5 THEN 'close_session' WHEN conv_id % 3 = 0 THEN 'noop' ELSE 'ping' END AS command
+  FROM conversations),
+gaps AS (
+  SELECT *, 'session_' || md5(channel || ':' || (conv_id * 1000)) AS session_id, seconds - lag(seconds) OVER (PARTITION BY conv_id ORDER BY turn) > 3600 AS late,
+    command = 'close_session' OR command = 'submit' AND turn % 7 = 4 AS ends
+  FROM lines WHERE command IN ('open_session', 'submit', 'close_session')),
+held AS (
+  SELECT *, NOT coalesce(bool_or(ends) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+    AND NOT coalesce(bool_or(late) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), false) AS held FROM gaps)
+SELECT channel, seq, 'r' || conv_id || '-' || turn AS request_id, command, session_id,
+  CASE WHEN NOT held AND turn > 0 THEN NULL WHEN turn = 0 THEN 'opened' WHEN command = 'close_session' THEN 'closed' WHEN turn % 7 = 4 THEN 'degraded' ELSE 'reply_received' END AS status,
+  CASE WHEN held AND command = 'submit' THEN count(*) FILTER (held AND command = 'submit') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) END AS exchange,
+  CASE WHEN NOT held AND turn > 0 THEN 'session_not_found' END AS error_code, CASE WHEN NOT held AND turn > 0 THEN 'Session ' || chr(39) || session_id || chr(39) || ' is not open.' END AS error_message FROM held
+UNION ALL SELECT channel, seq, 'r' || conv_id || '-' || turn, command, NULL, CASE command WHEN 'ping' THEN 'ok' END, NULL,
+  CASE command WHEN 'noop' THEN 'unknown_command' END, CASE command WHEN 'noop' THEN 'Command ' || chr(39) || 'noop' || chr(39) || ' is not supported.' END FROM lines WHERE command IN ('ping', 'noop')""",
     "request_correlation": """
 SELECT 'r' || doc_id AS request_id, CASE WHEN doc_id % 3 = 0 THEN 'unanswered' WHEN doc_id % 3 = 1 THEN 'matched' ELSE 'unexpected' END AS status FROM documents""",
     "task_duplicate_ids": "SELECT upper(source) AS task, count(*) AS n FROM documents GROUP BY upper(source) HAVING count(*) > 1",

@@ -18,6 +18,7 @@ from windrow.plans.points import prepare_points
 from windrow.plans.prepare import Prepared, prepare
 from windrow.schema import text_segment, tool_use
 from windrow.sources import automation, dispatch, files, transcript
+from windrow.streaming import requests
 
 PROFILE = {name: Profile(name, Budget(most, soft, hard), WindowOptions(size, share)) for name, most, soft, hard, size, share in PROFILES}
 
@@ -439,6 +440,24 @@ def request_errors(spark, sf_dir):
     return automation.parse_requests(requests).select("doc_id", "error_code", "request_id", "command")
 
 
+def request_lines(spark, sf_dir):
+    """Each conversation as a session: its first turn opens it, user turns are submits, some of which end it; some sessions close, some idle for hours."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    channel = F.concat(F.lit("host"), conv % 4)
+    session = requests.session_name(channel, conv * 1000)
+    command = F.when(turn == 0, "open_session").when(F.col("role") == "user", "submit").when(turn % 6 == 5, "close_session").when(conv % 3 == 0, "noop").otherwise("ping")
+    payload = F.struct(F.when(turn == 0, "https://github.com/a/b").alias("repositoryUrl"), F.when(turn > 0, session).alias("sessionId"), F.when(F.col("role") == "user", F.col("text")).alias("message"))
+    line = F.to_json(F.struct(F.concat(F.lit("r"), conv, F.lit("-"), turn).alias("requestId"), command.alias("command"), payload.alias("payload")))
+    seconds = conv * 100_000 + turn * 60 + F.when((conv % 5 == 4) & (turn > 3), 7200).otherwise(0)
+    return table(spark, sf_dir, "conversations").select(
+        channel.alias("channel"), (conv * 1000 + turn).alias("seq"), F.timestamp_seconds(seconds).alias("ts"), F.when(turn % 7 == 4, "degraded").alias("exchange_kind"), line.alias("line"))
+
+
+@query
+def session_requests(spark, sf_dir):
+    return requests.answer_requests(request_lines(spark, sf_dir)).drop("ts")
+
+
 @query
 def request_correlation(spark, sf_dir):
     ids = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("r"), "doc_id").alias("request_id"))
