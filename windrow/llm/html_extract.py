@@ -9,7 +9,10 @@ are joined by smoothness edges, stronger the closer they stand in the tree. The
 source and sink is the cheapest labelling: short lines of an article stay with it, the text of a footer
 without a name does not.
 
-What menus, forms, asides and the like hold (by element, role or class) is boilerplate in any case.
+What menus, forms, asides and the like hold (by element, role or class) is boilerplate, unless the name is at odds
+with the page: an element that holds most of the page's unlinked words and its article or first heading, or a form or
+doubtful name with nothing to speak of outside, is a wrapper and its name counts for nothing. Names that may well
+stand on a part of an article (`search`, `alert`) are a cost like others, which long running text outweighs.
 
 Before the maximum flow is computed, nodes whose own costs outweigh all their edges are fixed, which
 leaves the minimum as it is. Pages are handled one by one within Arrow batches; nothing is shuffled.
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +57,10 @@ PLAIN_WORDS = ARTICLE_WORDS | set(
     "header icon icons inner item items large left link links list message meta mobile module outer page panel policy posts primary right row secondary "
     "section settings site slot small sticky stories text thread title top tree unit wrap wrapper".split()
 )
+#: Of these, words that may well name a part of an article, and those that may do so on a single paragraph.
+DOUBTFUL_WORDS = set("alert disclaimer login recommended related respond search widget".split())
+DOUBTFUL_PIECES = DOUBTFUL_WORDS | {"comment", "reply"}
+COMMENT_WORDS = set("comment comments commentlist disqus reply replies respond".split())
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "menu", "article", "section", "div", "nav", "body"}
@@ -73,7 +80,9 @@ AFTERWORD = re.compile(
     re.I,
 )
 
-TAG = re.compile(r"<(?:!--(?s:.*?)(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)")
+NAME_OF_TAG = re.compile(r"/?[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile(r"[>\"']")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$|["'])""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 END = {tag: re.compile(rf"</{tag}\s*/?>", re.I) for tag in UNSHOWN}
@@ -86,53 +95,78 @@ def _is_aside(name: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "aside", "article", "linked", "number", "depth", "parent")
+    """root: the innermost element around this one (or itself) that is named as an aside, None if there is none.
+
+    aside: all in it is boilerplate, as it is hidden or within an aside of a plain name that is no wrapper; known once the page is read.
+    outer: the root of the element around a root. kind of a root: 2 for a plain name, 1 for a doubtful one. block, holder and part: the innermost block element, the
+    element that holds its text as a part of the page, and that outside of lists, quotations and tables.
+    """
+
+    __slots__ = ("tag", "root", "outer", "kind", "comment", "hidden", "article", "own_article", "linked", "number", "last", "parent", "block", "holder", "part", "words", "titled", "lifted", "aside")
 
     def __init__(self, tag: str, parent: _Element | None, number: int, attributes: str = ""):
-        self.tag, self.parent, self.number = tag, parent, number
-        self.depth = parent.depth + 1 if parent else 0
-        self.aside, self.article, self.linked = (parent.aside, parent.article, parent.linked) if parent else (False, False, False)
+        self.tag, self.parent, self.number, self.last = tag, parent, number, number
+        self.root, self.article, self.linked, self.hidden = (parent.root, parent.article, parent.linked, parent.hidden) if parent else (None, False, False, False)
+        self.outer, self.kind, self.comment, self.own_article, self.words, self.titled, self.lifted, self.aside = self.root, 0, False, False, 0, False, False, False
         if tag == "a":
             self.linked = True
         elif tag in ("article", "main"):
-            self.article = True
+            self.article = self.own_article = True
         elif tag in ASIDE_TAGS or tag == "header" and not self.article:
-            self.aside = True
+            self.kind = 2
         if attributes.strip(" /"):
             self._attributes(attributes)
+        if self.kind:
+            self.root = self
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.holder = self if tag not in PIECE or parent is None else parent.holder
+        self.part = self if tag not in FLOW or parent is None else parent.part
 
     def _attributes(self, attributes: str) -> None:
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                self.aside = True
+                self.hidden = True
             elif name == "role":
-                self.aside = self.aside or value.lower() in ASIDE_ROLES
-                self.article = self.article or value.lower() in ("main", "article")
+                if value.lower() in ASIDE_ROLES:
+                    self.kind = max(self.kind, 1 if value.lower() in DOUBTFUL_WORDS else 2)
+                if value.lower() in ("main", "article"):
+                    self.article = self.own_article = True
             elif name == "itemprop":
-                self.article = self.article or value.lower() == "articlebody"
+                if value.lower() == "articlebody":
+                    self.article = self.own_article = True
             elif name in ("class", "id") and self.tag not in ("html", "body", "main"):
                 for part in value.split():
                     words = {w.lower() for w in NAME.findall(part)}
-                    if _is_aside(part) or "header" in words and not self.article and words <= PLAIN_WORDS and not words & ARTICLE_WORDS:
-                        self.aside = True
+                    if _is_aside(part):
+                        found = words & ASIDE_WORDS
+                        self.kind = max(self.kind, 1 if found <= (DOUBTFUL_PIECES if self.tag in PIECE else DOUBTFUL_WORDS) else 2)
+                        self.comment = self.comment or bool(found & COMMENT_WORDS)
+                    elif "header" in words and not self.article and words <= PLAIN_WORDS and not words & ARTICLE_WORDS:
+                        self.kind = 2
                     elif words & ARTICLE_WORDS and words <= PLAIN_WORDS:
-                        self.article = True
+                        self.article = self.own_article = True
+
+    @property
+    def doubtful(self) -> bool:
+        return self.root is not None and self.root.kind == 1 and not self.root.lifted
 
 
 class _Block:
-    __slots__ = ("text", "linked", "element", "level")
+    __slots__ = ("text", "linked", "element", "level", "words")
 
     def __init__(self, text: str, linked: int, element: _Element):
         self.text, self.linked, self.element = text, linked, element
+        self.words = 0 if linked * 2 > len(text) else text.count(" ") + 1  # unlinked ones
         self.level = int(element.tag[1]) if len(element.tag) == 2 and element.tag[0] == "h" and element.tag[1].isdigit() else 0
 
 
 def read_blocks(page: str) -> list[_Block]:
     """The non-empty text blocks of a page in order, without markup, scripts and other text that is never shown."""
     blocks: list[_Block] = []
-    number = 0
     stack = [_Element("", None, 0)]
+    elements = [stack[0]]
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -141,103 +175,163 @@ def read_blocks(page: str) -> list[_Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                at = stack[-1]
-                while at.parent is not None and at.tag not in BLOCK:
-                    at = at.parent
-                blocks.append(_Block(text, min(linked, len(text)), at))
+                blocks.append(_Block(text, min(linked, len(text)), stack[-1].block))
             parts.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        for e in stack[depth:]:
+            open_[e.tag] -= 1
+        del stack[depth:]
+
     def say(raw: str) -> None:
         nonlocal linked
         if stack[-1].tag == "head":
             if not raw.strip():
                 return
-            stack.pop()
+            close(len(stack) - 1)
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if stack[-1].linked:
             linked += len(text)
 
     at, end = 0, len(page)
-    while at < end:
-        found = TAG.search(page, at)
-        if found is None:
-            say(page[at:])
+    last = {c: page.rfind(c) for c in ">\"'"}
+    dead: set[int] = set()  # quotes after which, read from outside of quotes, no tag ends
+
+    def tag_end(start: int) -> int:
+        """The end of a tag whose name ends at `start`, -1 if it has none; a `>` in quotes does not end it, unless none outside of quotes does."""
+        seen, pos = [], start
+        while pos <= last[">"]:
+            pos = SPECIAL.search(page, pos).start()
+            if page[pos] == ">":
+                return pos + 1
+            if pos in dead or pos >= last[page[pos]]:
+                seen.append(pos)
+                break
+            seen.append(pos)
+            pos = page.find(page[pos], pos + 1) + 1
+        dead.update(seen)
+        return page.find(">", start) + 1 if start <= last[">"] else -1
+
+    text_from = 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last[">"]:
+            say(page[text_from:]) if text_from < end else None
             break
-        if found.start() > at:
-            say(page[at : found.start()])
-        at = found.end()
-        closing, tag, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
+        if page.startswith("<!--", at):
+            over = COMMENT_END.search(page, at + 4)
+            after, tag = over.end() if over else end, ""
+        elif page[at + 1] in "!?":
+            after, tag = page.find(">", at) + 1, ""
+        elif (name := NAME_OF_TAG.match(page, at + 1)) and (after := tag_end(name.end())) > 0:
+            tag = name.group()
+        else:
+            at += 1
+            continue
+        if at > text_from:
+            say(page[text_from:at])
+        at = text_from = after
         if not tag:
             continue
+        attributes = page[name.end() : after - 1]
+        closing, tag = tag[0] == "/", tag.lstrip("/")
         tag = tag.lower()
         if closing:
             if tag in BLOCK:
                 flush()
             elif tag in SPACE:
                 parts.append(" ")
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    close(depth)
                     break
             continue
         if tag in UNSHOWN:
             # only foreign elements can close themselves, and not by the slash of an unquoted value
             if tag != "svg" or not re.search(r"(?:^|[\s\"'])/\s*$", attributes):
-                close = END[tag].search(page, at)
-                at = close.end() if close else end
+                found = END[tag].search(page, at)
+                at = text_from = found.end() if found else end
             continue
         if tag in SPACE:
             parts.append(" ")
         if tag in BLOCK:
             flush()
             if stack[-1].tag == "head":
-                stack.pop()
-            for depth in range(len(stack) - 1, 0, -1):
+                close(len(stack) - 1)
+            for depth in range(len(stack) - 1, 0, -1) if open_["p"] else ():
                 if stack[depth].tag == "p":
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in SCOPES:
                     break
         if tag in CLOSED_BY:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(open_[t] for t in CLOSED_BY[tag]) else ():
                 if stack[depth].tag in CLOSED_BY[tag]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in SCOPES:
                     break
         if tag == "a":
-            for depth in range(len(stack) - 1, 0, -1):  # links do not nest
+            for depth in range(len(stack) - 1, 0, -1) if open_["a"] else ():  # links do not nest
                 if stack[depth].tag == "a":
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in BLOCK:
                     break
         if tag not in VOID:
-            number += 1
-            stack.append(_Element(tag, stack[-1], number, attributes))
+            stack.append(_Element(tag, stack[-1], len(elements), attributes))
+            elements.append(stack[-1])
+            open_[tag] += 1
     flush()
+    _find_wrappers(elements, blocks)
     return blocks
 
 
+def _find_wrappers(elements: list[_Element], blocks: list[_Block]) -> None:
+    """Mark the asides that are wrappers, and give each element its last descendant's number."""
+    total = outside = 0
+    for b in blocks:
+        if not b.element.hidden:
+            total += b.words
+            if b.element.root is not None:
+                b.element.root.words += b.words
+            else:
+                outside += b.words
+    for e in reversed(elements):  # inner ones first
+        if e.parent is not None:
+            e.parent.last = max(e.parent.last, e.last)
+            e.parent.titled |= e.titled or e.tag == "h1" or e.own_article
+        if e.kind and e.outer is not None:
+            e.outer.words += e.words
+    for e in elements:
+        if e.kind and not e.hidden and 2 * e.words > total:
+            alone = outside < 8 if e.comment else 10 * outside < e.words
+            e.lifted = (e.titled or e.own_article) and (alone or not e.comment) or alone and e.words >= 25 and (e.kind == 1 or e.tag in ("form", "dialog"))
+            if e.lifted and e.outer is not None and not e.outer.lifted:
+                e.lifted = False
+            if e.lifted:
+                # what a wrapper holds belongs to what is around it
+                e.kind = 0
+    for e in elements:
+        if e.parent is not None and e.root is not None and e.root.kind == 0:
+            e.root = e.parent.root
+        e.aside = e.hidden or e.kind == 2 or e.parent is not None and e.parent.aside
+
+
 #: What an aside's or a hidden block's content would cost, and an article element that is none: more than all other costs of a page together.
 NEVER = 10**9
 #: Smoothness: between a block and the element that holds it, within an article and elsewhere; between an element and the
 #: one around it; between neighbouring blocks of one element and of different ones. Costs are hundredths. Elements within
 #: an article belong to it, whatever they hold; a block may still cost too much.
 IN_ARTICLE, IN_ELEMENT, OF_ELEMENTS, NEIGHBOURS, ACROSS = 400, 80, 30, 80, 20
+#: What a doubtful name costs a block of an element so named, and a single paragraph of that name, which is tied to the article itself.
+DOUBTFUL, DOUBTFUL_PIECE = 250, 700
 #: Lists, quotations and tables are tied more closely to what surrounds them than parts of the page are.
 OF_FLOW = 120
 
 
-def _holder(element: _Element) -> _Element:
-    """The element that holds a block as a part of the page."""
-    while element.parent is not None and element.tag in PIECE:
-        element = element.parent
-    return element
-
-
 def text_costs(blocks: list[_Block]) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
     """Cost of calling each block content, cost of calling it boilerplate, by its text and what stands around it; and the same costs of the page's parts by number.
 
@@ -246,18 +340,18 @@ def text_costs(blocks: list[_Block]) -> tuple[list[tuple[int, int]], dict[int, t
     are few is measured against the page's longest block, so that a page of short lines is not boilerplate
     as a whole.
     """
-    words = [0 if b.linked * 2 > len(b.text) else b.text.count(" ") + 1 for b in blocks]
+    words = [b.words for b in blocks]
     longest = max((n for b, n in zip(blocks, words) if not b.element.aside), default=0)
     base = min(100, 4 * longest)
     held: dict[int, int] = {}  # unlinked words
     out: list[tuple[int, int]] = []
     after: tuple[_Element, int] | None = None  # the holder and level of the heading of an afterword
     for b, n in zip(blocks, words):
-        holder = _holder(b.element)
+        holder = b.element.holder
         if after is not None and (b.level and b.level <= (after[1] or 6) or not _within(holder, after[0])):
             after = None
         short = b.text.count(" ") < 8
-        if short and (b.level or b.element.tag == "p" or holder is b.element) and AFTERWORD.fullmatch(b.text):
+        if short and b.level != 1 and (b.level or b.element.tag == "p" or holder is b.element) and AFTERWORD.fullmatch(b.text):
             after = holder, b.level
         favour = min(300, 12 * n)
         if b.level:
@@ -267,28 +361,26 @@ def text_costs(blocks: list[_Block]) -> tuple[list[tuple[int, int]], dict[int, t
         against = min(base, favour + 5)
         if b.linked * 2 > len(b.text):
             against += 350 * b.linked // len(b.text)
-        if NOTICE.search(b.text):
-            against += 700 if n <= 25 else 300
+        phrases = 0 if b.level == 1 else sum(len(m.group().split()) for m in NOTICE.finditer(b.text))
+        if phrases:
+            # the whole of a short notice speaks of it; a sentence that mentions one says more
+            against += min(700, 700 * phrases * 5 // (2 * max(n, 1))) if n <= 25 else min(300, 6000 * phrases // n)
         elif TERMS.search(b.text):
             against += 300
         if after is not None:
             against += 1200
+        if b.element.doubtful:
+            against += DOUBTFUL_PIECE if holder is not b.element.root and not holder.doubtful else DOUBTFUL
         out.append((NEVER if b.element.aside else against, favour))
-        part = holder
-        while part.parent is not None and part.tag in FLOW:
-            part = part.parent
+        part = holder.part
         if not part.article:
             held[part.number] = held.get(part.number, 0) + n + 8 * (b.level > 0)
     whole = {0} | {b.element.number for b in blocks if b.element.tag in ("html", "body")}
     return out, {number: (0, 120) if n >= 25 else (0 if number in whole else base * 60 // 100, 0) for number, n in held.items() if n >= 25 or n < 8}
 
 
-def _within(element: _Element | None, outer: _Element) -> bool:
-    while element is not None and element.depth >= outer.depth:
-        if element is outer:
-            return True
-        element = element.parent
-    return False
+def _within(element: _Element, outer: _Element) -> bool:
+    return outer.number <= element.number <= outer.last
 
 
 def page_graph(blocks: list[_Block]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
@@ -308,15 +400,15 @@ def page_graph(blocks: list[_Block]) -> tuple[list[tuple[int, int]], list[tuple[
             at = at.parent
         for e in new:
             if e.parent is not None:
-                edges.append((node[e.number], node[e.parent.number], NEVER if e.parent.article else OF_FLOW if e.tag in FLOW else OF_ELEMENTS))
+                edges.append((node[e.number], node[e.parent.number], NEVER if e.parent.article and not e.doubtful else OF_FLOW if e.tag in FLOW else OF_ELEMENTS))
         return node[element.number]
 
     last: tuple[int, int] | None = None
     for i, b in enumerate(blocks):
         if b.element.aside:
             continue
-        holder = _holder(b.element)
-        edges.append((i, number_of(holder), IN_ARTICLE if holder.article else IN_ELEMENT))
+        holder = b.element.holder
+        edges.append((i, number_of(holder), IN_ARTICLE if holder.article and not holder.doubtful else IN_ELEMENT))
         if last is not None:
             edges.append((last[0], i, NEIGHBOURS if last[1] == holder.number else ACROSS))
         last = i, holder.number
