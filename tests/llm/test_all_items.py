@@ -1,5 +1,9 @@
 """Benchmark items without an id and items of fewer than 8 characters are searched for too."""
 
+import time
+
+import numpy as np
+
 from windrow.llm import decontaminate
 
 from test_operators import documents  # isort: skip
@@ -23,3 +27,23 @@ def test_null_ids_and_short_items(spark):
         assert len(found) == len(set(found)) and set(found) == want
         clean = decontaminate.drop_contaminated(documents(spark, docs), frame, block_chars=chars)
         assert sorted(r["doc_id"] for r in clean.collect()) == [2, 5, 9, 10]
+
+
+def test_repeated_lines_are_aligned_once():
+    """Thirty items that nearly equal a line, and that line many times: the same places as one by one, in seconds."""
+    line = "the quick brown fox jumps over"
+    items = [(i, f"{line} {c}") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz1234")]
+    index = decontaminate.Index(items, 10)
+    few = index.search(" ".join([line + "."] * 50))
+    assert len(few) == 30
+    began = time.process_time()
+    many = index.search(" ".join([line + "."] * 20_000))
+    assert [(i, d) for i, _, _, d in many] == [(i, d) for i, _, _, d in few] and time.process_time() - began < 20
+    assert len(index.search(" ".join([line + "."] * 50), True)) == 1
+
+
+def test_bands_aligned_together_equal_single_ones():
+    r = np.random.default_rng(2)
+    pattern, text = r.integers(0, 3, 20).astype(np.uint32), r.integers(0, 3, 300).astype(np.uint32)
+    diagonals = np.arange(-25, 300, 3)
+    assert decontaminate.align_many(pattern, text, diagonals, 6) == [decontaminate.align(pattern, text, int(d), 6) for d in diagonals]

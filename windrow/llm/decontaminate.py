@@ -5,7 +5,8 @@ its q-grams with that place (of those of 8 characters at every fourth position,
 and the shared ones lie within k + 1 neighbouring diagonals (position in the text less position in the
 item). So the shared q-grams are counted in bands of diagonals that
 overlap by half, each as wide as 2 (k + 1); only bands that reach the bound are aligned, and the item
-counts as found where the alignment within the band needs at most k edits.
+counts as found where the alignment within the band needs at most k edits. Bands over equal stretches of text,
+as a repeated line makes them, are aligned once, and all others of an item together, one character of the item at a time.
 
 Case is folded and white space counts as one space. The q-gram index of the items goes to the
 executors in blocks of at most `block_chars` characters; more items than that are searched for in as
@@ -28,6 +29,8 @@ from windrow.llm.shared import slices
 
 Q, STRIDE, SECOND_Q = 8, 4, 4
 BITS = 22
+#: Characters of text aligned at once.
+CELLS = 1 << 18
 #: Added to diagonals, which may be negative, before they are divided into bands.
 SHIFT = 1 << 40
 
@@ -155,22 +158,44 @@ class Index:
         here = np.bincount(at[value[at] == grams], minlength=len(value))
         return np.minimum(here, count).sum() >= count.sum() - self.edits[item] * SECOND_Q
 
-    def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
-        """(item id, start, end, edits) of the best place of each item found in a normalized text."""
+    def search(self, text: str, any_one: bool = False) -> list[tuple[int | None, int, int, int]]:
+        """(item id, start, end, edits) of the best place of each item found in a normalized text; with any_one it ends with the first item found."""
         best: dict[int, tuple[int, int, int]] = {}
         codes, points = _codes(text), None
-        for item, diagonal in (c for grams in self.grams for c in grams.candidates(codes)):
-            k, pattern = int(self.edits[item]), self.texts[item]
-            start = text.find(pattern, max(0, diagonal), max(0, diagonal + 2 * (k + 1) + len(pattern)))
+        bands: dict[int, list[int]] = {}
+        for grams in self.grams:
+            for item, diagonal in grams.candidates(codes):
+                bands.setdefault(item, []).append(diagonal)
+        rest = []
+        for item in bands:
+            start = text.find(self.texts[item])  # without edits, and the first such place: there is no better one
             if start >= 0:
-                place = (0, start, start + len(pattern))
-            elif k and self._likely(item, codes[max(0, diagonal) : max(0, diagonal + 2 * (k + 1) + len(pattern))]):
-                points = points if points is not None else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                place = align(np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), points, diagonal, 2 * (k + 1))
-            else:
+                best[item] = (0, start, start + len(self.texts[item]))
+                if any_one:
+                    break
+            elif self.edits[item]:
+                rest.append(item)
+        for item in rest if not (any_one and best) else ():
+            k, pattern = int(self.edits[item]), self.texts[item]
+            width = 2 * (k + 1)
+            size = width + len(pattern)
+            distinct: dict[tuple[str, int], int] = {}  # stretches of text and the first diagonal of each
+            for diagonal in sorted(bands[item]):
+                distinct.setdefault((text[max(0, diagonal) : max(0, diagonal + size)], min(diagonal, 0)), diagonal)
+            likely = [d for d in distinct.values() if self._likely(item, codes[max(0, d) : max(0, d + size)])]
+            if not likely:
                 continue
-            if place[0] <= k and (item not in best or place < best[item]):
-                best[item] = place
+            points = points if points is not None else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            own = np.frombuffer(pattern.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            at_once = max(1, CELLS // size)
+            for low in range(0, len(likely), at_once):
+                place = min(align_many(own, points, np.array(likely[low : low + at_once], dtype=np.int64), width))
+                if place[0] <= k and (item not in best or place < best[item]):
+                    best[item] = place
+                    if any_one:
+                        break
+            if any_one and best:
+                break
         return sorted(((self.ids[i], s, e, d) for i, (d, s, e) in best.items()), key=_by_id)
 
 
@@ -183,7 +208,7 @@ class ShortIndex:
             self.ids.setdefault(text, []).append(item)
         self.sizes = sorted({len(text) for text in self.ids})
 
-    def search(self, text: str) -> list[tuple[int | None, int, int, int]]:
+    def search(self, text: str, any_one: bool = False) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, end, 0) of the first place of each item that has no letter, digit or underscore of the text beside it."""
         free = np.array([True, *(not (c == "_" or c.isalnum()) for c in text), True])  # free[p]: before p; free[p + 1]: at p
         begins, best = np.flatnonzero(free[:-1]), {}
@@ -197,29 +222,36 @@ class ShortIndex:
 
 
 def align(pattern: np.ndarray, text: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
-    """Fewest edits of the pattern against any place of the text whose path stays within the band; that place.
+    """align_many of one band."""
+    return align_many(pattern, text, np.array([diagonal], dtype=np.int64), width)[0]
+
+
+def align_many(pattern: np.ndarray, text: np.ndarray, diagonals: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """For each band: the fewest edits of the pattern against any place of the text whose path stays within the band; that place.
 
     Column c of a row stands for the diagonal `diagonal` + c. Edits and the start of the path are held in
     one number, so that the smallest is also the first.
     """
     far, unit = np.int64(1) << 60, np.int64(1) << 40
     column = np.arange(width, dtype=np.int64)
-    place = diagonal + column
+    place = diagonals[:, None] + column
     row = np.where((place >= 0) & (place <= len(text)), place, far)  # no edits yet, start here
     steps = column * unit
+    reach = diagonals[:, None] + np.arange(width + len(pattern))
+    held = (reach >= 0) & (reach < len(text))
+    near = np.full(reach.shape, -1, dtype=np.int64)
+    near[held] = text[reach[held]]
+    beyond = np.full((len(diagonals), 1), far)
     for i, c in enumerate(pattern):
-        at = place + i
-        inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, dtype=bool)
-        same[inside] = text[at[inside]] == c
-        across = np.where(inside, row + np.where(same, 0, unit), far)
-        skip = np.append(row[1:], far) + unit  # the pattern's character is missing in the text
+        across = np.where(held[:, i : i + width], row + np.where(near[:, i : i + width] == c, 0, unit), far)
+        skip = np.concatenate([row[:, 1:], beyond], axis=1) + unit  # the pattern's character is missing in the text
         row = np.minimum(across, skip)
-        row = np.minimum(np.minimum.accumulate(row - steps) + steps, far)  # further characters in the text
-        row[(at + 1 < 0) | (at + 1 > len(text))] = far
-    best = int(row.argmin())
-    edits, start = divmod(int(row[best]), int(unit))
-    return edits, start, diagonal + best + len(pattern)
+        row = np.minimum(np.minimum.accumulate(row - steps, axis=1) + steps, far)  # further characters in the text
+        at = place + i + 1
+        row[(at < 0) | (at > len(text))] = far
+    best = row.argmin(1)
+    edits, start = np.divmod(row[np.arange(len(row)), best], unit)
+    return list(zip(edits.tolist(), start.tolist(), (diagonals + best + len(pattern)).tolist()))
 
 
 def index_blocks(items: DataFrame, percent: int, block_chars: int) -> Iterator[Index | ShortIndex]:
@@ -280,7 +312,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 10, bloc
         def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
-                    clean = [not shared.value.search(normalized(text.as_py())) for text in part.column("text")]
+                    clean = [not shared.value.search(normalized(text.as_py()), True) for text in part.column("text")]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(apply, docs.schema)
