@@ -242,3 +242,27 @@ def test_empty_log(spark):
     done = prepare(log(spark, []), [Profile("p", Budget(10))])
     assert done.results.count() == 0 and done.messages().count() == 0 and done.events().count() == 0
     assert prepare_points(log(spark, []), [Profile("p", Budget(10))]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_emergency_replay_equals_the_sequential_form(spark, seed):
+    r = random.Random(seed)
+    profile = Profile("p", Budget(400, 0.4, r.choice([0.5, 0.7, None]), r.choice([0, 0.1])), WindowOptions(r.choice([1, 3]), r.choice([0.1, 0.3])))
+    rows, want = [], {}
+    for conv in range(40):
+        talk = anchor.Conversation(profile)
+        for i in range(r.randint(1, 40)):
+            role = r.choice(["User", "Model", "Model", "Tool", "Tool"]) if i or conv % 2 else "User"
+            tokens, masked, pinned = r.randint(0, 60), None, r.random() < 0.06
+            if role == "Tool":
+                masked = r.choice([None, 3, tokens + 5])
+            seen = r.choice([None, r.randint(20, 500)]) if role == "Model" else None
+            if role == "Model":
+                p = talk.prepare()
+                want[conv, i] = (p["before"], p["after"], p["corr"], p["masked"], p["dropped"], p["outcome"])
+            talk.append(role, tokens, masked, pinned, seen)
+            rows.append((conv, i, role, pinned, tokens, masked, seen))
+    frame = spark.createDataFrame(rows, "conv_id long, msg_idx int, role string, is_pinned boolean, tokens long, masked_tokens long, provider long").repartition(5)
+    got = {(x.conv_id, x.seq): tuple(x)[2:] for x in anchor.replay_with_emergency(frame, profile).collect()}
+    assert got == want
+    assert seed != 0 or {x[-1] for x in want.values()} >= {"Ready", "Compacted"} and any(x[4] for x in want.values())

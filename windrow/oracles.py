@@ -223,6 +223,33 @@ fold AS (
     CASE WHEN p.raw + k.corr < 1000 THEN p.raw + k.corr ELSE p.raw_final END, CASE WHEN p.raw + k.corr < 1000 THEN k.corr ELSE 0 END, p.provider
   FROM points p JOIN (SELECT c, n, CASE WHEN provider IS NULL THEN kept ELSE provider - last END AS corr FROM fold) k ON p.c = k.c AND p.n = k.n + 1)
 SELECT c AS conv_id, seq, total, final, corr, ready FROM fold""",
+    "anchor_replay_emergency": prefixed(["p2"], "RECURSIVE").replace(" OR is_ready OR failed", "") + """,
+points AS (
+  SELECT conv_id AS point, conv_id // 1000000 AS c, conv_id % 1000000 AS seq, row_number() OVER (PARTITION BY conv_id // 1000000 ORDER BY conv_id) AS n, any_value(total)::BIGINT AS raw,
+    any_value(prepared)::BIGINT AS prepared, any_value(failed) AS failed, count(*) FILTER (is_masked) AS masked, any_value(trigger) AS trigger, any_value(emergency) AS emergency,
+    any_value(max_tokens + tolerance) AS most, CASE WHEN (conv_id // 1000000) % 3 > 0 THEN 700 + (conv_id // 1000000) % 41 END AS provider
+  FROM p7 GROUP BY conv_id),
+runs AS (
+  SELECT conv_id AS point, turn_group, sum(sum(cost)) OVER w AS upto, sum(sum(cost)) OVER w - sum(cost) AS earlier, sum(count(*)) OVER w AS n_dropped
+  FROM p7 WHERE turn_group IS NOT NULL GROUP BY conv_id, turn_group WINDOW w AS (PARTITION BY conv_id ORDER BY turn_group ROWS UNBOUNDED PRECEDING)),
+-- what an excess over the limit drops: the groups with less than that before them
+steps AS (
+  SELECT point, earlier::BIGINT AS lo, coalesce(lead(earlier) OVER (PARTITION BY point ORDER BY turn_group), 1000000000)::BIGINT AS hi, upto::BIGINT AS cost, n_dropped::BIGINT AS dropped FROM runs
+  UNION ALL SELECT point, -1000000000, 0, 0, 0 FROM points
+  UNION ALL SELECT point, 0, 1000000000, 0, 0 FROM points WHERE point NOT IN (SELECT point FROM runs)),
+fold AS (
+  SELECT c, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS total, 0::BIGINT AS final, 0::BIGINT AS corr, 0::BIGINT AS masked, 0::BIGINT AS dropped, '' AS outcome, 0::BIGINT AS last, 0::BIGINT AS next_corr
+  FROM (SELECT DISTINCT c FROM points)
+  UNION ALL
+  SELECT c, n, seq, total, CASE WHEN failed OR ready THEN total ELSE raw_final + corr END, corr, CASE WHEN failed OR ready THEN 0 ELSE masked END, CASE WHEN failed OR ready THEN 0 ELSE dropped END,
+    CASE WHEN failed THEN NULL WHEN ready THEN 'Ready' WHEN raw_final + corr <= most THEN CASE WHEN masked + dropped > 0 THEN 'Compacted' ELSE 'Ready' END
+      WHEN masked + dropped > 0 THEN 'Degraded' ELSE 'ContextExhausted' END,
+    CASE WHEN failed THEN last WHEN ready THEN total ELSE raw_final END,
+    coalesce(provider - CASE WHEN failed THEN last WHEN ready THEN total ELSE raw_final END, CASE WHEN failed OR ready THEN corr ELSE 0 END)
+  FROM (
+    SELECT p.*, k.last, k.next_corr AS corr, p.raw + k.next_corr AS total, p.raw + k.next_corr < p.trigger AS ready, p.prepared - s.cost AS raw_final, s.dropped
+    FROM fold k JOIN points p ON p.c = k.c AND p.n = k.n + 1 JOIN steps s ON s.point = p.point AND p.prepared + k.next_corr - p.emergency > s.lo AND p.prepared + k.next_corr - p.emergency <= s.hi))
+SELECT c AS conv_id, seq, total, final, corr, masked::INTEGER AS masked, dropped::INTEGER AS dropped, outcome FROM fold WHERE n > 0""",
     "prefix_replay": prefixed(["p2"]) + "SELECT conv_id // 1000000 AS conv_id, conv_id % 1000000 AS point, outcome, tokens_before, tokens_after, masked, dropped FROM labelled",
     "audit_turn_table": TURNS + "SELECT session, turn, before, after, outcome, compacted, input FROM turns",
     "audit_savings": TURNS + """

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.plans.budget import Profile
+from windrow.plans.points import running, with_masks
 
 STEPS = "conv_id {}, seq long, total long, final long, corr long, ready boolean"
 
@@ -123,27 +125,96 @@ class Conversation:
         return dropped
 
 
-REPLAY = "conv_id long, seq long, total long, final long, corr long, masked int, dropped int, outcome string"
+REPLAY = "conv_id {}, seq long, total long, final long, corr long, masked int, dropped int, outcome string"
+
+
+class _Sums:
+    """Of one conversation so far: running sums of its messages and of its turn groups, some numbers for each."""
+
+    def __init__(self) -> None:
+        self.tokens, self.saved = array("q", [0]), array("q", [0])  # by rank
+        self.begin, self.plain, self.lower = array("q"), array("q"), array("q")  # of each turn group: its first rank, the sum before it, and that with all masked
+
+    def add(self, tokens_to: int, saved_to: int, start: int, plain: int, lower: int) -> None:
+        self.tokens.append(tokens_to)
+        self.saved.append(saved_to)
+        if not self.begin or self.begin[-1] != start:
+            self.begin.append(start)
+            self.plain.append(plain)
+            self.lower.append(lower)
+
+    def _end(self, groups: int) -> int:
+        """The rank of the last message of so many groups."""
+        return 0 if not groups else len(self.tokens) - 1 if groups == len(self.begin) else self.begin[groups] - 1
+
+    def dropped(self, excess: int, saving: int, open_: int, droppable: int) -> tuple[int, int]:
+        """How many of the oldest messages an excess of tokens drops, whole groups at a time, and their tokens as masked.
+
+        The tokens before a group rise from group to group, so the groups are found by bisection: those up to the
+        first message that is not masked by their sums as masked, later ones with the whole saving before them.
+        """
+        wanted = self._end(bisect_left(self.lower, excess))
+        if wanted > open_:
+            at, first = max((excess - saving, 0), (self.tokens[open_] if open_ else 0, open_ + 2))
+            low, high = bisect_left(self.plain, at), bisect_right(self.plain, at)
+            wanted = self._end(bisect_left(self.begin, first, low, high))
+        wanted = max(0, min(wanted, droppable))
+        return wanted, self.tokens[wanted] + (self.saved[wanted] if wanted < open_ else saving) if wanted else 0
 
 
 def replay_with_emergency(rows: DataFrame, profile: Profile) -> DataFrame:
-    """The same for profiles with an emergency limit, one conversation at a time.
+    """The same for profiles with an emergency limit, whose compaction depends on the correction: total, final, corr, masked, dropped and outcome of each prepare.
 
     rows: conv_id, msg_idx, role, is_pinned, tokens, masked_tokens, provider (on model rows, or null);
-    the context is prepared before each model row, whose msg_idx is the seq.
+    the context is prepared before each model row, whose msg_idx is the seq. Of repeated msg_idx the order is not defined.
+
+    What is masked does not depend on the correction and comes from the running sums of `points`. How much is
+    dropped is a step function of it, with the sums before turn groups as break points; so the fold that carries the
+    correction from prepare to prepare is a bisection at each. It reads a conversation's sorted entries batch by
+    batch and holds five numbers for each message at most, so time is n log n and no message is held.
     """
+    budget = profile.budget
+    limit, most, trigger = budget.emergency_trigger, budget.max_tokens + budget.tolerance_tokens, budget.compaction_trigger
+    names = ("conv_id", "is_point", "tokens_to", "saved_to", "start", "at", "lower", "sum", "pinned", "open", "saving", "masked", "droppable", "provider", "point")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        talk, out = Conversation(profile), []
-        for r in pdf.sort_values("msg_idx").itertuples():
-            if r.role == "Model":
-                p = talk.prepare()
-                out.append((r.conv_id, r.msg_idx, p["before"], p["after"], p["corr"], p["masked"], p["dropped"], p["outcome"]))
-            masked = None if pd.isna(r.masked_tokens) else int(r.masked_tokens)
-            talk.append(r.role, int(r.tokens), masked, bool(r.is_pinned), None if pd.isna(r.provider) else int(r.provider))
-        return pd.DataFrame(out, columns=["conv_id", "seq", "total", "final", "corr", "masked", "dropped", "outcome"])
-
-    return rows.select("conv_id", "msg_idx", "role", "is_pinned", "tokens", "masked_tokens", "provider").groupBy("conv_id").applyInPandas(fold, REPLAY)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, sums, corr, last = None, None, 0, 0
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(name).to_pylist() for name in names)):
+                at, is_point, tokens_to, saved_to, start, plain, lower, total, pinned, open_, saving, masked, droppable, provider, seq = row
+                if sums is None or at != conv:
+                    conv, sums, corr, last = at, _Sums(), 0, 0
+                if not is_point:
+                    sums.add(tokens_to, saved_to, start, plain, lower)
+                    continue
+                before, used = total + pinned + corr, corr
+                if pinned > budget.max_tokens:
+                    out.append((at, seq, before, before, used, 0, 0, None))
+                elif before < trigger:
+                    last = before
+                    out.append((at, seq, before, before, used, 0, 0, "Ready"))
+                else:
+                    prepared = total + pinned + saving
+                    dropped, cost = sums.dropped(prepared + corr - limit, saving, open_, droppable) if limit is not None and prepared + corr > limit else (0, 0)
+                    last = prepared - cost
+                    fits, done = last + corr <= most, masked + dropped > 0
+                    out.append((at, seq, before, last + corr, used, masked, dropped, ("Compacted" if done else "Ready") if fits else "Degraded" if done else "ContextExhausted"))
+                    corr = 0
+                if provider is not None:
+                    corr = provider - last
+            kinds = (batch.schema.field("conv_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            columns = zip(*out) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(values, of) for values, of in zip(columns, kinds)], ["conv_id", "seq", "total", "final", "corr", "masked", "dropped", "outcome"])
+
+    # a prepare after which messages came begins a turn: the first one does not, if it had nothing to prepare
+    order = Window.partitionBy("conv_id").orderBy("msg_idx").rowsBetween(Window.unboundedPreceding, 0)
+    model = (F.col("role") == "Model").cast("int")
+    turn = F.sum(model).over(order) - F.when(F.first("role").over(order) == "Model", 1).otherwise(0)
+    narrow = rows.select("conv_id", "msg_idx", "role", F.lit("Original").alias("state"), "is_pinned", "tokens", "masked_tokens", F.col("provider").cast("long").alias("provider"), turn.alias("turn"))
+    entries = with_masks(running(narrow, first=True, carried=("provider",)), [profile], always=True)
+    entries = entries.select(*names).sortWithinPartitions("conv_id", "point", F.desc("is_point"))
+    return entries.mapInArrow(fold, REPLAY.format(rows.schema["conv_id"].dataType.simpleString()))
 
 
 def sequential(rows: Iterator[dict], profile: Profile) -> dict:

@@ -33,15 +33,15 @@ def prepare_points(messages: DataFrame, profiles: Sequence[Profile], counter: Co
         raise BudgetError("the profiles of one run share one placeholder")
     renamed, steady = called_later(messages), measured(messages, templates.pop(), counter)
     if renamed.isEmpty():
-        return _from_sums(_running(steady), profiles)
-    steady = _from_sums(_running(steady.join(renamed, "conv_id", "left_anti")), profiles)
+        return _from_sums(running(steady), profiles)
+    steady = _from_sums(running(steady.join(renamed, "conv_id", "left_anti")), profiles)
     copies = prepare(prefixes(messages.join(renamed, "conv_id", "left_semi"), counter), profiles, counter=counter).results
     copies = copies.withColumn("point", F.col("conv_id.point")).withColumn("conv_id", F.col("conv_id.conv_id"))
     return steady.unionByName(copies.select(*steady.columns))
 
 
-def _running(narrow: DataFrame) -> DataFrame:
-    """entry rows of each conversation: its unpinned messages (is_point false) and its model rows as points.
+def running(narrow: DataFrame, first: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """entry rows of each conversation (with `first` also points without messages before them; with the columns `carried`): its unpinned messages (is_point false) and its model rows as points.
 
     rank counts the unpinned messages up to this one; tokens_to, saved_to and masks_to are sums up to and with
     it; start, at and lower are the rank of its turn group's first message and the sums before that, as they are and
@@ -55,7 +55,7 @@ def _running(narrow: DataFrame) -> DataFrame:
     masks = (F.col("masked_tokens").isNotNull() & (F.col("state") == "Original")).cast("long")
     begins = free & F.coalesce(F.coalesce(F.lag("is_pinned").over(order), F.lit(True)) | (F.col("turn") != F.lag("turn").over(order)), F.lit(True))
     rows = narrow.select(
-        "conv_id", "msg_idx", "role", "is_pinned", begins.alias("begins"),
+        "conv_id", "msg_idx", "role", "is_pinned", *carried, begins.alias("begins"),
         total(free, F.lit(1), to).alias("rank"), total(free, F.col("tokens"), to).alias("tokens_to"), total(free, saving, to).alias("saved_to"), total(free, masks, to).alias("masks_to"),
         total(free, F.lit(1), before).alias("n"), total(free, F.col("tokens"), before).alias("sum"), total(free, saving, before).alias("saved"), total(~free, F.col("tokens"), before).alias("pinned"),
         F.count("*").over(before).alias("earlier"), F.last(F.when(free, F.col("role")), True).over(before).alias("last_role"),
@@ -64,12 +64,12 @@ def _running(narrow: DataFrame) -> DataFrame:
     # the roles of the last two unpinned messages
     last_two = F.last(F.when(free, F.struct(F.col("role").alias("one"), F.col("last_role").alias("two"))), True).over(before)
     rows = rows.withColumn("group", group).withColumn("last_two", last_two)
-    kinds = F.filter(F.array(F.when(free, F.lit(False)), F.when((F.col("role") == "Model") & (F.col("earlier") > 0), F.lit(True))), lambda k: k.isNotNull())
+    kinds = F.filter(F.array(F.when(free, F.lit(False)), F.when((F.col("role") == "Model") & (F.lit(first) | (F.col("earlier") > 0)), F.lit(True))), lambda k: k.isNotNull())
     kept = (F.col("last_two.one") == "Model") & (F.col("last_two.two") == "User")
     droppable = F.greatest(F.col("n") - F.when(kept, 2).otherwise(1), _zero())
     return rows.filter("conv_id IS NOT NULL").select(
         "conv_id", F.explode(kinds).alias("is_point"), F.col("msg_idx").alias("point"), "rank", "tokens_to", "saved_to", "masks_to", "group.start", "group.at", "group.lower",
-        "n", "sum", "pinned", droppable.alias("droppable"),
+        "n", "sum", "pinned", droppable.alias("droppable"), *carried,
     )
 
 
@@ -80,12 +80,16 @@ def _reached(entries: DataFrame, name: str, row: Sequence[Column], point: Sequen
     return entries.withColumn(name, F.last(F.when(~F.col("is_point"), found), True).over(span))
 
 
-def _from_sums(entries: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+def with_masks(entries: DataFrame, profiles: Sequence[Profile], always: bool = False) -> DataFrame:
+    """Entries for each profile, at each point with total, error and, as far as it is neither ready nor in error (or `always`), the messages outside the window (open) and what masking them changes.
+
+    masking: the sums up to the last message outside; saving: the tokens it adds (under 0: saves); masked: how many are masked.
+    """
     sums = F.struct("tokens_to", "saved_to", "masks_to")
     number = lambda name: F.coalesce(F.col(name), _zero())
     e = entries.select("*", F.inline(F.array(*(p.column() for p in profiles)))).withColumn("total", F.col("sum") + F.col("pinned"))
     e = e.withColumn("error", F.when(F.col("pinned") > F.col("max_tokens"), "PinnedTokenBudgetExceeded")).withColumn("is_ready", F.col("total") < F.col("trigger"))
-    idle = F.col("is_ready") | F.col("error").isNotNull()
+    idle = _idle() if not always else F.lit(False)
 
     # masked: outside the newest window_size, and where what follows exceeds the protected share
     share = F.floor((F.col("max_tokens") - F.col("pinned")).cast("double") * F.col("fraction"))
@@ -94,7 +98,17 @@ def _from_sums(entries: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
     over = F.when(F.col("sum") - share > 0, number("outside") + 1).otherwise(_zero())
     e = e.withColumn("open", F.when(idle, _zero()).otherwise(F.greatest(F.least(over, F.col("n") - F.col("window_size")), _zero())))
     e = _reached(e, "masking", [F.col("rank")], [F.col("open") + 1], sums)
-    e = e.withColumn("saving", F.when(F.col("open") > 0, F.col("masking.saved_to")).otherwise(_zero())).withColumn("masked", F.when(F.col("open") > 0, F.col("masking.masks_to")).otherwise(_zero()))
+    return e.withColumn("saving", F.when(F.col("open") > 0, F.col("masking.saved_to")).otherwise(_zero())).withColumn("masked", F.when(F.col("open") > 0, F.col("masking.masks_to")).otherwise(_zero()))
+
+
+def _idle() -> Column:
+    return F.col("is_ready") | F.col("error").isNotNull()
+
+
+def _from_sums(entries: DataFrame, profiles: Sequence[Profile]) -> DataFrame:
+    sums = F.struct("tokens_to", "saved_to", "masks_to")
+    number = lambda name: F.coalesce(F.col(name), _zero())
+    e, idle = with_masks(entries, profiles), _idle()
 
     # dropped: groups while the sum before them leaves more than the emergency limit; those that begin up to
     # the first unmasked message count as masked before it, later ones have the whole saving before them
