@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import random
 import time
 
 import pytest
@@ -56,6 +57,39 @@ def test_truncation_is_the_longest_prefix(spark):
     assert one(spark, lambda c: T.truncate_to_tokens(c, F.lit(5)), "y" * 100) == ["[Content truncated at 5 tokens. Use a smaller range or request a specific section.]"]
 
 
+def test_truncation_by_any_counter(spark):
+    """With the estimate as counter it is the closed form; with others a plain search."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab  \n") for _ in range(r.randint(0, 300))) for _ in range(60)] + [None, "", " ", "x" * 500]
+    closed = one(spark, lambda c: T.truncate_to_tokens(c, F.lit(30)), *texts)
+    assert one(spark, lambda c: T.truncate_by(lambda t: -(-t.str.len() // 4) + 4, c, F.lit(30)), *texts) == closed
+    odd = lambda text: len(text) // 3 + 5 * text.count("b") % 7  # does not rise with the length
+    notice = "\n[Content truncated at 40 tokens. Use a smaller range or request a specific section.]"
+
+    def wanted(text):
+        if text is None or not (text := text.strip()) or odd(text) <= 40:
+            return text
+        low, high = 0, len(text)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if odd(text[:middle].rstrip() + notice) <= 40 else (low, middle - 1)
+        prefix = text[:low].rstrip()
+        while prefix and odd(prefix + notice) > 40:
+            prefix = prefix[:-1].rstrip()
+        return prefix + notice if prefix else notice.lstrip("\n")
+
+    assert one(spark, lambda c: T.truncate_by(lambda t: t.map(odd), c, F.lit(40)), *texts) == [wanted(t) for t in texts]
+
+
+def test_options_flattened_in_a_table(spark):
+    options = ['{"a":{"ApiKey":"s","n":[1,null,{"Secret":5}]},"b":{},"c":[],"token":true}', "{oops", None, "3", '{"k.Password":"x"}']
+    rows = spark.createDataFrame(list(enumerate(options)), "i int, o string")
+    got = sorted(map(tuple, automation.flatten_json(rows, "o").collect()), key=str)
+    assert got == sorted([
+        (0, "a.ApiKey", "***"), (0, "a.n[0]", "1"), (0, "a.n[1]", None), (0, "a.n[2].Secret", "5"), (0, "b", "{}"), (0, "c", "[]"), (0, "token", "true"), (3, "", "3"), (4, "k.Password", "***"),
+    ], key=str)
+
+
 def test_files(spark, tmp_path):
     root = tmp_path / "w"
     for name, data in {"b.txt": b"one\ntwo\nthree\n", "A.md": b"x", "sub/c.TXT": b"\x00bin", "Z_a.txt": b"1"}.items():
@@ -156,7 +190,7 @@ def test_transcript_and_audit(spark):
     assert summary["saved"] == 10 and summary["last_saved"] == 10 and summary["seconds"] == 6.0
     rows = [("s", 0, "session_started", None, None, None, None, 50), ("s", 1, "model_responded", " ", "[1,2]", None, None, None), ("s", 2, "model_responded", "so", "[1]", None, None, None), ("s", 3, "model_responded", "end", "[]", None, None, None), ("s", 4, "session_ended", None, None, "Stopped", 7, None)]
     told = spark.createDataFrame(rows, "session string, seq long, kind string, content string, arguments string, outcome string, turn int, window_tokens int").withColumns({"total_tokens": F.lit(9), "tokens_after": F.lit(5)})
-    assert [(r["notice"], r["shown"]) for r in transcript.notices(told).orderBy("seq").collect()] == [("Model issuing 2 tool call(s).", None), ("Model responded and requested 1 tool call(s).", "so"), (None, None), ("Stopped. Total turns: 7. Total tokens: 9.", None)]
+    assert [(r["notice"], r["shown"]) for r in transcript.notices(told.withColumn("label", F.lit("a.md"))).orderBy("seq").collect()] == [("Model issuing 2 tool call(s).", None), ("Model responded and requested 1 tool call(s).", "so"), (None, None), ("Stopped. Total turns: 7. Total tokens: 9.\nSee session log: a.md", None)]
     later = told.withColumn("kind", F.when(F.col("seq") > 0, "prepared").otherwise(F.col("kind")))
     assert {(r["seq"], r["window_tokens"]) for r in transcript.status(later).collect()} == {(k, 50) for k in (1, 2, 3, 4)}
     assert one(spark, transcript.pretty_json, '{"a":[1]}', " ", "no") == ['{\n  "a": [\n    1\n  ]\n}', "{}", "no"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,7 +78,3 @@ def budget_used(tokens, window_tokens):
 
 def status_line(tokens, window_tokens):
     return F.concat(F.format_number(tokens, 0), F.lit(" / "), F.format_number(window_tokens, 0), F.lit(" ("), F.format_number(F.coalesce(budget_used(tokens, window_tokens), F.lit(0.0)), 1), F.lit("%)"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -29,6 +29,11 @@ msgs AS (
 """
 
 
+def ratios(names: list[str]) -> str:
+    rows = ", ".join(f"('{n}', {c}::DOUBLE, {'NULL' if e is None else e}::DOUBLE)" for n, _, c, e, _, _ in PROFILES if n in names)
+    return f"ratio(profile, soft, hard) AS (VALUES {rows})"
+
+
 def profile_rows(names: list[str], source: str = "msgs", tolerance: float = 0.05) -> str:
     rows = ", ".join(
         f"('{n}', {m}, floor({m} * {c}::DOUBLE)::BIGINT, {'NULL::BIGINT' if e is None else f'floor({m} * {e}::DOUBLE)::BIGINT'}, floor({m} * {tolerance}::DOUBLE)::BIGINT, {w}, {f}::DOUBLE)"
@@ -153,7 +158,9 @@ SELECT conv_id, msg_idx, 0 AS seg, CASE WHEN role = 'Tool' THEN 'tool_result' EL
   CASE WHEN role = 'Tool' THEN length(call_id) + {u16('result')} ELSE {u16('text')} END AS chars FROM msgs
 UNION ALL SELECT conv_id, msg_idx, 1, 'tool_use', 9 + length(args) FROM msgs WHERE role = 'Model'""",
     "pinned_token_total": "WITH " + MESSAGES + "SELECT conv_id, coalesce(sum(tokens) FILTER (is_pinned), 0)::BIGINT AS pinned FROM msgs GROUP BY conv_id",
-    "budget_derived_thresholds": "WITH " + MESSAGES + "," + profile_rows(ALL) + "SELECT profile, max_tokens, trigger, emergency, tolerance FROM prof",
+    "budget_derived_thresholds": "WITH " + ratios(ALL) + """
+SELECT DISTINCT conv_id, profile, 1000 + 500 * (conv_id % 7) AS max_tokens, floor((1000 + 500 * (conv_id % 7)) * soft)::BIGINT AS trigger, floor((1000 + 500 * (conv_id % 7)) * hard)::BIGINT AS emergency,
+  floor((1000 + 500 * (conv_id % 7)) * 0.05::DOUBLE)::BIGINT AS tolerance FROM conversations CROSS JOIN ratio""",
     "turn_stamping": "WITH " + MESSAGES + "SELECT conv_id, msg_idx, role, turn FROM msgs",
     "system_prompt_upsert": "WITH " + MESSAGES + """,
 prompts AS (SELECT DISTINCT conv_id, 'Prompt B of ' || conv_id AS prompt FROM conversations WHERE conv_id % 3 = 0),
@@ -270,6 +277,10 @@ SELECT path || ':' || line_no || ': ' || line || coalesce(chr(10) || '  ' || (li
     "token_bounded_truncate": """
 WITH texts AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, chr(10) || '[Content truncated at 100 tokens. Use a smaller range or request a specific section.]' AS notice FROM documents)
 SELECT doc_id, CASE WHEN ceil(length(t) / 4.0::DOUBLE) + 4 <= 100 THEN t ELSE regexp_replace(left(t, 384 - length(notice)), '\\s+$', '') || notice END AS text FROM texts""",
+    "counted_truncate": r"""
+WITH texts AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN len(regexp_extract_all(t, '\S+')) <= 60 THEN t
+  ELSE regexp_extract(t, '^(?:\S+\s+){45}\S+') || chr(10) || '[Content truncated at 60 tokens. Use a smaller range or request a specific section.]' END AS text FROM texts""",
     "char_truncate": "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE left(text, 400) || chr(10) || '[... truncated: event content exceeded 400 chars ...]' END AS text FROM documents",
     "html_sniff": r"SELECT page_id, regexp_matches(html, '(?i)^\s*(<!doctype html|<html|<head|<body)') AS is_html FROM pages",
     "media_route": """
@@ -378,8 +389,9 @@ SELECT session, count(*) AS turns, sum(before)::BIGINT AS before, sum(after)::BI
     "status_lines": TURNS + """
 SELECT session, turn * 2 + 1 AS seq, format('{:,} / 2,000 ({:.1f}%)', after, after * 100.0::DOUBLE / 2000) AS line FROM turns""",
     "renderer_notices": """
-SELECT conv_id AS session, turn AS seq, CASE
-  WHEN role = 'system' AND conv_id % 2 = 0 THEN 'Session ended.' WHEN role = 'system' THEN 'ContextExhausted. Total turns: ' || turn || '. Total tokens: n/a.'
+SELECT conv_id AS session, turn AS seq, CASE WHEN role = 'system' AND conv_id % 2 <> 0 THEN 'Session Ended' END AS title, CASE
+  WHEN role = 'system' AND conv_id % 2 = 0 THEN 'Session ended. Transcript saved to log-' || conv_id || '.md'
+  WHEN role = 'system' THEN 'ContextExhausted. Total turns: ' || turn || '. Total tokens: n/a.' || chr(10) || 'See session log: log-' || conv_id || '.md'
   WHEN turn % 3 = 0 THEN NULL WHEN turn % 2 = 1 OR trim(text) = '' THEN 'Model issuing ' || (turn % 3) || ' tool call(s).'
   ELSE 'Model responded and requested ' || (turn % 3) || ' tool call(s).' END AS notice,
   CASE WHEN role <> 'system' AND turn % 3 > 0 AND turn % 2 = 0 AND trim(text) <> '' THEN md5(text) END AS shown FROM conversations""",
@@ -389,7 +401,9 @@ SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'answer: q' || turn WHEN turn
 SELECT conv_id, turn, concat_ws(',', CASE WHEN turn - 1 <= 0 THEN 'max_turns_not_positive' END, CASE WHEN conv_id % 4 - 1 < 0 THEN 'wrap_window_negative' END,
   CASE WHEN conv_id % 4 - 1 >= turn - 1 THEN 'wrap_window_too_long' END) AS rules FROM conversations""",
     "redacted_options": """
-SELECT * FROM (VALUES ('Model.Name', 'm'), ('Model.ApiKey', '***'), ('Model.Temperature', '0.5'), ('Tools[0].Name', 'a'), ('Tools[0].Secret', '***'), ('Tools[1].Name', 'b'), ('Tools[1].Token', NULL)) t(path, value)""",
+SELECT event_id, path, value FROM (
+  SELECT event_id, unnest(['Model.Name', 'Model.ApiKey', 'Model.Temperature', 'Tools[0].Name', 'Tools[0].Secret', 'Tools[1].Name', 'Tools[1].Token', 'Props.' || json_keys(props)[1]]) AS path,
+    unnest(['m' || event_id, '***', '0.5', 'a', '***', event_type, NULL, json_extract_string(props, '$.' || json_keys(props)[1])]) AS value FROM events)""",
     "log_names": SESSIONS + "SELECT log_name FROM named",
     "log_page": SESSIONS + "SELECT log_name FROM named ORDER BY upper(log_name) DESC, log_name DESC LIMIT 10 OFFSET 10",
     "find_workspace": "SELECT DISTINCT source AS name, 'Owner/' || source AS owner_repo FROM documents WHERE upper(source) = 'SRC1'",

@@ -50,6 +50,13 @@ class Budget:
         return math.floor(self.max_tokens * float(self.tolerance))
 
 
+    def limits(self, max_tokens: Column, name: str) -> Column:
+        """profile, max_tokens, trigger, emergency and tolerance for windows of other sizes under the same ratios."""
+        part = lambda ratio, of: (F.floor(max_tokens * F.lit(float(ratio))) if ratio is not None else F.lit(None)).cast("long").alias(of)
+        return F.struct(F.lit(name).alias("profile"), max_tokens.cast("long").alias("max_tokens"), part(self.compaction, "trigger"), part(self.emergency, "emergency"), part(self.tolerance, "tolerance"))
+
+
+#: Fixed value: what a masked result says unless told otherwise.
 DEFAULT_PLACEHOLDER = "[Tool result cleared — {0}, {1}]"
 
 

@@ -69,7 +69,10 @@ def pinned_token_total(spark, sf_dir):
 
 @query
 def budget_derived_thresholds(spark, sf_dir):
-    return spark.range(1).select(F.inline(F.array(*(p.column() for p in PROFILE.values())))).select("profile", "max_tokens", "trigger", "emergency", "tolerance")
+    """The limits of every conversation's own window under the ratios of each profile."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", (1000 + 500 * (F.col("conv_id") % 7)).alias("max_tokens")).distinct()
+    each = F.array(*(p.budget.limits(F.col("max_tokens"), p.name) for p in PROFILE.values()))
+    return own.select("conv_id", F.inline(each))
 
 
 @query
@@ -357,6 +360,13 @@ def token_bounded_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_to_tokens(F.col("text"), F.lit(100)).alias("text"))
 
 
+@query
+def counted_truncate(spark, sf_dir):
+    """Texts cut to 60 tokens of a counter that counts words."""
+    cut = T.truncate_by(lambda texts: texts.str.split().str.len(), F.col("text"), F.lit(60))
+    return table(spark, sf_dir, "documents").select("doc_id", cut.alias("text"))
+
+
 @query
 def char_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_event(F.col("text"), 400).alias("text"))
@@ -588,8 +598,9 @@ def renderer_notices(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.when(last, "session_ended").otherwise("model_responded").alias("kind"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("content"),
         calls.alias("arguments"), F.when(F.col("conv_id") % 2 == 0, "EndedByUser").otherwise("ContextExhausted").alias("outcome"), F.col("turn").cast("int").alias("turn"), F.lit(None).cast("int").alias("total_tokens"),
+        F.concat(F.lit("log-"), "conv_id", F.lit(".md")).alias("label"),
     )
-    return transcript.notices(rows).select(F.col("session").cast("long").alias("session"), "seq", "notice", F.md5("shown").alias("shown"))
+    return transcript.notices(rows).select(F.col("session").cast("long").alias("session"), "seq", "title", "notice", F.md5("shown").alias("shown"))
 
 
 @query
@@ -607,8 +618,9 @@ def turn_budget_violations(spark, sf_dir):
 
 @query
 def redacted_options(spark, sf_dir):
-    options = {"Model": {"Name": "m", "ApiKey": "s", "Temperature": 0.5}, "Tools": [{"Name": "a", "Secret": "x"}, {"Name": "b", "Token": None}]}
-    return spark.createDataFrame(automation.flatten_options(options), "path string, value string")
+    """The options that a session of each event might run with: nested, with secrets, and with the event's own properties."""
+    made = F.format_string('{"Model":{"Name":"m%d","ApiKey":"s","Temperature":0.5},"Props":%s,"Tools":[{"Name":"a","Secret":"x"},{"Name":"%s","Token":null}]}', "event_id", "props", "event_type")
+    return automation.flatten_json(table(spark, sf_dir, "events").select("event_id", made.alias("options")), "options")
 
 
 def sessions(spark, sf_dir):

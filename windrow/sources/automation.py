@@ -124,7 +124,30 @@ def flatten_options(options: Mapping, secrets: str = r"(?i)(key|token|secret|pas
     return rows
 
 
-#: Options by path, with what each has to be.
+def flatten_json(rows: DataFrame, column: str, secrets: str = r"(?i)(key|token|secret|password)$", depth: int = 6) -> DataFrame:
+    """The other columns with path and value of each leaf of a column of nested options in JSON, texts under secret names replaced.
+
+    A level at a time is taken apart as variants, in one job; empty objects and arrays, and what lies deeper than `depth` levels, are
+    leaves with their JSON. Rows whose JSON is null or malformed have none. The rules are those of flatten_options.
+    """
+    kept = [c for c in rows.columns if c != column]
+    tvf = rows.sparkSession.tvf
+    level = rows.select(*kept, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).filter("v IS NOT NULL")
+    kind = F.schema_of_variant("v")
+    nested = (kind.startswith("OBJECT<") & (kind != "OBJECT<>")) | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))
+    leaves = None
+    for _ in range(depth):
+        here = level.filter(~nested)
+        leaves = here if leaves is None else leaves.unionByName(here)
+        parts = level.filter(nested).lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "item"))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), "key"))
+        level = parts.select(*kept, F.concat("path", step).alias("path"), F.col("item").alias("v"))
+    leaves = leaves.unionByName(level)
+    hide = (kind == "STRING") & F.regexp_extract("path", r"([^.]*)$", 1).rlike(secrets)
+    return leaves.select(*kept, "path", F.when(hide, REDACTED).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
+
+
+#: Options by path, with what each has to be.
 OPTION_RULES = {
     "Budget.ContextWindowTokens": "non_negative", "Budget.SoftThresholdRatio": "ratio", "Budget.HardThresholdRatio": "ratio", "Budget.WindowSize": "non_negative", "Model.Name": "text",
     "Model.MaxOutputTokens": "non_negative", "Workspace.RootDirectory": "text", "Workspace.CloneDepth": "non_negative", "Workspace.MaxRepoSizeMB": "non_negative",

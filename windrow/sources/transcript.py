@@ -20,6 +20,8 @@ EVENTS = (
     "dropped int, reason string, input_tokens int, output_tokens int, total_tokens int, tool_name string, arguments string, duration string, failure_type string, stack string"
 )
 TERMINAL = ("session_ended", "session_cancelled", "session_failed")
+#: After these nothing more is written.
+STOPPED = ("session_cancelled", "session_failed")
 
 
 def _value(column: str) -> Column:
@@ -93,7 +95,7 @@ def render(events: DataFrame) -> DataFrame:
 
 def transcripts(events: DataFrame) -> DataFrame:
     """session and text: the whole transcript of each session. What follows a cancelled or failed event is left out."""
-    end = F.min(F.when(F.col("kind").isin("session_cancelled", "session_failed"), F.col("seq"))).over(Window.partitionBy("session"))
+    end = F.min(F.when(F.col("kind").isin(*STOPPED), F.col("seq"))).over(Window.partitionBy("session"))
     live = events.withColumn("end", end).filter(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
     whole = render(live).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
     return whole.select("session", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
@@ -169,18 +171,22 @@ def status(events: DataFrame) -> DataFrame:
 
 
 def notices(events: DataFrame) -> DataFrame:
-    """session, seq, notice and shown for each model response and session end: what a reader is told, and the text to show at once.
+    """session, seq, title, notice and shown for each model response and session end: what a reader is told, and the text to show at once.
 
     arguments holds a response's tool calls as a JSON array. A response without any is an answer, which is
-    shown when it is complete; a session that its user ended is no warning.
+    shown when it is complete. label names the session's transcript: a session that its user ended is told where it
+    is; any other end is a warning with a title and the transcript's name in a second line.
     """
     calls = F.coalesce(F.json_array_length("arguments"), F.lit(0))
     response, blank = F.col("kind") == "model_responded", is_blank(F.col("content"))
     number = lambda text, n: F.concat(F.lit(text), n.cast("string"), F.lit(" tool call(s)."))
+    ended, by_user, log = F.col("kind") == "session_ended", F.coalesce(F.col("outcome") == "EndedByUser", F.lit(False)), _value("label")
+    # fixed values: the texts of the notices
     notice = (
         F.when(response & (calls > 0) & blank, number("Model issuing ", calls)).when(response & (calls > 0), number("Model responded and requested ", calls))
-        .when((F.col("kind") == "session_ended") & (F.col("outcome") == "EndedByUser"), "Session ended.")
-        .when(F.col("kind") == "session_ended", F.concat(F.col("outcome"), F.lit(". Total turns: "), F.col("turn"), F.lit(". Total tokens: "), _value("total_tokens"), F.lit(".")))
+        .when(ended & by_user, F.concat(F.lit("Session ended. Transcript saved to "), log))
+        .when(ended, F.concat(F.col("outcome"), F.lit(". Total turns: "), F.col("turn"), F.lit(". Total tokens: "), _value("total_tokens"), F.lit(".\nSee session log: "), log))
     )
+    title = F.when(ended & ~by_user, "Session Ended")
     shown = F.when(response & (calls > 0) & ~blank, F.col("content"))
-    return events.filter(F.col("kind").isin("model_responded", "session_ended")).select("session", "seq", notice.alias("notice"), shown.alias("shown"))
+    return events.filter(F.col("kind").isin("model_responded", "session_ended")).select("session", "seq", title.alias("title"), notice.alias("notice"), shown.alias("shown"))

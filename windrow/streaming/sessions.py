@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from windrow.plans.anchor import Conversation
 from windrow.plans.budget import Profile
-from windrow.sources.transcript import render
+from windrow.sources.transcript import STOPPED, render
 
 OUTPUT = "conv_id long, seq long, outcome string, error string, tokens_before long, tokens_after long, masked long, dropped long"
 ROWS = "role string, tokens long, masked_tokens long, pinned boolean, turn int"
@@ -101,8 +102,98 @@ def exchange_counts(events: DataFrame, lateness: str = "10 minutes", every: str
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", every), "session").agg(F.count("*").alias("events"), F.sum("total_tokens").alias("tokens"))
 
 
+class _Live(StatefulProcessor):
+    """A session's events wait until the watermark has passed them; kept beyond that are the window size and the number of the event that ended it."""
+
+    def __init__(self, schema: StructType, idle_ms: int):
+        self.schema, self.idle_ms = schema, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.waiting = handle, handle.getListState("waiting", self.schema)
+        self.marks = handle.getValueState("marks", "window_tokens long, ended long, last_ms long")
+
+    def _row(self, values: tuple) -> tuple:
+        """A row of pandas values as plain ones, null for what is missing."""
+        plain = {"integer": int, "long": int, "short": int, "byte": int, "double": float, "float": float, "boolean": bool, "string": str}
+        out = []
+        for value, field in zip(values, self.schema.fields):
+            name = field.dataType.typeName()
+            out.append(None if value is None or pd.isna(value) else value.to_pydatetime() if name.startswith("timestamp") else plain[name](value))
+        return tuple(out)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.waiting.appendList([self._row(r) for r in part.itertuples(index=False, name=None)])
+            for ms in {_to_ms(t) for t in part["ts"]}:
+                self.handle.registerTimer(ms)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, names = timerValues.getCurrentWatermarkInMs(), self.schema.names
+        at = {n: names.index(n) for n in ("seq", "ts", "kind", "window_tokens")}
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if _to_ms(r[at["ts"]]) <= now), key=lambda r: r[at["seq"]])
+        rest = [r for r in rows if _to_ms(r[at["ts"]]) > now]
+        if rest:
+            self.waiting.put(rest)
+        elif rows:
+            self.waiting.clear()
+        window, ended, last_ms = self.marks.get() if self.marks.exists() else (None, None, 0)
+        out = []
+        for r in due:
+            if ended is None or r[at["seq"]] <= ended:
+                window = window if r[at["window_tokens"]] is None else r[at["window_tokens"]]
+                out.append((*r, window))
+            if r[at["kind"]] in STOPPED and (ended is None or r[at["seq"]] < ended):
+                ended = r[at["seq"]]
+        if due:
+            last_ms = max(last_ms, *(_to_ms(r[at["ts"]]) for r in due))
+            self.marks.update((window, ended, last_ms))
+            self.handle.registerTimer(last_ms + self.idle_ms)
+        elif not rest and now >= last_ms + self.idle_ms:
+            self.marks.clear()
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[*self.schema.names, "session_window"])
+        kinds = {"integer": "Int32", "long": "Int64", "boolean": "boolean"}
+        frame = frame.astype({f.name: kinds[f.dataType.typeName()] for f in self.schema.fields if f.dataType.typeName() in kinds} | {"session_window": "Int64"})
+        return frame.astype({f.name: "datetime64[us]" for f in self.schema.fields if f.dataType.typeName().startswith("timestamp")})
+
+    def close(self) -> None:
+        pass
+
+
+def _to_ms(ts) -> int:
+    return -(-pd.Timestamp(ts).value // 1_000_000)
+
+
+def live_events(events: DataFrame, idle_ms: int = 3_600_000, lateness: str = "10 minutes") -> DataFrame:
+    """A stream of events without what follows a session's cancelled or failed event, with session_window, the window size of its start event.
+
+    events: columns of transcript.EVENTS, session, seq, ts, kind and window_tokens among them; seq and ts rise together in a session. An event
+    is given out when the watermark, `lateness` behind the newest event, has passed it; so late and reordered events are taken in the
+    order of the log, and what comes after an end is left out, as `transcript.transcripts` does for a whole log. A session without
+    events for idle_ms leaves no state. Needs the RocksDB state store.
+    """
+    if events.sparkSession.conf.get(STORE, "") != ROCKS:
+        raise ValueError(f"live_events needs {STORE} = {ROCKS}")
+    schema = StructType([StructField(f.name, f.dataType) for f in events.schema.fields])
+    out = StructType([*schema.fields, StructField("session_window", LongType())])
+    return events.withWatermark("ts", lateness).groupBy("session").transformWithStateInPandas(_Live(schema, idle_ms), out, "append", "eventTime")
+
+
+def live_status(events: DataFrame, idle_ms: int = 3_600_000, lateness: str = "10 minutes") -> DataFrame:
+    """session, seq, tokens_after and window_tokens of each prepared event of a stream: transcript.status with state in place of a window."""
+    live = live_events(events, idle_ms, lateness)
+    return live.filter("kind = 'prepared'").select("session", "seq", "tokens_after", F.col("session_window").alias("window_tokens"))
+
+
 def write_transcripts(events: DataFrame, path: str, checkpoint: str):
-    """Start a query that appends each micro-batch of events to text files by session. A batch that is run again replaces its own folder."""
+    """Start a query that appends each micro-batch of events to text files by session. A batch that is run again replaces its own folder.
+
+    Pass live_events(events) to leave out what follows a session's end.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         rendered = render(batch).repartition("session").sortWithinPartitions("session", "seq").select("session", F.col("text").alias("value"))
