@@ -113,6 +113,6 @@ def sample_rows(df: DataFrame, key: Column, rows: int) -> DataFrame:
     total = df.count()
     hashed = df.withColumn("_h", F.xxhash64(key, F.lit(20_011)))
     if total > 2 * rows:
-        limit = int(-(2**63) + 2**64 * min(1.0, (1.2 * rows + 200) / total))
-        hashed = hashed.filter(F.col("_h") < limit)
+        limit = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (1.2 * rows + 200) / total)))
+        hashed = hashed.filter(F.col("_h") <= limit)
     return hashed.orderBy("_h", key).limit(rows).drop("_h")

@@ -4,11 +4,11 @@ Centroids come from balanced k-means over a bounded sample; there are some `LIST
 root of the rows. Every vector is put on the posting list of its nearest centroid and, if it lies near a
 border, on those of further centroids whose distance is within `closure` of the least. Centroids are
 found by best-first search over a graph that joins each to its nearest neighbours, held in each worker's
-memory. A query reads the lists whose centroids lie within `reach` times the mean distance of the
-`REFERENCE` nearest ones. reach is measured, not guessed: it is the ratio with which, within the sample, a
-`recall` share of the sampled vectors' nearest neighbours is found, where as many neighbours are asked of
-the sample as fall to its share of k. So clustered vectors have few lists read and scattered ones many,
-at any size.
+memory; rows that lie near each other go through it together, so that a step is one matrix product and only centroids that were
+met are held. A query reads the lists whose centroids lie within `reach` times the mean distance of the
+`REFERENCE` nearest ones. reach is measured, not guessed: some of the queries are compared with every vector of the table, and
+it is the ratio with which a `recall` share of their true neighbours is on a list that is read. So clustered vectors have few
+lists read and scattered ones many, however small the sample is from which the centroids come.
 
 Lists are stored in blocks of at most `block_rows` vectors, queries of a list in blocks of at most as
 many, and each pair of blocks is one matrix product, so neither a crowded list nor a popular one ends
@@ -74,76 +74,82 @@ class CentroidGraph:
         self.near = np.concatenate([self.near, np.random.default_rng(1).permutation(n)[:, None]], axis=1)
         self.entries = np.linspace(0, n - 1, min(n, 16)).astype(np.int64)
 
-    def search(self, x: np.ndarray, ratio: float, reference: int, breadth: int = 24, cells: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows of x, centroids and distances: those within `ratio` times the mean distance of the `reference` nearest centroids.
+    def search(self, x: np.ndarray, ratio: float, reference: int, breadth: int = 24, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of x, centroids and distances: those within `ratio` times the mean distance of the `reference` nearest centroids, and the nearest in any case.
 
         Best-first: the nearest centroids not yet expanded are expanded, until they are farther than that and
-        than the `breadth` nearest found. Rows are taken as many at a time as need `cells` marks at most.
+        than the `breadth` nearest found, for every row of a block. A block's rows share their nearest pivot, as far as they
+        can; it has `cells` distances at most, and 16 rows at least.
         """
         n = len(self.centroids)
         reference, breadth = min(reference, n), min(max(breadth, reference), n)
-        at_once = max(1, cells // n)
-        for start in range(0, len(x), at_once):
-            part = x[start : start + at_once]
-            own = (part**2).sum(1)
-            gaps = np.full((len(part), n), np.inf)
-            open_ = np.full((len(part), n), np.inf)  # of those found and not yet expanded
-            active = np.arange(len(part))
-            fresh = np.repeat(self.entries[None], len(part), axis=0)
+        pivots = np.unique(np.linspace(0, n - 1, max(min(n, 16), math.isqrt(n))).astype(np.int64))
+        own = (x**2).sum(1)
+        far = lambda rows, nodes: np.maximum(own[rows, None] + self.square[nodes] - 2 * x[rows] @ self.centroids[nodes].T, 0)
+        size = max(16, min(256, cells // n))
+        few = min(4, len(pivots))
+        home = np.concatenate([far(np.arange(at, min(at + 1024, len(x))), pivots).argpartition(few - 1, axis=1)[:, :few] for at in range(0, len(x), 1024)]) if len(x) else np.zeros((0, few), dtype=np.int64)
+        order = np.argsort(home[:, 0], kind="stable")
+        for start in range(0, len(x), size):
+            rows = order[start : start + size]
+            met = np.zeros(n, dtype=bool)
+            ids = pivots[np.unique(home[rows])]
+            met[ids] = True
+            gaps, expanded = far(rows, ids), np.zeros(len(ids), dtype=bool)
             while True:
-                who, node = np.repeat(active, fresh.shape[1]), fresh.ravel()
-                new = np.isinf(gaps[who, node])
-                who, node = who[new], node[new]
-                gap = np.maximum(own[who] + self.square[node] - 2 * np.einsum("ij,ij->i", part[who], self.centroids[node]), 0)
-                gaps[who, node], open_[who, node] = gap, gap
-                nearest = np.partition(gaps[active], breadth - 1, axis=1)[:, :breadth]
-                limit = np.maximum(nearest[:, breadth - 1], (ratio * np.sqrt(np.partition(nearest, reference - 1, axis=1)[:, :reference]).mean(1)) ** 2)
-                few = min(4, n)
-                best = np.argpartition(open_[active], few - 1, axis=1)[:, :few]
-                reach = np.take_along_axis(open_[active], best, 1)
-                going = np.isfinite(reach) & (reach <= limit[:, None])
-                rows = going.any(1)
-                if not rows.any():
+                limit = np.full(len(rows), np.inf)
+                if gaps.shape[1] >= breadth:
+                    nearest = np.partition(gaps, breadth - 1, axis=1)[:, :breadth]
+                    limit = np.maximum(nearest[:, breadth - 1], (ratio * np.sqrt(np.partition(nearest, reference - 1, axis=1)[:, :reference]).mean(1)) ** 2)
+                # of those that some row still needs, the ones nearest to a row
+                need = np.flatnonzero(~expanded & (gaps <= limit[:, None]).any(0))
+                if not len(need):
                     break
-                active, best, going = active[rows], best[rows], going[rows]
-                best = np.where(going, best, best[np.arange(len(best)), going.argmax(1)][:, None])
-                open_[active[:, None], best] = np.inf
-                fresh = self.near[best].reshape(len(active), -1)
+                take = max(16, len(need) // 2)
+                if len(need) > take:
+                    need = need[np.argpartition(gaps[:, need].min(0), take - 1)[:take]]
+                expanded[need] = True
+                new = np.unique(self.near[ids[need]])
+                new = new[~met[new]]
+                if len(new):
+                    met[new] = True
+                    ids, gaps, expanded = np.concatenate([ids, new]), np.concatenate([gaps, far(rows, new)], axis=1), np.concatenate([expanded, np.zeros(len(new), dtype=bool)])
             distance = np.sqrt(gaps)
-            limit = ratio * np.sort(np.partition(distance, reference - 1, axis=1)[:, :reference], axis=1).mean(1)
+            # the nearest one in any case
+            limit = np.maximum(ratio * np.sort(np.partition(distance, reference - 1, axis=1)[:, :reference], axis=1).mean(1), distance.min(1))
             row, node = np.nonzero(distance <= limit[:, None] * (1 + 1e-12))
-            yield start + row, node, distance[row, node]
+            yield rows[row], ids[node], distance[row, node]
 
 
 def measured_reach(x: np.ndarray, asked: np.ndarray, centroids: np.ndarray, closure: float, most_copies: int, k: int, recall: float) -> float:
-    """The ratio within which lie the nearest lists of a `recall` share of the k nearest rows of x to the rows `asked`.
-
-    x: rows with the added component; asked: row numbers.
-    """
-    far = lambda rows: np.sqrt(np.maximum((rows**2).sum(1)[:, None] + (centroids**2).sum(1)[None] - 2 * rows @ centroids.T, 0))
+    """reach_of the k nearest rows of x to its rows numbered `asked`. x has the added component."""
     questions = np.concatenate([x[asked, :-1], np.zeros((len(asked), 1))], axis=1)
     score = questions @ x.T
     score[np.arange(len(asked)), asked] = -np.inf
     k = min(k, len(x) - 1)
     if k < 1:
         return 1.0
-    found = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    distance = far(questions)
-    reference = min(REFERENCE, len(centroids))
-    ratio = distance / np.maximum(np.partition(distance, reference - 1, axis=1)[:, :reference].mean(1), 1e-300)[:, None]
-    needed = np.empty(found.shape)
-    copies = min(most_copies, len(centroids))
-    for row, rows in enumerate(found):
-        away = far(x[rows])
-        lists = np.argpartition(away, copies - 1, axis=1)[:, :copies]
-        near = np.take_along_axis(away, lists, 1)
-        needed[row] = np.where(near <= closure * near.min(1)[:, None], ratio[row][lists], np.inf).min(1)
-    return float(np.quantile(needed, recall))
+    return reach_of(questions, [x[rows] for rows in np.argpartition(-score, k - 1, axis=1)[:, :k]], centroids, closure, most_copies, recall)
+
+
+def reach_of(questions: np.ndarray, found: list[np.ndarray], centroids: np.ndarray, closure: float, most_copies: int, recall: float) -> float:
+    """The ratio within which lie the nearest lists of a `recall` share of the neighbours found for each question; all with the added component."""
+    far = lambda rows: np.sqrt(np.maximum((rows**2).sum(1)[:, None] + (centroids**2).sum(1)[None] - 2 * rows @ centroids.T, 0))
+    reference, copies = min(REFERENCE, len(centroids)), min(most_copies, len(centroids))
+    needed = []
+    for question, rows in zip(questions, found):
+        if len(rows):
+            distance, away = far(question[None])[0], far(rows)
+            ratio = distance / max(np.partition(distance, reference - 1)[:reference].mean(), 1e-300)
+            lists = np.argpartition(away, copies - 1, axis=1)[:, :copies]
+            near = np.take_along_axis(away, lists, 1)
+            needed.append(np.where(near <= closure * near.min(1)[:, None], ratio[lists], np.inf).min(1))
+    return float(np.quantile(np.concatenate(needed), recall)) if needed else 1.0
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.94, sample: int = 20_000, most_sample: int = 400_000, closure: float = 1.02, most_copies: int = 2,
-    block_rows: int = 2_048,
+    block_rows: int = 2_048, probes: int = 256,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: for each query its k nearest vectors found, by largest inner product.
 
@@ -151,8 +157,8 @@ def search(
     empty or zero, has a null, infinite or NaN component, has no vec_id, or has not as many components
     as most rows. A query is not its own neighbour: rows with its vec_id are left out. Ties go to the
     smaller vec_id; of rows that share a vec_id the nearest counts. A query gets fewer than k rows only
-    if there are fewer candidates. The centroids and the reach are fitted on at most `sample` rows, or
-    ROWS_A_CENTROID for each list if that is more, `most_sample` in any case; the index holds all rows.
+    if there are fewer candidates. The centroids are fitted on at most `sample` rows, or ROWS_A_CENTROID for each list if that is more,
+    `most_sample` in any case, the reach on `probes` queries against every row; the index holds all rows.
     `recall` is the share of true neighbours aimed at. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -172,12 +178,10 @@ def search(
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
 
     wanted = math.ceil(LISTS_A_ROOT * math.sqrt(rows))
-    drawn = np.array([r["v"] for r in sample_rows(base, F.struct("vec_id", "v"), min(most_sample, max(sample, ROWS_A_CENTROID * wanted))).collect()])
-    lifted = lift(drawn, top)
+    drawn = matrix(sample_rows(base, F.struct("vec_id", "v"), min(most_sample, max(sample, ROWS_A_CENTROID * wanted))).select("v").toArrow().column("v"), dim)
     lists = max(1, min(wanted, len(drawn) // ROWS_A_CENTROID))
-    graph = CentroidGraph(balanced_centroids(lifted, lists))
-    some = np.random.default_rng(2).permutation(len(drawn))[:256]
-    reach = measured_reach(lifted, some, graph.centroids, closure, most_copies, max(1, round(k * len(drawn) / rows)), recall)
+    graph = CentroidGraph(balanced_centroids(lift(drawn, top), lists))
+    reach = reach_of(*true_neighbours(base, asked, k, probes, dim, top), graph.centroids, closure, most_copies, recall)
     shared = spark.sparkContext.broadcast(graph)  # a row for each list
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +247,37 @@ def search(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def true_neighbours(base: DataFrame, asked: DataFrame, k: int, probes: int, dim: int, top: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """At most `probes` of the queries and the k nearest rows of the whole table to each, all with the added component.
+
+    A batch keeps the k best of its rows for each probe, so k rows for each probe and batch are exchanged and k for each reach the driver.
+    """
+    spark = base.sparkSession
+    few = sample_rows(asked, F.struct("vec_id", "v"), probes).toArrow()
+    if not len(few):
+        return np.zeros((0, dim + 1)), []
+    ids, questions = few.column("vec_id").to_numpy(), matrix(few.column("v"), dim)
+    shared = spark.sparkContext.broadcast((ids, questions))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asks = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                score = asks @ matrix(part.column("v"), dim).T
+                score[names[:, None] == part.column("vec_id").to_numpy()[None]] = -np.inf
+                count = min(k, len(part))
+                row = np.argpartition(-score, count - 1, axis=1)[:, :count].ravel()
+                probe = np.repeat(np.arange(len(names)), count)
+                found = np.isfinite(value := score[probe, row])
+                yield pa.record_batch({"probe": pa.array(probe[found].astype(np.int32)), "score": pa.array(value[found]), "vec_id": part.column("vec_id").take(pa.array(row[found])), "v": part.column("v").take(pa.array(row[found]))})
+
+    nearest = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
+    kept = base.mapInArrow(best, "probe int, score double, vec_id long, v array<double>").withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("probe", "v").toArrow()
+    rows, probe = lift(matrix(kept.column("v"), dim), top), kept.column("probe").to_numpy()
+    return np.concatenate([questions, np.zeros((len(questions), 1))], axis=1), [rows[probe == i] for i in range(len(questions))]
+
+
 def distinct_rows(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows without repeated ones, and of equal vectors those with the `most` smallest ids."""
     mark = (x * np.random.default_rng(4).normal(size=x.shape[1])).sum(1)  # equal for equal vectors
