@@ -474,7 +474,7 @@ def test_decontaminate(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
