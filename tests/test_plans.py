@@ -44,10 +44,11 @@ def test_budget():
     for bad in ({"max_tokens": 0}, {"compaction": 0}, {"compaction": 0.9, "emergency": 0.9}, {"tolerance": 1.5}, {"emergency": float("nan")}):
         with pytest.raises(BudgetError):
             Budget(**bad)
-    for bad in ({"size": 0}, {"fraction": 1.0}, {"placeholder": " "}, {"placeholder": "{2}"}, {"placeholder": "{0,5}"}):
+    for bad in ({"size": 0}, {"fraction": 1.0}, {"placeholder": " "}, {"placeholder": "{2}"}, {"placeholder": "{0,x}"}):
         with pytest.raises(BudgetError):
             WindowOptions(**bad)
     assert placeholder_parts("a{{{1}}}b{0}{1}") == ["a{", 1, "}b", 0, 1]
+    assert placeholder_parts("{0,-8}|{1, 4}") == [(0, -8), "|", (1, 4)]
     with pytest.raises(BudgetError):
         ProfileBuilder().build()
     built = ProfileBuilder.default(50).with_compaction(0.5).with_emergency(0.9).build()
@@ -238,6 +239,13 @@ def test_upsert_replaces_in_place_or_inserts(spark):
     assert got == [(1, 0, "User", False, 3, "u"), (1, 1, "System", True, 0, "b"), (2, 0, "System", True, 4, "c"), (2, 1, "User", False, 4, "u")]
 
 
+def test_placeholder_widths(spark):
+    from windrow.plans.budget import placeholder
+
+    say = lambda template: spark.range(1).select(placeholder(template, F.lit("tool"), F.lit("c1"))).first()[0]
+    assert [say(t) for t in ("{0,-6}|{1,4}|", "{0,2}{1}", "{{{0}}}")] == ["tool  |  c1|", "toolc1", "{tool}"]
+
+
 def test_empty_log(spark):
     done = prepare(log(spark, []), [Profile("p", Budget(10))])
     assert done.results.count() == 0 and done.messages().count() == 0 and done.events().count() == 0

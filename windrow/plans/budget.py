@@ -9,6 +9,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from windrow.functions.text import utf16_length
+
 
 class BudgetError(ValueError):
     pass
@@ -76,18 +78,32 @@ class WindowOptions:
         placeholder_parts(self.placeholder)
 
 
-def placeholder_parts(template: str) -> list[str | int]:
-    """The template as literal strings and argument numbers. `{{` and `}}` stand for braces; a width (`{0,-8}`) is an error here."""
-    parts: list[str | int] = []
-    for literal, number in re.findall(r"((?:\{\{|\}\}|[^{}])+)|\{([01])\}", template):
-        parts.append(int(number) if number else literal.replace("{{", "{").replace("}}", "}"))
-    if re.sub(r"\{\{|\}\}|\{[01]\}", "", template).count("{") or re.sub(r"\{\{|\}\}|\{[01]\}", "", template).count("}"):
+def placeholder_parts(template: str) -> list[str | int | tuple[int, int]]:
+    """The template as literal strings and argument numbers, with the width where one is given (`{0,-8}`). `{{` and `}}` stand for braces."""
+    parts: list[str | int | tuple[int, int]] = []
+    argument = r"\{([01])(?:, *(-?\d{1,6}) *)?\}"
+    for literal, number, width in re.findall(rf"((?:\{{\{{|\}}\}}|[^{{}}])+)|{argument}", template):
+        parts.append(literal.replace("{{", "{").replace("}}", "}") if literal else (int(number), int(width)) if width else int(number))
+    rest = re.sub(rf"\{{\{{|\}}\}}|{argument}", "", template)
+    if "{" in rest or "}" in rest:
         raise BudgetError(f"placeholder {template!r} is not a format of {{0}} and {{1}}")
     return parts
 
 
 def placeholder(template: str, name: Column, call_id: Column) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else (name, call_id)[p] for p in placeholder_parts(template)))
+    """The template with its arguments; one shorter than its width is filled with spaces, on the left or, for a width under 0, on the right."""
+
+    def filled(part: str | int | tuple[int, int]) -> Column:
+        if isinstance(part, str):
+            return F.lit(part)
+        number, width = part if isinstance(part, tuple) else (part, 0)
+        value = (name, call_id)[number]
+        if not width:
+            return value
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(abs(width)) - utf16_length(value), F.lit(0)))
+        return F.concat(blank, value) if width > 0 else F.concat(value, blank)
+
+    return F.concat(*map(filled, placeholder_parts(template)))
 
 
 @dataclass(frozen=True)
