@@ -84,19 +84,27 @@ def language_references(docs: DataFrame, common: int = 40, most: int = 256, leas
     texts = docs.select("lang", F.coalesce("text", F.lit("")).alias("_t"))
     own = [r["lang"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).filter("lang IS NOT NULL").orderBy(F.desc("n"), "lang").limit(most - 1).collect()]
     kind = F.when(F.col("lang").isin(own), F.col("lang")) if own else F.lit(None).cast("string")
-    texts = texts.withColumn("lang", kind)
-    vocabulary = texts.select("lang", F.explode(F.expr(f"split(lower({flat('_t')}), ' ')")).alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    ranked = vocabulary.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= common).drop("k")
-    totals = vocabulary.groupBy("lang").agg(F.lit(None).cast("string").alias("word"), F.sum("n").alias("n"))
-    found = ranked.unionByName(totals).collect()  # both read one exchange of the vocabulary
-    totals = {r["lang"]: r["n"] for r in found if r["word"] is None}
+    # pieces between white space; the empty ones tell how much of it there is: a text of n pieces has n - 1
+    pieces = texts.select(kind.alias("lang"), F.explode(F.expr(f"split({flat('_t')}, ' ')")).alias("_t"))
+    vocabulary = pieces.groupBy("lang", "_t").agg(F.count("*").alias("n"))
+    lowered = vocabulary.filter("_t <> ''").groupBy("lang", F.lower("_t").alias("word")).agg(F.sum("n").alias("n"))
+    none, empty = F.lit(None), F.array().cast("array<bigint>")
+    ranked = lowered.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= common).select("lang", "word", "n", empty.alias("c"))
+    sized = with_classes(vocabulary.withColumns({"_chars": F.length("_t"), "word_chars": F.length("_t")}))
+    sums = F.array(*(F.sum(F.col("n") * F.col("_c")[i]) for i in range(N_CLASSES)), F.sum("n"))
+    totals = sized.groupBy("lang").agg(none.cast("string").alias("word"), F.coalesce(F.sum(F.when(F.col("_t") != "", F.col("n"))), F.lit(0)).alias("n"), sums.alias("c"))
+    texts_of = texts.groupBy(kind.alias("lang")).agg(none.cast("string").alias("word"), F.count("*").alias("n"), empty.alias("c"))
+    found = ranked.unionByName(totals).unionByName(texts_of).collect()  # the first two read one exchange of the vocabulary
     words: dict = {}
+    totals, classes, pieces_of = {}, {}, {}
+    for r in found:
+        if r["word"] is None and r["c"]:
+            totals[r["lang"]], classes[r["lang"]], pieces_of[r["lang"]] = r["n"], r["c"][:-1], r["c"][-1]
     for r in found:
         if r["word"] is not None:
             words.setdefault(r["lang"], {})[r["word"]] = r["n"] / totals[r["lang"]]
-    sums = [F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(N_CLASSES)]
-    sized = texts.withColumns({"_chars": F.length("_t"), "word_chars": F.length(F.expr(f"replace({flat('_t')}, ' ', '')"))})
-    classes = {r["lang"]: [r[f"c{i}"] for i in range(N_CLASSES)] for r in with_classes(sized).groupBy("lang").agg(*sums).collect()}
+        elif not r["c"]:
+            classes[r["lang"]][1] += pieces_of[r["lang"]] - r["n"]
     return [
         {"lang": lang, "classes": [c / sum(classes[lang]) for c in classes[lang]], "words": words[lang]}
         for lang in sorted(totals, key=lambda x: (x is None, x)) if totals[lang] >= least_words
