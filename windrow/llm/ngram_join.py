@@ -43,6 +43,8 @@ from windrow.llm.components import components
 from windrow.llm.shared import cut_lineage, join_spread
 
 SKETCH, RANGES = 2**22, 64
+#: Of the Bloom filter that tells the documents to be probed: 16 MB.
+MASK_BITS = 2**27
 SLICE = 2**19
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 2**64)
@@ -229,24 +231,70 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return found >= needed
 
 
-def probe(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
+def _slots(marks: np.ndarray, bits: int) -> np.ndarray:
+    """Three places among `bits` (a power of two) for each mark, in a row each."""
+    return np.stack([_mixed(marks + U(k * MULTIPLIER % 2**64)) & U(bits - 1) for k in range(3)])
+
+
+def _id_marks(ids: pa.Array) -> np.ndarray:
+    marks = _mixed(np.asarray(ids.fill_null(0)).view(np.uint64) ^ U(0x5851F42D4C957F2D))
+    return np.where(np.asarray(ids.is_null()), U(1), marks)
+
+
+def id_mask(wanted: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the n rows (wanted, first_id): marks of the ids, and of each id with its key, in 32 to 64 bits a row.
+
+    It has MASK_BITS bits at most; beyond MASK_BITS / 32 rows more texts than needed are read into sets, and no others are
+    left out. Its bits are set in tasks, 4 KB together.
+    """
+    bits = min(MASK_BITS, max(2**15, 1 << (32 * n - 1).bit_length()))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = _id_marks(batch.column("first_id"))
+            keys = np.asarray(batch.column("wanted")).view(np.uint64)
+            yield pa.record_batch({"slot": pa.array(_slots(np.concatenate([marks, _mixed(marks ^ keys)]), bits).ravel().view(np.int64))})
+
+    slot = F.col("slot") + 1  # Spark counts bits from 1
+    blocks = wanted.select("wanted", "first_id").mapInArrow(apply, "slot long").groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((bits // 2**15, 2**12), dtype=np.uint8)
+    for block, held in blocks.collect():  # 4 KB each
+        out[block - 1] = np.frombuffer(held, dtype=np.uint8)
+    return out.ravel()
+
+
+def _holds(mask: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    slots = _slots(marks, 8 * len(mask)).view(np.int64)
+    return ((mask[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def probe(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows (a, b) of pairs whose classes reach the similarity.
 
-    Only the texts of one document of each class at hand are read into sets again.
+    Only the texts of one document of each class at hand are read into sets again. Tasks tell them by a Bloom filter
+    (`id_mask`), so neither a table of these classes nor a text is exchanged; what it lets through by chance meets no pair or
+    is the same set once more.
     """
     wanted = cut_lineage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select(F.col("key").alias("wanted"), "first_id"))
-    side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("wanted", "text")
+    n = wanted.count()
+    if not n:
+        return pairs.select("a", "b").limit(0)
+    mask = docs.sparkSession.sparkContext.broadcast(id_mask(wanted, n))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = np.asarray(batch.column("wanted"))
+            marks = _id_marks(batch.column("doc_id"))
+            known = _holds(mask.value, marks)
+            if not known.any():
+                continue
+            batch, marks = batch.filter(pa.array(known)), marks[known]
             for at, end, data, bounds in _slices(batch.column("text")):
                 values, sizes = shingle_sets(data, bounds, words)
-                ends = np.cumsum(sizes)
-                hit = np.flatnonzero(_set_keys(values, sizes) == wanted[at:end])
-                yield pa.record_batch({"key": pa.array(wanted[at:end][hit]), "shingles": pa.array([values[ends[k] - sizes[k] : ends[k]].tobytes() for k in hit], pa.binary())})
+                keys, ends = _set_keys(values, sizes), np.cumsum(sizes)
+                hit = np.flatnonzero(_holds(mask.value, _mixed(marks[at:end] ^ keys.view(np.uint64))))
+                yield pa.record_batch({"key": pa.array(keys[hit]), "shingles": pa.array([values[ends[k] - sizes[k] : ends[k]].tobytes() for k in hit], pa.binary())})
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = cut_lineage(texts.mapInArrow(sets, "key long, shingles binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +350,8 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
     every = mixed.select(F.col("token").alias("t"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other_label"))
     crossing = (F.col("token") == F.col("t")) & (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("main")) | (F.col("key") < F.col("other"))) & _room(percent)
     more = cut_lineage(rest.join(every, crossing).select(*ordered("key", "other")).distinct())
-    links = links.union(probe(docs, classes, more.join(stars, ["a", "b"], "left_anti"), words, percent))
-
-    labels = components(links)
+    more = probe(docs, classes, more.join(stars, ["a", "b"], "left_anti"), words, percent)
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named = labels.join(classes, labels["node"] == classes["key"]).select("label", "node", "first_id")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("reached"))
     reached = named.join(smallest, "label").select(F.col("node").alias("key"), "label", "reached")
