@@ -25,7 +25,8 @@ def test_no_broadcast_grows_with_the_links(spark, monkeypatch):
     counts = rows_broadcast(monkeypatch)
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.join_components(documents(spark, rows)).collect()}
     assert got == {i: i % 60 for i in range(120)}
-    assert sum(counts) == 0  # before: the 120 classes probed
+    assert sorted(x["doc_id"] for x in ngram_join.keep_one_of_each(documents(spark, rows)).collect()) == list(range(60))
+    assert sum(counts) == 0  # before: the 120 classes probed, and the 60 rows left out
 
 
 def steps(monkeypatch):

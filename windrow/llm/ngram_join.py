@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -377,14 +378,14 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, broadca
     going = tagged.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     twice = tagged.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
     going, twice = (cut_lineage(df) for df in (going.withColumnRenamed("doc_id", "_gone"), twice.withColumnRenamed("doc_id", "_twice")))
-    if going.count() <= broadcast_rows:
-        going = F.broadcast(going)
+    few = going.count() <= broadcast_rows
+    staying_of = lambda rows: _without(rows, going) if few else rows.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
     if twice.isEmpty():
-        return docs.join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
+        return staying_of(docs)
     shared = twice.filter("_twice IS NOT NULL")
     small = F.broadcast(shared) if shared.count() <= broadcast_rows else shared
     named = docs.filter("doc_id IS NOT NULL")
-    once = named.join(small, F.col("doc_id") == F.col("_twice"), "left_anti").join(going, F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = staying_of(named.join(small, F.col("doc_id") == F.col("_twice"), "left_anti"))
     again = named.join(small, F.col("doc_id") == F.col("_twice"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
     again = again.dropDuplicates(["doc_id", "text"])
     keyed = cut_lineage(set_keys(again, words))
@@ -398,6 +399,20 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, broadca
     return once.unionByName(chosen)
 
 
+def _without(docs: DataFrame, going: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is not in going (_gone): eight bytes for each of its rows are broadcast."""
+    gone = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(going.toArrow().column("_gone"))))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("_id").fill_null(0))
+            place = np.minimum(np.searchsorted(gone.value, ids), max(0, len(gone.value) - 1))
+            stays = gone.value[place] != ids if len(gone.value) else np.ones(len(ids), dtype=bool)
+            yield batch.drop_columns(["_id"]).filter(pc.or_(batch.column("_id").is_null(), pa.array(stays)))
+
+    return docs.withColumn("_id", F.col("doc_id").cast("long")).mapInArrow(apply, docs.schema)
+
+
 def set_keys(docs: DataFrame, words: int) -> DataFrame:
     """_id, _text, and the size _n and name _key of its set for each row of docs."""
 
