@@ -7,6 +7,7 @@ table has path, line_no (from 1) and line.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,14 +28,19 @@ def is_binary(content: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """The lines of a text as an array; the empty piece after a final line feed is no line."""
+    """The lines of a file's text as an array; the empty piece after a final line feed is no line."""
     parts = F.split(normalize_newlines(text), "\n")
     return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def lines_of(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, line_no and line; the empty piece after a final line feed is no line."""
-    return texts.select(F.col(path).alias("path"), F.posexplode(pieces(F.col(text))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+def between_line_feeds(text: Column) -> Column:
+    """What stands between line feeds, as SQL's string_split has it: an empty text is one empty line, as is what follows a final line feed, and a carriage return is kept."""
+    return F.split(text, "\n")
+
+
+def lines_of(texts: DataFrame, path: str = "path", text: str = "text", split: Callable[[Column], Column] = pieces) -> DataFrame:
+    """path, line_no and line; the lines are those of a file unless told otherwise."""
+    return texts.select(F.col(path).alias("path"), F.posexplode(split(F.col(text))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def read_file(lines: DataFrame, cap: int = 2000) -> DataFrame:
